@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import tokenize
+from lectern.llm import spans, tokenize
 from lectern.session import table
 
 
@@ -15,8 +15,20 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenize.encode(table(spark, sf_dir, "documents"))
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of documents that share a span of 300 code points."""
+    return spans.pairs(table(spark, sf_dir, "documents"))
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of each document stands in another one too."""
+    return spans.shares(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p7_ids": p7_ids,
+    "p9_found": p9_found,
+    "p9_shares": p9_shares,
 }
 
 #: The operators are no SQL; tests hold them against brute force instead.
