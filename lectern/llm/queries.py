@@ -6,13 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import chunking, mixing, spans, survivor, tokenize
+from lectern.llm import chunking, mixing, names, spans, survivor, tokenize
 from lectern.session import table
 
 
 FACT = ["domain", "path", "kind", "detail"]
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of spellings of one person or organisation."""
+    return names.pairs(table(spark, sf_dir, "file_profile_entities"))
+
+
+def p1_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spellings by cluster."""
+    return names.clusters(table(spark, sf_dir, "file_profile_entities"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages that had to be cut."""
     return chunking.oversized(table(spark, sf_dir, "ocr_page_cache"))
@@ -61,6 +71,8 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p1_clusters": p1_clusters,
     "p5_found": p5_found,
     "p5_pieces": p5_pieces,
     "p6_found": p6_found,
