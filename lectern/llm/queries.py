@@ -6,10 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import chunking, mixing, names, spans, survivor, tokenize
+from lectern.llm import chunking, mixing, names, pii, spans, survivor, tokenize
 from lectern.session import table
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mentions of personal information on pages."""
+    return pii.mentions(table(spark, sf_dir, "ocr_page_cache")).select("row_id", "kind", "found").distinct()
+
+
+def p3_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with placeholders."""
+    return pii.redact(table(spark, sf_dir, "ocr_page_cache"))
+
+
 FACT = ["domain", "path", "kind", "detail"]
 
 
@@ -73,6 +83,8 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_clusters": p1_clusters,
+    "p3_found": p3_found,
+    "p3_redacted": p3_redacted,
     "p5_found": p5_found,
     "p5_pieces": p5_pieces,
     "p6_found": p6_found,
