@@ -36,7 +36,7 @@ _BREAK = r"(?:[-‐¬­][^\S\n]*\n[^\S\n]*\w+)?"
 _UP = r"[A-ZÀ-ÖØ-Þ]"
 
 EMAIL = re.compile(
-    r"(?<![\w.+-])[A-Za-z0-9_][\w+-]*(?:\.[\w+-]+)*[^\S\n]?\n?[^\S\n]?(?:@|\(at\)|\[at\]|\{at\}|\(@\))[^\S\n]?\n?[^\S\n]?[A-Za-z0-9]+(?:-\n?[A-Za-z0-9]+)*(?:\.\n?[A-Za-z0-9]+(?:-[A-Za-z0-9]+)*)+",
+    r"(?<![\w.+-])[A-Za-z0-9_][\w+-]*(?:\.[\w+-]+)*[^\S\n]?\n?[^\S\n]?(?:@|\(at\)|\[at\]|\{at\}|\(@\))[^\S\n]?\n?[^\S\n]?[A-Za-z0-9]+(?:-\n?[A-Za-z0-9]+)*\.\n?[A-Za-z0-9]+(?:-[A-Za-z0-9]+)*(?:\.[A-Za-z0-9]+(?:-[A-Za-z0-9]+)*)*",
     re.IGNORECASE,
 )
 AHV = re.compile(rf"(?<![\w.])7[5S]6(?:{_GAP}\.?{_GAP}){_D}{{4}}(?:{_GAP}\.?{_GAP}){_D}{{4}}(?:{_GAP}\.?{_GAP}){_D}{{2}}(?!\w)")
@@ -52,7 +52,7 @@ _STREET = "|".join(STREETS)
 _WORD = rf"[\wÀ-ÿ'’.]+(?:-[\wÀ-ÿ'’]+)*{_BREAK}"
 _HOUSE = rf"{_D}{{1,4}}(?:\s?(?:bis|ter|quater)\b|\s?[A-Za-z]\b)?"
 _TOWN = rf"(?:(?:CH|F|D|FR|DE)-\s?)?{_D}{{4,5}}\s+(?:(?:Le|La|Les|St|Saint|Ste)\s)?{_UP}[\wÀ-ÿ'’]+(?:-[\wÀ-ÿ'’]+)*{_BREAK}"
-_COMMA = r"\s?(?:,|-|–|—|;)\s?"
+_COMMA = r"(?:\s?[,;]\s?|\s[-–—]\s)"
 _LINK = r"(?:(?:d[eucn]|des|dcs|d['’]|la|le|les|l['’]|ciu|clu|cle)\s?)"
 ADDRESS = re.compile(
     rf"(?<![\w,.])(?:{_HOUSE}\s?,?\s+(?:(?:{_STREET})\b\.?|[a-zà-ÿ0-9]{{2,9}}\.?)\s+(?:{_LINK}\s*){{0,3}}{_WORD}(?:\s{_UP}{_WORD}){{0,2}}{_COMMA}{_TOWN}"
@@ -60,7 +60,7 @@ ADDRESS = re.compile(
     rf"|(?i:{_STREET})\b\.?\s+(?:{_LINK}\s*){{0,3}}{_WORD}(?:\s{_UP}{_WORD}){{0,2}}\s+{_HOUSE}{_COMMA}{_TOWN}"
     rf"|{_UP}[\wÀ-ÿ.]{{1,10}}\s+(?:{_LINK}\s*){{1,3}}{_UP}?{_WORD}\s+{_HOUSE}{_COMMA}{_TOWN}"
     rf"|{_UP}{_WORD}(?:str[ao]ss?e|straße|gasse|weg|platz|str\.)(?<=\w)\s+{_HOUSE}{_COMMA}{_TOWN}"
-    rf"|{_UP}[\wÀ-ÿ]+{_BREAK}\s+{_HOUSE}{_COMMA}{_TOWN})"
+    rf"|{_UP}[\wÀ-ÿ]*(?:[-‐¬]\n)?st[rn][\wÀ-ÿ]{{0,5}}{_BREAK}\s+{_HOUSE}{_COMMA}{_TOWN})"
 )
 
 # Forms of address.
@@ -80,8 +80,15 @@ def _plain(word: str) -> str:
     return fold(re.sub(r"[-‐¬­]\s*\n\s*", "", word)).replace("0", "o").replace("1", "l").strip(".'’")
 
 
+_TITLE = re.compile(rf"[^\s,;:()\[]+{_BREAK}")
+
+
 def _titled(word: str) -> bool:
-    return word in _TITLE_SET or (len(word) >= 5 and any(abs(len(t) - len(word)) <= 1 and edits(word, t, 1) <= 1 for t in _LONG_TITLES))
+    """Whether a word is a form of address, whole or broken over a line end, or misread in a sign or two."""
+    if word in _TITLE_SET:
+        return True
+    whole = re.sub(r"[-‐¬­]\s*\n\s*", "", word).replace("rn", "m").replace("ii", "u").replace("1", "i").replace("0", "o")
+    return len(whole) >= 5 and any(abs(len(t) - len(whole)) <= 2 and edits(whole, t) <= (2 if len(t) > 7 else 1) for t in _LONG_TITLES)
 
 
 def _phone(match: str) -> bool:
@@ -118,6 +125,9 @@ def _name_at(text: str, at: int, sure: bool) -> tuple[int, str, str] | None:
         if _titled(two) or one in _TITLE_SET:
             n = None
         elif re.fullmatch(_I, two):
+            h = _NEXT.match(text, n.end())
+            if not sure and h.end() > n.end() and _TOKEN.match(text, h.end()):
+                return None  # the initial belongs to what follows
             if not initial and text[n.end() : n.end() + 1] != "\n":
                 return n.end(), first, "initial"
         elif initial:
@@ -127,6 +137,8 @@ def _name_at(text: str, at: int, sure: bool) -> tuple[int, str, str] | None:
             if a or b:
                 h = _NEXT.match(text, n.end())
                 o = _TOKEN.match(text, h.end()) if h and h.end() > n.end() else None
+                if b and not a and o and not sure and not one.isupper() and not _titled(o.group()):
+                    return None  # the given name belongs to what follows
                 if o and "\n" not in text[n.end() : h.end()]:
                     third = _plain(o.group())
                     if (is_given(f"{first}-{second}") and not known(third)) or (is_given(f"{second}-{third}") and not a):
@@ -175,11 +187,11 @@ def candidates(text: str) -> list[tuple[str, int, int, str, str, str]]:
         word = m.group()
         # forms of address, one or several, lead to the name
         while True:
-            w = re.match(r"[^\s,;:()]+", text[start:])
+            w = _TITLE.match(text, start)
             if not w or not _titled(w.group()):
                 break
-            g = _NEXT.match(text, start + w.end())
-            if g.end() == start + w.end() or not _TOKEN.match(text, g.end()):
+            g = _NEXT.match(text, w.end())
+            if g.end() == w.end() or not _TOKEN.match(text, g.end()):
                 break
             start, sure = g.end(), True
         context = _before(text, a)
