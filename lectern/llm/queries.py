@@ -6,10 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import chunking, mixing, names, pii, spans, survivor, tokenize
+from lectern.llm import chunking, mixing, names, ocr, pii, spans, survivor, tokenize
 from lectern.session import table
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kinds of noise on pages."""
+    return ocr.defects(table(spark, sf_dir, "ocr_page_cache")).select("row_id", "defect").distinct()
+
+
+def p2_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as continuous paragraphs."""
+    return ocr.repaired(table(spark, sf_dir, "ocr_page_cache"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mentions of personal information on pages."""
     return pii.mentions(table(spark, sf_dir, "ocr_page_cache")).select("row_id", "kind", "found").distinct()
@@ -83,6 +93,8 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_clusters": p1_clusters,
+    "p2_found": p2_found,
+    "p2_repaired": p2_repaired,
     "p3_found": p3_found,
     "p3_redacted": p3_redacted,
     "p5_found": p5_found,
