@@ -62,7 +62,9 @@ def words(text: str) -> list[tuple[str, int, int]]:
         e = _ELISION.match(w)
         if e and len(w) > e.end():
             a, w = a + e.end(), w[e.end() :]
-        out.append(("#" if w.isdigit() else w.lower(), a, b))
+        # numbers, codes of capitals and house numbers are no words
+        code = w.isdigit() or (len(w) <= 3 and (w.isupper() or any(c.isdigit() for c in w)))
+        out.append(("#" if code else w.lower(), a, b))
     return out
 
 
@@ -254,6 +256,7 @@ def split_words(df: DataFrame, counts: DataFrame, key: str, text: str) -> DataFr
     ).select("row_id", "a", "b", "joined")
 
 
+_EXPLICIT = re.compile(r"[A-Za-z\[\]–—-]")
 _PN = r"[\dOolISB]{1,4}"
 PAGE = re.compile(rf"(?:[PpF][aoe]g[ec]|[S5][ec][il1]t[ec]|[Pp]\.|[S5]\.)?\s*[-–—\[(]?\s*({_PN})\s*(?:(?:/|sur|von|of|de|sui|5ur|v0n|vou)\s*{_PN})?\s*[-–—\])]?\s*\Z")
 _TAIL = re.compile(rf"(?:\s{{2,}}|\t|\s\|\s)((?:[PpF][aoe]g[ec]|[S5][ec][il1]t[ec]|[Pp]\.|[S5]\.)?\s*[-–—\[(]?\s*{_PN}\s*(?:(?:/|sur|von|of|de|sui|5ur|v0n|vou)\s*{_PN})?\s*[-–—\])]?)\s*\Z")
@@ -274,10 +277,23 @@ def _is_page(part: str, page: int | None) -> bool:
     return _value(m.group(1)) == page or (not bare and confused) or (not bare and len(m.group(1)) == len(str(page)) and confused)
 
 
-def _alike(s: str) -> str:
-    """Confused glyphs alike, without spaces and marks."""
-    table = {"0": "o", "a": "o", "à": "o", "1": "l", "i": "l", "5": "s", "6": "b", "h": "b", "8": "b", "c": "e", "é": "e", "è": "e", "ê": "e", "f": "t", "y": "v", "u": "n", "q": "g", "9": "g"}
-    return re.sub(r"[\s'’´`.|_]", "", "".join(table.get(c, c) for c in s))
+_ALIKE = {"0": "o", "a": "o", "à": "o", "1": "l", "i": "l", "5": "s", "6": "b", "h": "b", "8": "b", "c": "e", "é": "e", "è": "e", "ê": "e", "f": "t", "y": "v", "u": "n", "q": "g", "9": "g"}
+
+
+def skeleton(line: str) -> str:
+    """A line with confused glyphs alike, without spaces and marks."""
+    s = line.lower()
+    for seen, printed in (("ri", "n"), ("cl", "d"), ("ii", "u"), ("e'", "e"), ("rn", "m"), ("in", "m"), ("ni", "m")):
+        s = s.replace(seen, printed)
+    return re.sub(r"[\s'’´`.|_]", "", "".join(_ALIKE.get(c, c) for c in s))
+
+
+_DIGITS = re.compile(r"(?<![^\W\d_])\d+(?![^\W\d_])")
+
+
+def shape(line: str) -> str:
+    """The skeleton of a line whatever its numbers; digits within words are glyphs."""
+    return skeleton(_DIGITS.sub("#", line))
 
 
 def edges(df: DataFrame, key: str, text: str, path: str, page: str) -> DataFrame:
@@ -305,34 +321,54 @@ def edges(df: DataFrame, key: str, text: str, path: str, page: str) -> DataFrame
                         m = _TAIL.search(line)
                         tail = a + m.start() if m and not alone and _is_page(m.group(1), number) else b
                         bare = t[a:tail].strip()
-                        out.append((k, where, a, b, end, depth, alone, tail, _alike(_folded(bare)), _alike(_folded(re.sub(r"\d+", "#", bare)))))
-            yield pd.DataFrame(out, columns=["row_id", "path", "a", "b", "at", "depth", "is_page", "tail", "bare", "shape"])
+                        out.append((k, -k if number is None else number, where, a, b, end, depth, alone, tail, skeleton(bare), shape(bare), bool(m) and _EXPLICIT.search(m.group(1)) is not None))
+            yield pd.DataFrame(out, columns=["row_id", "page", "path", "a", "b", "at", "depth", "is_page", "tail", "bare", "shape", "explicit"])
 
-    schema = "row_id bigint, path string, a int, b int, at int, depth int, is_page boolean, tail int, bare string, shape string"
+    schema = "row_id bigint, page bigint, path string, a int, b int, at int, depth int, is_page boolean, tail int, bare string, shape string, explicit boolean"
     rows = df.select(F.col(key).cast("bigint").alias("row_id"), F.col(text).alias("text"), F.col(path).cast("string").alias("path"), F.col(page).cast("double").alias("page"))
     return rows.mapInPandas(run, schema)
 
 
-def _folded(line: str) -> str:
-    s = line.lower()
-    for seen, printed in (("rn", "m"), ("ri", "n"), ("cl", "d"), ("ii", "u"), ("e'", "e")):
-        s = s.replace(seen, printed)
-    return s
+def inner_shapes(df: DataFrame, text: str) -> DataFrame:
+    """How often lines of each shape (by its hash) stand elsewhere than at the edges of pages."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            c: Counter[str] = Counter()
+            for t in frame[text]:
+                if isinstance(t, str):
+                    own = [line for line in t.split("\n") if line.strip()]
+                    c.update(shape(line.strip()) for line in own[2:-2] if len(line) <= LONGEST)
+            yield pd.DataFrame({"shape": list(c.keys()), "n": list(c.values())})
+
+    return df.select(text).mapInPandas(run, "shape string, n bigint").groupBy(F.xxhash64("shape").alias("s")).agg(F.sum("n").alias("inner"))
 
 
 def furniture(df: DataFrame, key: str, text: str, path: str, page: str) -> DataFrame:
     """Running headers and page numbers: row_id, a, b, defect."""
     lines = checkpointed(edges(df, key, text, path, page))
     numbers = lines.where("is_page and depth <= 1").select("row_id", "a", "b", F.lit("page_number").alias("defect"))
-    body = lines.where("not is_page and length(bare) >= 8")
-    # a line repeated by pages of its file, at the same edge
-    again = body.groupBy("path", "bare").agg(F.countDistinct("row_id").alias("pages")).where("pages > 1").select("path", "bare")
+    body = lines.where("not is_page and depth <= 1 and length(bare) >= 8").withColumn("s", F.xxhash64("shape"))
+    # a line repeated by different pages of its file; a page read twice doesn't count
+    again = body.groupBy("path", "bare").agg(F.countDistinct("page").alias("pages")).where("pages > 1").select("path", "bare")
     repeated = body.join(again, ["path", "bare"], "left_semi")
-    # a line whose shape is a running header's in files all over the corpus
-    shapes = repeated.groupBy("shape").agg(F.countDistinct("path").alias("files")).where("files >= 3").select("shape")
-    shaped = body.where("depth <= 1").join(shapes, "shape", "left_semi")
-    headers = repeated.unionByName(shaped).select("row_id", "a", "b", "tail", "depth").distinct()
-    tails = headers.where("tail < b").select("row_id", "a", "b", F.lit("page_number").alias("defect"))
+    # shapes of such lines; a running header's stands at edges and hardly anywhere else
+    at_edge = body.groupBy("s").agg(F.count("*").alias("outer"))
+    kinds = (
+        repeated.groupBy("s")
+        .agg(F.countDistinct("path").alias("files"))
+        .join(at_edge, "s")
+        .join(inner_shapes(df, text), "s", "left")
+        .where(F.coalesce("inner", F.lit(0)) * 9 <= F.col("outer"))
+        .select("s", "files")
+    )
+    headers = (
+        repeated.join(kinds.select("s"), "s", "left_semi")
+        .unionByName(body.join(kinds.where("files >= 3").select("s"), "s", "left_semi"))
+        .select("row_id", "a", "b", "tail")
+        .distinct()
+    )
+    tails = headers.where("tail < b").select("row_id", "a", "b").unionAll(body.where("tail < b and explicit").select("row_id", "a", "b")).withColumn("defect", F.lit("page_number"))
     return numbers.unionAll(headers.select("row_id", "a", "b", F.lit("running_header").alias("defect"))).unionAll(tails).distinct()
 
 
