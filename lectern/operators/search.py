@@ -7,7 +7,7 @@ so a search is one scan of the postings or vectors it needs and a top-k per part
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -41,13 +41,17 @@ def statistics(df: DataFrame, text: str) -> DataFrame:
     return df.where(F.col(text).isNotNull() & (n > 0)).agg(F.count("*").alias("documents"), F.avg(n).alias("mean_len"))
 
 
+def _equals(term: str) -> Callable[[Column], Column]:
+    return lambda x: x == term
+
+
 def bm25(df: DataFrame, key: str, text: str, terms: list[str], scope: DataFrame | None = None) -> DataFrame:
     """Scores (key, score), greater is better, of texts with any of the terms. Statistics are the whole corpus's;
     scope only keeps some rows. Texts are tokenised once and only counts of the asked terms leave the scan."""
     if len(terms) > MOST_TERMS:
         raise ValueError(f"more than {MOST_TERMS} terms")
     words = df.select(F.col(key), words_of(F.col(text)).alias("w")).where("w is not null")
-    counts = [F.size(F.filter("w", lambda x, t=t: x == t)).alias(f"t{i}") for i, t in enumerate(terms)]
+    counts = [F.size(F.filter("w", _equals(t))).alias(f"t{i}") for i, t in enumerate(terms)]
     rows = words.select(key, F.size("w").alias("len"), *counts).where("len > 0")
     whole = rows.agg(F.count("*").alias("N"), F.avg("len").alias("mean"), *[F.count_if(F.col(f"t{i}") > 0).alias(f"d{i}") for i in range(len(terms))])
     score = F.lit(0.0)

@@ -111,7 +111,7 @@ def j_interval_overlap(spark: SparkSession, d: str) -> DataFrame:
     return s.where(finder.spans_overlap(F.col("f"), F.col("t"), lo, hi)).select("o_custkey")
 
 
-@query(f"SELECT DISTINCT a.surface AS a, b.surface AS b FROM (SELECT DISTINCT surface, array_to_string(list_sort(list_filter(string_split_regex({_BARE.format('surface')}, '[^\\p{{L}}\\p{{N}}]+'), x -> x <> '' AND x NOT IN ('m','mme','mlle','monsieur','madame','dr','dre','docteur','prof','me','herr','frau','mr','mrs','ms'))), ' ') AS k FROM file_profile_entities) a JOIN (SELECT DISTINCT surface, array_to_string(list_sort(list_filter(string_split_regex({_BARE.format('surface')}, '[^\\p{{L}}\\p{{N}}]+'), x -> x <> '' AND x NOT IN ('m','mme','mlle','monsieur','madame','dr','dre','docteur','prof','me','herr','frau','mr','mrs','ms'))), ' ') AS k FROM file_profile_entities) b ON a.k = b.k WHERE a.surface < b.surface")
+@query(f"SELECT DISTINCT a.surface AS a, b.surface AS b FROM (SELECT DISTINCT surface, array_to_string(list_sort(list_filter(string_split_regex({_BARE.format('surface')}, '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '' AND x NOT IN ('m','mme','mlle','monsieur','madame','dr','dre','docteur','prof','me','herr','frau','mr','mrs','ms'))), ' ') AS k FROM file_profile_entities) a JOIN (SELECT DISTINCT surface, array_to_string(list_sort(list_filter(string_split_regex({_BARE.format('surface')}, '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '' AND x NOT IN ('m','mme','mlle','monsieur','madame','dr','dre','docteur','prof','me','herr','frau','mr','mrs','ms'))), ' ') AS k FROM file_profile_entities) b ON a.k = b.k WHERE a.surface < b.surface")
 def j_token_set(spark: SparkSession, d: str) -> DataFrame:
     """Names of the same words in any order."""
     e = table(spark, d, "file_profile_entities").select("surface").distinct().withColumn("k", knowledge.token_set_key(F.col("surface")))
@@ -151,7 +151,7 @@ def a_coverage(spark: SparkSession, d: str) -> DataFrame:
     return finder.coverage(table(spark, d, "file_profiles").where("domain = 'documents'"))
 
 
-@query("WITH p AS (SELECT string_split(relative_path, '/') AS s FROM file_profiles), a AS (SELECT unnest(list_transform(range(1, len(s)), i -> array_to_string(s[1:i], '/'))) AS folder FROM p) SELECT folder, len(string_split(folder, '/')) AS depth, count(*) AS files FROM a GROUP BY ALL")
+@query("WITH p AS (SELECT string_split(relative_path, '/') AS s FROM file_profiles), a AS (SELECT unnest(list_transform(range(1, len(s)), lambda i: array_to_string(s[1:i], '/'))) AS folder FROM p) SELECT folder, len(string_split(folder, '/')) AS depth, count(*) AS files FROM a GROUP BY ALL")
 def a_folders(spark: SparkSession, d: str) -> DataFrame:
     """The folder tree with files under each folder."""
     return finder.folders(table(spark, d, "file_profiles"), "relative_path")
@@ -257,7 +257,7 @@ def f_parse_date(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "patients_ch").select("row_id", numbers.parse_date(F.col("date_de_naissance")).cast("string").alias("born"))
 
 
-@query(r"SELECT row_id, CASE WHEN regexp_matches(montant, '^CHF ') THEN 'CHF' WHEN regexp_matches(montant, ' €$') THEN '€' END AS unit, regexp_replace(regexp_replace(montant, '^CHF ', ''), ' €$', '') AS bare FROM rendez_vous_lilas WHERE montant IS NOT NULL")
+@query(r"SELECT row_id, CASE WHEN regexp_matches(montant, '^CHF ') THEN 'CHF' WHEN regexp_matches(montant, ' €$') THEN '€' END AS unit, trim(regexp_replace(regexp_replace(montant, '^CHF ', ''), ' €$', '')) AS bare FROM rendez_vous_lilas WHERE montant IS NOT NULL")
 def f_strip_unit(spark: SparkSession, d: str) -> DataFrame:
     """Amounts and their units."""
     bare, unit = numbers.strip_unit(F.col("montant"))
@@ -271,14 +271,14 @@ def f_date_prefix(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "file_profiles").select("profile_id", numbers.split_date_prefix(stem)[0].alias("date"))
 
 
-@query(r"SELECT doc_id, list_distinct(list_transform(list_filter(regexp_extract_all(text, '\[(\d{1,6})\]', 1), x -> CAST(x AS INT) > 3 OR CAST(x AS INT) < 1), x -> CAST(x AS INT))) AS wrong FROM documents WHERE text LIKE '%[%' AND len(list_distinct(list_transform(list_filter(regexp_extract_all(text, '\[(\d{1,6})\]', 1), x -> CAST(x AS INT) > 3 OR CAST(x AS INT) < 1), x -> CAST(x AS INT)))) < 2")
+@query(r"SELECT doc_id, list_distinct(list_transform(list_filter(regexp_extract_all(text, '\[(\d{1,6})\]', 1), lambda x: CAST(x AS INT) > 3 OR CAST(x AS INT) < 1), lambda x: CAST(x AS INT))) AS wrong FROM documents WHERE text LIKE '%[%' AND len(list_distinct(list_transform(list_filter(regexp_extract_all(text, '\[(\d{1,6})\]', 1), lambda x: CAST(x AS INT) > 3 OR CAST(x AS INT) < 1), lambda x: CAST(x AS INT)))) < 2")
 def f_citations(spark: SparkSession, d: str) -> DataFrame:
     """Citations beyond three sources, where at most one is."""
     out = table(spark, d, "documents").where(F.col("text").contains("[")).select("doc_id", text.citations_out_of_range(F.col("text"), F.lit(3)).alias("wrong"))
     return out.where(F.size("wrong") < 2)
 
 
-@query(r"SELECT doc_id, len(list_distinct(list_filter(list_transform(regexp_extract_all(text, '\{\{[^{}\n]{1,60}?\}\}|«[^«»\n]{1,60}?»|\[[^\[\]\n]{1,60}?\]'), f -> trim(regexp_replace(f, '^(\{\{|«|\[)\s*|\s*(\}\}|»|\])$', '', 'g'))), n -> n <> '' AND NOT regexp_full_match(n, '\d+')))) AS fields FROM documents WHERE source = 'modeles' AND text IS NOT NULL")
+@query(r"SELECT doc_id, len(list_distinct(list_filter(list_transform(regexp_extract_all(text, '\{\{[^{}\n]{1,60}?\}\}|«[^«»\n]{1,60}?»|\[[^\[\]\n]{1,60}?\]'), lambda f: trim(regexp_replace(f, '^(\{\{|«|\[)\s*|\s*(\}\}|»|\])$', '', 'g'))), lambda n: n <> '' AND NOT regexp_full_match(n, '\d+')))) AS fields FROM documents WHERE source = 'modeles' AND text IS NOT NULL")
 def f_placeholders(spark: SparkSession, d: str) -> DataFrame:
     """Fields that templates ask for."""
     return table(spark, d, "documents").where("source = 'modeles' and text is not null").select("doc_id", F.size(text.placeholders(F.col("text"))).alias("fields"))
@@ -337,10 +337,10 @@ def f_excerpt(spark: SparkSession, d: str) -> DataFrame:
 
 # Search
 
-_WORDS = f"list_filter(string_split_regex({_BARE.format('text')}, '[^\\p{{L}}\\p{{N}}]+'), x -> x <> '')"
+_WORDS = f"list_filter(string_split_regex({_BARE.format('text')}, '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
 
 
-@query(f"""WITH w AS (SELECT doc_id, {_WORDS} AS w FROM documents WHERE text IS NOT NULL), r AS (SELECT doc_id, len(w) AS n, len(list_filter(w, x -> x = 'scanner')) AS a, len(list_filter(w, x -> x = 'genou')) AS b FROM w WHERE len(w) > 0),
+@query(f"""WITH w AS (SELECT doc_id, {_WORDS} AS w FROM documents WHERE text IS NOT NULL), r AS (SELECT doc_id, len(w) AS n, len(list_filter(w, lambda x: x = 'scanner')) AS a, len(list_filter(w, lambda x: x = 'genou')) AS b FROM w WHERE len(w) > 0),
     s AS (SELECT count(*) AS N, avg(n) AS m, count(*) FILTER (a > 0) AS da, count(*) FILTER (b > 0) AS db FROM r)
     SELECT doc_id, round(score, 4) AS score FROM (SELECT doc_id, CASE WHEN a > 0 THEN ln((N - da + 0.5) / (da + 0.5)) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * r.n / m)) ELSE 0 END + CASE WHEN b > 0 THEN ln((N - db + 0.5) / (db + 0.5)) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * r.n / m)) ELSE 0 END AS score FROM r, s WHERE a > 0 OR b > 0) ORDER BY round(score, 4) DESC, doc_id LIMIT 20""".replace("count(*) AS N", "count(*) AS total").replace("(N -", "(total -"))
 def q_bm25(spark: SparkSession, d: str) -> DataFrame:
@@ -354,7 +354,7 @@ def q_phrase(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").where(search.phrase(F.col("text"), "Scanner du genou")).select("doc_id")
 
 
-@query(f"SELECT doc_id FROM documents WHERE list_contains({_WORDS}, 'scanner') AND len(list_filter({_WORDS}, x -> starts_with(x, 'card'))) > 0")
+@query(f"SELECT doc_id FROM documents WHERE list_contains({_WORDS}, 'scanner') AND len(list_filter({_WORDS}, lambda x: starts_with(x, 'card'))) > 0")
 def q_all_words(spark: SparkSession, d: str) -> DataFrame:
     """Texts with a word and one that begins so."""
     return table(spark, d, "documents").where(search.all_words(F.col("text"), ["scanner", "card"], last_is_prefix=True)).select("doc_id")
@@ -425,7 +425,7 @@ def q_recall_mrr(spark: SparkSession, d: str) -> DataFrame:
 # Finder
 
 
-@query(f"SELECT profile_id FROM file_profiles WHERE list_contains(string_split_regex({_BARE.format(_STEM)}, '[^\\p{{L}}\\p{{N}}]+'), 'courrier') AND len(list_filter(string_split_regex({_BARE.format(_STEM)}, '[^\\p{{L}}\\p{{N}}]+'), x -> starts_with(x, 'pat'))) > 0")
+@query(f"SELECT profile_id FROM file_profiles WHERE list_contains(string_split_regex({_BARE.format(_STEM)}, '[^\\p{{L}}\\p{{N}}]+'), 'courrier') AND len(list_filter(string_split_regex({_BARE.format(_STEM)}, '[^\\p{{L}}\\p{{N}}]+'), lambda x: starts_with(x, 'pat'))) > 0")
 def n_by_name(spark: SparkSession, d: str) -> DataFrame:
     """Files by words of their names, the last begun."""
     return finder.by_name(table(spark, d, "file_profiles"), "profile_id", "relative_path", ["courrier", "pat"])
