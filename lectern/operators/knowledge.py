@@ -58,7 +58,7 @@ def resolve(queries: DataFrame, base: DataFrame) -> DataFrame:
     hits = exact.unionAll(sets).unionAll(near)
     best = hits.groupBy("name").agg(F.min("signal").alias("signal"))
     counted = hits.join(best, ["name", "signal"]).groupBy("name", "signal").agg(F.countDistinct("id").alias("n"), F.min("id").alias("id"))
-    signal = F.element_at(F.array(*map(F.lit, ["exact", "token_set", "fuzzy"])), F.col("signal") + 1)
+    signal = F.when(F.col("signal") == 0, "exact").when(F.col("signal") == 1, "token_set").when(F.col("signal") == 2, "fuzzy")
     return q.join(counted, "name", "left").select("name", F.when(F.col("n") == 1, F.col("id")).alias("id"), F.coalesce(signal, F.lit("none")).alias("signal"), F.when(F.col("n") > 1, "ambiguous").when((F.col("n") == 1) & (F.col("signal") == 2), "possible").when(F.col("n") == 1, "resolved").otherwise("unknown").alias("outcome"))
 
 
