@@ -41,16 +41,31 @@ LONGEST, EDGE = 110, 3
 _TOKEN = re.compile(r"[^\W_]+(?:['’´`][^\W\d_]+)*(?:(?<=e)['´`](?![\w]))?")
 _ELISION = re.compile(r"(?:[ldnscjmt]|qu|jusqu|lorsqu|puisqu|quoiqu)['’]", re.IGNORECASE)
 _COMPOUND = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)+")
-_SPLIT = re.compile(r"([^\W\d_]+(?:-[^\W\d_]+)*)[^\S\n]?([-‐‑¬­])[^\S\n]*\n[^\S\n]*([^\W\d_]+)")
+_LINE_END = re.compile(r"([-‐‑¬­])[^\S\n]*\n[^\S\n]*([^\W\d_]+)")
+_LAST_WORD = re.compile(r"([^\W\d_]+(?:-[^\W\d_]+)*)[^\S\n]?\Z")
 _NUMBER = re.compile(r"(?=\S*\d)(?=\S*[OolIS])[\dOolIS]{2,}\Z")
+_MIXED = re.compile(r"(?<![^\W_])[\dOolIS]*(?:\d[OolIS]|[OolIS]\d)[\dOolIS]*(?![^\W_])")
 _CODE = re.compile(r"[A-Z]\d{6,}\Z")
-_MAIL = re.compile(r"\S+(?:@|\(at\)|\[at\])\s?\S+|https?://\S+|\S+\.example\S*", re.IGNORECASE)
+_AT = re.compile(r"@|\(at\)|\[at\]|://|\.example", re.IGNORECASE)
+_BLANK = re.compile(r"\s")
+
+
+def _mails(text: str) -> list[tuple[int, int]]:
+    """Where mail and web addresses stand: from each sign of one outwards to blanks, one blank after it passed."""
+    out: list[tuple[int, int]] = []
+    for m in _AT.finditer(text):
+        a, b = m.span()
+        while a > 0 and m.start() - a < 100 and not text[a - 1].isspace():
+            a -= 1
+        end = _BLANK.search(text, b + 1)
+        out.append((a, min(end.start() if end else len(text), b + 200)))
+    return out
 
 
 def words(text: str) -> list[tuple[str, int, int]]:
     """Words of a text with their places, elisions cut off, in lower case; numbers as #; mail addresses left out."""
     out = []
-    skip = [m.span() for m in _MAIL.finditer(text)]
+    skip = _mails(text)
     at = 0
     for m in _TOKEN.finditer(text):
         a, b = m.span()
@@ -70,9 +85,13 @@ def words(text: str) -> list[tuple[str, int, int]]:
 
 def _odd_number(text: str) -> bool:
     """Whether letters stand for digits within a number."""
-    for w in re.findall(r"[^\W_]+", _MAIL.sub(" ", text)):
-        if _NUMBER.match(w) and not _CODE.match(w) and not re.fullmatch(r"[SIl]|\d+S", w):
-            return True
+    skip = None
+    for m in _MIXED.finditer(text):
+        w = m.group()
+        if _NUMBER.match(w) and not _CODE.match(w) and not re.fullmatch(r"\d+S", w):
+            skip = _mails(text) if skip is None else skip
+            if not any(a < m.end() and m.start() < b for a, b in skip):
+                return True
     return False
 
 
@@ -119,28 +138,41 @@ def unconfused(word: str) -> set[str]:
     return out
 
 
+_BY_PRINTED: dict[str, list[tuple[str, str]]] = {}
+for _printed, _seen in CONFUSIONS:
+    _BY_PRINTED.setdefault(_printed[0], []).append((_printed, _seen))
+
+
 def cost(printed: str, seen: str) -> float:
-    """Weighted edit distance: 1 for a confused pair, 3 for any other edit of a glyph."""
+    """Weighted edit distance: 1 for a confused pair of glyphs; any other edit is too dear, as 99."""
+    if abs(len(printed) - len(seen)) > 2:
+        return 99.0
+    # what both begin and end with costs nothing
+    a, most = 0, min(len(printed), len(seen))
+    while a < most and printed[a] == seen[a]:
+        a += 1
+    z = 0
+    while z < most - a and printed[-1 - z] == seen[-1 - z]:
+        z += 1
+    printed, seen = printed[a : len(printed) - z], seen[a : len(seen) - z]
     n, m = len(printed), len(seen)
-    far = 99.0
-    row = [[far] * (m + 1) for _ in range(n + 1)]
-    row[0][0] = 0.0
+    if not n and not m:
+        return 0.0
+    best = {(0, 0): 0.0}
     for i in range(n + 1):
-        for j in range(m + 1):
-            here = row[i][j]
-            if here > 4:
+        for j in range(max(0, i - 3), min(m, i + 3) + 1):
+            here = best.get((i, j), 99.0)
+            if here > 2:
                 continue
-            if i < n and j < m:
-                step = 0.0 if printed[i] == seen[j] else 3.0
-                row[i + 1][j + 1] = min(row[i + 1][j + 1], here + step)
+            if i < n and j < m and printed[i] == seen[j] and here < best.get((i + 1, j + 1), 99.0):
+                best[i + 1, j + 1] = here
             if i < n:
-                row[i + 1][j] = min(row[i + 1][j], here + 3.0)
-            if j < m:
-                row[i][j + 1] = min(row[i][j + 1], here + 3.0)
-            for a, b in CONFUSIONS:
-                if printed.startswith(a, i) and seen.startswith(b, j):
-                    row[i + len(a)][j + len(b)] = min(row[i + len(a)][j + len(b)], here + 1.0)
-    return row[n][m]
+                for p, q in _BY_PRINTED.get(printed[i], ()):
+                    if seen.startswith(q, j) and printed.startswith(p, i):
+                        at = (i + len(p), j + len(q))
+                        if here + 1 < best.get(at, 99.0):
+                            best[at] = here + 1.0
+    return best.get((n, m), 99.0)
 
 
 def repairs(counts: DataFrame) -> DataFrame:
@@ -233,14 +265,15 @@ def split_words(df: DataFrame, counts: DataFrame, key: str, text: str) -> DataFr
             for k, t in frame.itertuples(index=False, name=None):
                 if not isinstance(t, str):
                     continue
-                mails = [m.span() for m in re.finditer(r"\S*(?:@|\(at\)|\[at\])[^\S\n]?\n?\S*\n?\S*|[\w.-]+-\n\w+\.example", t)]
-                for m in _SPLIT.finditer(t):
-                    if any(a < m.end() and m.start() < b for a, b in mails):
+                mails = [(a, b + 1) for a, b in _mails(t)]
+                for m in _LINE_END.finditer(t):
+                    before = _LAST_WORD.search(t[max(0, m.start() - 64) : m.start()])
+                    if not before or any(a < m.end() and m.start() < b for a, b in mails):
                         continue
-                    left, mark, right = m.groups()
+                    left, mark, right = before.group(1), *m.groups()
                     last = left.rpartition("-")[2]
                     joined = (last + right).lower()
-                    out.append((k, m.start(2), m.start(3), joined, f"{last}-{right}".lower(), f"{left}-{right}".lower(), mark == "-", last.lower(), right.lower(), right[:1].islower() or (last.isupper() and right.isupper() and len(last) > 1)))
+                    out.append((k, m.start(), m.start(2), joined, f"{last}-{right}".lower(), f"{left}-{right}".lower(), mark == "-", last.lower(), right.lower(), right[:1].islower() or (last.isupper() and right.isupper() and len(last) > 1)))
             yield pd.DataFrame(out, columns=["row_id", "a", "b", "joined", "compound", "whole", "hyphen", "head", "tail", "runs_on"])
 
     schema = "row_id bigint, a int, b int, joined string, compound string, whole string, hyphen boolean, head string, tail string, runs_on boolean"
@@ -280,12 +313,15 @@ def _is_page(part: str, page: int | None) -> bool:
 _ALIKE = {"0": "o", "a": "o", "à": "o", "1": "l", "i": "l", "5": "s", "6": "b", "h": "b", "8": "b", "c": "e", "é": "e", "è": "e", "ê": "e", "f": "t", "y": "v", "u": "n", "q": "g", "9": "g"}
 
 
+_SAME = str.maketrans(_ALIKE | {c: "" for c in " \t\r\n\xa0\u202f'’´`.|_"})
+
+
 def skeleton(line: str) -> str:
     """A line with confused glyphs alike, without spaces and marks."""
     s = line.lower()
     for seen, printed in (("ri", "n"), ("cl", "d"), ("ii", "u"), ("e'", "e"), ("rn", "m"), ("in", "m"), ("ni", "m")):
         s = s.replace(seen, printed)
-    return re.sub(r"[\s'’´`.|_]", "", "".join(_ALIKE.get(c, c) for c in s))
+    return s.translate(_SAME)
 
 
 _DIGITS = re.compile(r"(?<![^\W\d_])\d+(?![^\W\d_])")
@@ -293,7 +329,7 @@ _DIGITS = re.compile(r"(?<![^\W\d_])\d+(?![^\W\d_])")
 
 def shape(line: str) -> str:
     """The skeleton of a line whatever its numbers; digits within words are glyphs."""
-    return skeleton(_DIGITS.sub("#", line))
+    return skeleton(_DIGITS.sub("#", line) if any(c.isdigit() for c in line) else line)
 
 
 def edges(df: DataFrame, key: str, text: str, path: str, page: str) -> DataFrame:
