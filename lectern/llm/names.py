@@ -181,6 +181,8 @@ def read_person(surface: str) -> tuple[str, str, str]:
     text = re.sub(r"\s+", " ", surface.strip())
     comma = [p.strip() for p in text.split(",")] if text.count(",") == 1 else None
     tokens = text.replace(",", " ").split()
+    if not tokens:
+        return "", "", "alone"
     titled = False
     while len(tokens) > 1 and fold(tokens[0]).rstrip(".") in TITLES and (len(tokens[0].rstrip(".")) > 1 or tokens[0] == "M."):
         tokens, titled = tokens[1:], True

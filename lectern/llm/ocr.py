@@ -40,7 +40,7 @@ LONGEST, EDGE = 110, 3
 
 _TOKEN = re.compile(r"[^\W_]+(?:['’´`][^\W\d_]+)*(?:(?<=e)['´`](?![\w]))?")
 _ELISION = re.compile(r"(?:[ldnscjmt]|qu|jusqu|lorsqu|puisqu|quoiqu)['’]", re.IGNORECASE)
-_COMPOUND = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)+")
+_COMPOUND = re.compile(r"(?<![^\W\d_])[^\W\d_]++(?:-[^\W\d_]++)+")
 _LINE_END = re.compile(r"([-‐‑¬­])[^\S\n]*\n[^\S\n]*([^\W\d_]+)")
 _LAST_WORD = re.compile(r"([^\W\d_]+(?:-[^\W\d_]+)*)[^\S\n]?\Z")
 _NUMBER = re.compile(r"(?=\S*\d)(?=\S*[OolIS])[\dOolIS]{2,}\Z")
@@ -105,7 +105,8 @@ def count_words(df: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
                 if isinstance(t, str):
                     c.update(w for w, _, _ in words(t) if len(w) <= 64)
                     c.update(w.lower() for w in _COMPOUND.findall(t) if len(w) <= 64)
-            yield pd.DataFrame({"w": list(c.keys()), "n": list(c.values())})
+            if c:
+                yield pd.DataFrame({"w": list(c.keys()), "n": list(c.values())})
 
     def doubles(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -114,7 +115,8 @@ def count_words(df: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
                 if isinstance(t, str):
                     ws = [w for w, _, _ in words(t)]
                     c.update((p, w) for p, w in zip(ws, ws[1:], strict=False) if len(p) <= 32 and len(w) <= 32)
-            yield pd.DataFrame({"p": [k[0] for k in c], "w": [k[1] for k in c], "n": list(c.values())})
+            if c:
+                yield pd.DataFrame({"p": [k[0] for k in c], "w": [k[1] for k in c], "n": list(c.values())})
 
     texts = df.select(text)
     one = texts.mapInPandas(singles, "w string, n bigint").groupBy("w").agg(F.sum("n").alias("n"))
@@ -205,8 +207,8 @@ def repairs(counts: DataFrame) -> DataFrame:
 
     def weigh(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            frame["cost"] = [cost(v, w) for w, v in zip(frame.w, frame.v, strict=True)]
-            yield frame[(frame.cost <= 1) | ((frame.cost <= 2) & (frame.w.str.len() >= 6))][["w", "v", "cost", "n_w", "n_v"]]
+            rows = [(w, v, cost(v, w), n_w, n_v) for w, v, n_w, n_v in frame.itertuples(index=False, name=None)]
+            yield pd.DataFrame([r for r in rows if r[2] <= (2 if len(r[0]) >= 6 else 1)], columns=["w", "v", "cost", "n_w", "n_v"])
 
     return met.select("w", "v", "n_w", "n_v").mapInPandas(weigh, "w string, v string, cost double, n_w bigint, n_v bigint")
 
@@ -375,7 +377,8 @@ def inner_shapes(df: DataFrame, text: str) -> DataFrame:
                 if isinstance(t, str):
                     own = [line for line in t.split("\n") if line.strip()]
                     c.update(shape(line.strip()) for line in own[2:-2] if len(line) <= LONGEST)
-            yield pd.DataFrame({"shape": list(c.keys()), "n": list(c.values())})
+            if c:
+                yield pd.DataFrame({"shape": list(c.keys()), "n": list(c.values())})
 
     return df.select(text).mapInPandas(run, "shape string, n bigint").groupBy(F.xxhash64("shape").alias("s")).agg(F.sum("n").alias("inner"))
 

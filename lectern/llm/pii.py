@@ -24,7 +24,7 @@ from lectern.llm.names import edits, fold, is_given, near_given
 from lectern.session import checkpointed
 
 #: Bits a context must disclose, and bits below which a term counts as standing mostly elsewhere.
-CONTEXT_BITS, TERM_BITS = 1.5, -1.0
+CONTEXT_BITS, TERM_BITS = 1.5, -4.0
 #: Times a context must be seen.
 LEAST_SEEN = 3
 PLACEHOLDERS = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "address": "[ADDRESS]", "name": "[NAME]"}
