@@ -7,14 +7,15 @@ so a search is one scan of the postings or vectors it needs and a top-k per part
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.functions.text import words_of
+from lectern.functions.text import fold, words_of
+from lectern.session import checkpointed
 
 K1, B = 1.2, 0.75
 #: A lexical hit adds this to the cosine; without a hit a cosine below LEAST drops out.
@@ -41,18 +42,19 @@ def statistics(df: DataFrame, text: str) -> DataFrame:
     return df.where(F.col(text).isNotNull() & (n > 0)).agg(F.count("*").alias("documents"), F.avg(n).alias("mean_len"))
 
 
-def _equals(term: str) -> Callable[[Column], Column]:
-    return lambda x: x == term
-
-
 def bm25(df: DataFrame, key: str, text: str, terms: list[str], scope: DataFrame | None = None) -> DataFrame:
     """Scores (key, score), greater is better, of texts with any of the terms. Statistics are the whole corpus's;
     scope only keeps some rows. Texts are tokenised once and only counts of the asked terms leave the scan."""
+    if not all(t.isalnum() for t in terms):
+        raise ValueError("terms are folded words")
     if len(terms) > MOST_TERMS:
         raise ValueError(f"more than {MOST_TERMS} terms")
-    words = df.select(F.col(key), words_of(F.col(text)).alias("w")).where("w is not null")
-    counts = [F.size(F.filter("w", _equals(t))).alias(f"t{i}") for i, t in enumerate(terms)]
-    rows = words.select(key, F.size("w").alias("len"), *counts).where("len > 0")
+    folded = df.where(F.col(text).isNotNull()).select(F.col(key), F.explode(F.array(fold(F.col(text)))).alias("f"))
+    # a plain substring test spares most texts the pattern
+    count = lambda t: F.when(F.col("f").contains(t), F.regexp_count("f", F.lit(rf"(?<![\p{{L}}\p{{N}}]){t}(?![\p{{L}}\p{{N}}])"))).otherwise(0)
+    counts = [count(t).alias(f"t{i}") for i, t in enumerate(terms)]
+    # generators of one row keep the folded text, and the counts, from being computed anew wherever they are used
+    rows = folded.select(key, F.inline(F.array(F.struct(F.regexp_count("f", F.lit(r"[\p{L}\p{N}]+")).alias("len"), *counts)))).where("len > 0")
     whole = rows.agg(F.count("*").alias("N"), F.avg("len").alias("mean"), *[F.count_if(F.col(f"t{i}") > 0).alias(f"d{i}") for i in range(len(terms))])
     score = F.lit(0.0)
     for i in range(len(terms)):
@@ -118,7 +120,7 @@ def within_budget(ranked: DataFrame, query: str, key: str, size: str, most: int
     The greedy choice is the next passage in order that still fits, taken most times. Each turn is one minimum
     per query, combined before its shuffle, so no query's candidates are gathered.
     """
-    rows = ranked.select(F.col(query).alias("q"), F.struct((-F.col("score")).alias("s"), F.col(key).alias("k"), F.col(size).alias("n")).alias("x"))
+    rows = checkpointed(ranked.select(F.col(query).alias("q"), F.struct((-F.col("score")).alias("s"), F.col(key).alias("k"), F.col(size).alias("n")).alias("x")))
     state = rows.groupBy("q").agg(F.lit(None).cast(rows.schema["x"].dataType).alias("last"), F.lit(0).cast("long").alias("used"), F.array().cast(f"array<{dict(ranked.dtypes)[key]}>").alias("kept"))
     for _ in range(most):
         open_ = rows.join(state, "q").where((F.col("last").isNull() | (F.col("x") > F.col("last"))) & (F.col("used") + F.col("x.n") <= chars))
