@@ -5,7 +5,7 @@ distinctive core. Candidates come from blocks keyed by the phonetic codes of the
 each code also stands under itself less one sign, so one slip leaves a key in common. Within a block parts are
 compared by Jaro-Winkler similarity and edit distance, given names also through a table of short forms and
 initials, kinds of organisations through abbreviations. Accepted pairs of full names are clustered by
-connected components. A name in part (an initial, a surname or a core alone) joins the one cluster it fits,
+connected components; where a component holds names known to differ, each name goes with the likest of them. A name in part (an initial, a surname or a core alone) joins the one cluster it fits,
 and none if it fits several. Links made earlier (entity_id) hold apart what they name differently.
 
 Comparisons are between different surfaces, never between rows, so a name in a third of all rows costs as much
@@ -408,6 +408,33 @@ def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
+def held_apart(links: DataFrame, known: DataFrame) -> DataFrame:
+    """Links (a, b, score) without those that join what labels (node, label) tell apart.
+
+    Only components with several labels lose any. There a node without a label takes that of the likest chain to
+    a labelled one (its weakest link counts, then how few they are, then the lesser label), and links between
+    nodes of different labels go. A chain grows worse with each link, so the rounds end.
+    """
+    labelled = components(links).join(known, "node", "left")
+    mixed = labelled.groupBy("root").agg(F.countDistinct("label").alias("k")).where("k > 1").select("root")
+    nodes = checkpointed(labelled.join(mixed, "root", "left_semi").select("node", "label"))
+    if nodes.isEmpty():
+        return links
+    both = checkpointed(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "score")).join(nodes.select(F.col("node").alias("a")), "a", "left_semi"))
+    seeds = nodes.where("label is not null").select("node", F.lit(1e9).alias("least"), F.lit(0).alias("far"), "label")
+    state = checkpointed(seeds)
+    while True:
+        offers = both.join(state, both["b"] == state["node"]).select(F.col("a").alias("node"), F.least("least", "score").alias("least"), (F.col("far") + 1).alias("far"), "label")
+        best = offers.groupBy("node").agg(F.max(F.struct("least", (-F.col("far")).alias("near"))).alias("x"))
+        tied = offers.join(best, "node").where((F.col("least") == F.col("x.least")) & (F.col("far") == -F.col("x.near"))).groupBy("node", "least", "far").agg(F.min("label").alias("label"))
+        after = checkpointed(seeds.unionByName(tied.join(seeds.select("node"), "node", "left_anti").select("node", "least", "far", "label")))
+        if after.exceptAll(state).isEmpty():
+            break
+        state = after
+    side = lambda end: after.select(F.col("node").alias(end), F.col("label").alias("label_" + end))
+    return checkpointed(links.join(side("a"), "a", "left").join(side("b"), "b", "left").where("label_a is null or label_b is null or label_a = label_b").select("a", "b", "score"))
+
+
 def clusters(df: DataFrame, surface: str = "surface", type_id: str = "type_id", entity_id: str = "entity_id") -> DataFrame:
     """Rows (surface, root): different surfaces and the cluster they belong to; surfaces linked to none are left out.
 
@@ -447,10 +474,13 @@ def clusters(df: DataFrame, surface: str = "surface", type_id: str = "type_id",
         .join(totals.toDF("gb", "nb", "ib"), "gb")
         .where("ia is null or ib is null or ia = ib")
     )
-    # of two groups the smaller is the slip; it goes with the likest greater one
-    slips = near.select(F.when(F.col("na") <= F.col("nb"), F.col("ga")).otherwise(F.col("gb")).alias("slip"), F.when(F.col("na") <= F.col("nb"), F.col("gb")).otherwise(F.col("ga")).alias("name"), "score")
-    best = slips.groupBy("slip").agg(F.max("score").alias("best"))
-    links = slips.join(best, "slip").where("score >= best - 0.01").select(F.col("slip").alias("a"), F.col("name").alias("b"))
+    # every accepted link counts; only what links made earlier or known given names tell apart stays so
+    links = checkpointed(near.select(F.col("ga").alias("a"), F.col("gb").alias("b"), "score"))
+    links = held_apart(links, totals.where("id is not null").select(F.col("g").alias("node"), F.col("id").cast("string").alias("label")))
+    bare = F.regexp_replace("other", "-", "")
+    given = read.where((F.col("kind") == "p") & (F.col("form") == "full") & bare.isin(list(_BARE_GIVEN))).select(F.col("surface").alias("node"), bare.alias("label")).distinct()
+    called = given.join(of, "node").groupBy("g").agg(F.min("label").alias("label"), F.max("label").alias("other")).where("label = other")
+    links = held_apart(links, called.select(F.col("g").alias("node"), "label"))
     whole = components(links)
     whole = of.join(whole.toDF("g", "root"), "g", "left").select("node", F.coalesce("root", "g").alias("root"))
     named = checkpointed(whole)

@@ -21,6 +21,17 @@ def test_names(spark):
     assert names.pairs(df.where(F.lit(False))).count() == 0
 
 
+def test_spellings_that_meet_through_a_rarer_one(spark):
+    # the outer two are two edits apart; the middle one is a slip of both, by different scores
+    chain = [("Sabine Vuldremont", 5), ("Sabine Vuldrement", 1), ("Sabine Ruldrement", 3)]
+    rows = [(s, "person", None) for s, n in chain for _ in range(n)]
+    df = spark.createDataFrame(rows, "surface string, type_id string, entity_id double")
+    assert {tuple(r) for r in names.pairs(df).collect()} == pairs_of([s for s, _ in chain])
+    ids = {"Sabine Vuldremont": 1.0, "Sabine Ruldrement": 2.0}
+    known = spark.createDataFrame([(s, t, ids.get(s)) for s, t, _ in rows], df.schema)
+    assert {tuple(r) for r in names.pairs(known).collect()} == pairs_of(["Sabine Vuldremont", "Sabine Vuldrement"])
+
+
 def test_components(spark):
     chain = [(f"{i:03}", f"{i + 1:03}") for i in range(30)] + [("x", "y")]
     got = {r["node"]: r["root"] for r in names.components(spark.createDataFrame(chain, "a string, b string")).collect()}
