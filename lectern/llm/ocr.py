@@ -63,7 +63,8 @@ def _mails(text: str) -> list[tuple[int, int]]:
 
 
 def words(text: str) -> list[tuple[str, int, int]]:
-    """Words of a text with their places, elisions cut off, in lower case; numbers as #; mail addresses left out."""
+    """Words of a text with their places, elisions cut off, in lower case; numbers and short words in capitals as #;
+    mail addresses left out. Short words that mix letters and digits are words (see beside)."""
     out = []
     skip = _mails(text)
     at = 0
@@ -77,22 +78,31 @@ def words(text: str) -> list[tuple[str, int, int]]:
         e = _ELISION.match(w)
         if e and len(w) > e.end():
             a, w = a + e.end(), w[e.end() :]
-        # numbers, codes of capitals and house numbers are no words
-        code = w.isdigit() or (len(w) <= 3 and (w.isupper() or any(c.isdigit() for c in w)))
+        # numbers, also with letters for digits, and codes of capitals are no words
+        code = w.isdigit() or (len(w) <= 3 and (_NUMBER.match(w) is not None or (w.isupper() and w.isalpha())))
         out.append(("#" if code else w.lower(), a, b))
     return out
 
 
-def _odd_number(text: str) -> bool:
-    """Whether letters stand for digits within a number."""
+def beside(word: str) -> str:
+    """A word as its neighbours' context has it: short ones with digits are mostly codes and house numbers, so #."""
+    return "#" if len(word) <= 3 and any(c.isdigit() for c in word) else word
+
+
+_AS_DIGITS = str.maketrans("OolIS", "00115")
+
+
+def odd_numbers(text: str) -> list[tuple[int, int, str]]:
+    """Where letters stand for digits within a number, and the number meant: (a, b, digits)."""
+    out = []
     skip = None
     for m in _MIXED.finditer(text):
         w = m.group()
         if _NUMBER.match(w) and not _CODE.match(w) and not re.fullmatch(r"\d+S", w):
             skip = _mails(text) if skip is None else skip
             if not any(a < m.end() and m.start() < b for a, b in skip):
-                return True
-    return False
+                out.append((m.start(), m.end(), w.translate(_AS_DIGITS)))
+    return out
 
 
 def count_words(df: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
@@ -114,13 +124,15 @@ def count_words(df: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
             for t in frame[text]:
                 if isinstance(t, str):
                     ws = [w for w, _, _ in words(t)]
-                    c.update((p, w) for p, w in zip(ws, ws[1:], strict=False) if len(p) <= 32 and len(w) <= 32)
+                    for p, w in zip(ws, ws[1:], strict=False):
+                        if len(p) <= 32 and len(w) <= 32:
+                            c.update({(beside(p), w), (p, beside(w))})
             if c:
                 yield pd.DataFrame({"p": [k[0] for k in c], "w": [k[1] for k in c], "n": list(c.values())})
 
     texts = df.select(text)
     one = texts.mapInPandas(singles, "w string, n bigint").groupBy("w").agg(F.sum("n").alias("n"))
-    two = texts.mapInPandas(doubles, "p string, w string, n bigint").groupBy("p", "w").agg(F.sum("n").alias("n")).where("n > 1")
+    two = texts.mapInPandas(doubles, "p string, w string, n bigint").groupBy("p", "w").agg(F.sum("n").alias("n"))
     return one, two
 
 
@@ -184,12 +196,14 @@ def repairs(counts: DataFrame) -> DataFrame:
         for frame in frames:
             out = []
             for w, n in frame.itertuples(index=False, name=None):
-                if w == "#" or len(w) < 2:
+                if w == "#":
                     continue
                 known = n >= LEAST
                 own = {w} | ({w[:i] + w[i + 1 :] for i in range(len(w))} if len(w) > 2 else set())
                 if len(w) == 2:
                     own |= {"?" + w[1], w[0] + "?"}
+                if len(w) == 1:
+                    own.add("?")
                 if known:
                     out.extend((k, w, n, True) for k in own)
                 asked = set(own) | unconfused(w)
@@ -224,8 +238,8 @@ def suspects(df: DataFrame, key: str, text: str, skip: frozenset[str]) -> DataFr
                     continue
                 ws = words(t)
                 for i, (w, a, b) in enumerate(ws):
-                    if w not in skip and w != "#" and 2 <= len(w) <= 64:
-                        out.append((k, a, b, ws[i - 1][0] if i else "", w, ws[i + 1][0] if i + 1 < len(ws) else ""))
+                    if w not in skip and w != "#" and len(w) <= 64:
+                        out.append((k, a, b, beside(ws[i - 1][0]) if i else "", w, beside(ws[i + 1][0]) if i + 1 < len(ws) else ""))
             yield pd.DataFrame(out, columns=["row_id", "a", "b", "p", "w", "q"])
 
     return df.select(F.col(key).cast("bigint").alias("row_id"), F.col(text).alias("text")).mapInPandas(run, "row_id bigint, a int, b int, p string, w string, q string")
@@ -248,7 +262,9 @@ def misread_words(df: DataFrame, counts: DataFrame, pairs: DataFrame, key: str,
     )
     support = F.log1p(F.col("pv").cast("double")) + F.log1p(F.col("vq").cast("double"))
     score = support + F.log(F.col("n_v").cast("double")) / 2 - 2 * F.col("cost")
-    against = F.log1p(F.col("pw").cast("double")) + F.log1p(F.col("wq").cast("double"))
+    # a word seen once beside its neighbour is this very one, which speaks for nothing
+    again = lambda c: F.log1p(F.when(F.col(c) > 1, F.col(c)).otherwise(0).cast("double"))
+    against = again("pw") + again("wq")
     # short words, and words that are themselves common, need a neighbour that speaks for the candidate
     fits = F.when((F.length("w") <= 3) | (F.col("n_w") >= LEAST), support > against + 1).otherwise(F.lit(True))
     return (
@@ -421,8 +437,15 @@ def defects(df: DataFrame, key: str = "row_id", text: str = "text", path: str =
     one, two = count_words(df, text)
     counts, pairs = checkpointed(one), checkpointed(two)
     wrong = misread_words(df, counts, pairs, key, text).select("row_id", "a", "b", F.lit("misread").alias("defect"), F.col("v").alias("repair"))
-    odd = F.pandas_udf(lambda s: pd.Series([isinstance(t, str) and _odd_number(t) for t in s]), "boolean")
-    digits = df.where(odd(F.col(text))).select(F.col(key).cast("bigint").alias("row_id"), F.lit(-1).alias("a"), F.lit(-1).alias("b"), F.lit("misread").alias("defect"), F.lit(None).cast("string").alias("repair"))
+
+    def odd(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = [(k, a, b, "misread", v) for k, t in frame.itertuples(index=False, name=None) if isinstance(t, str) for a, b, v in odd_numbers(t)]
+            yield pd.DataFrame(out, columns=["row_id", "a", "b", "defect", "repair"])
+
+    digits = df.select(F.col(key).cast("bigint").alias("row_id"), F.col(text).alias("text")).mapInPandas(odd, "row_id bigint, a int, b int, defect string, repair string")
+    # what context reads as a word is no number
+    digits = digits.join(wrong.select("row_id", "a", "b"), ["row_id", "a", "b"], "left_anti")
     split = split_words(df, counts, key, text).select("row_id", "a", "b", F.lit("hyphenation").alias("defect"), F.lit("").alias("repair"))
     gone = furniture(df, key, text, path, page).withColumn("repair", F.lit(None).cast("string"))
     return wrong.unionAll(digits).unionAll(split).unionByName(gone)
@@ -440,7 +463,7 @@ _NOISE = re.compile(r"^[^\w\n]{4,}$|^([^\s])\1{7,}$")
 def mend(text: str, marks: list[dict]) -> str:
     """A page's text with its marks undone, as paragraphs of one line each."""
     parts, at = [], 0
-    for m in sorted((m for m in marks if m["a"] >= 0), key=lambda m: (m["a"], -m["b"])):
+    for m in sorted(marks, key=lambda m: (m["a"], -m["b"])):
         if m["a"] < at:
             continue
         parts.append(text[at : m["a"]])

@@ -77,6 +77,19 @@ def test_cost():
     assert ocr.skeleton("Cabinet Graserney") == ocr.skeleton("Cabmet Graserriey")
 
 
+def test_short_words_and_numbers(spark):
+    rows = [(i, f"f{i}", 1, "voir la réf du dossier et le bilan à refaire avec soin") for i in range(30)] + [(50, "g", 1, "poser rien"), (51, "h", 1, "rien demain")]
+    rows += [(60, "x", 1, "voir la r6f du dossier"), (61, "y", 1, "le l6 mars, 999,9O francs et 1O jours"), (63, "w", 1, "au 12b rue Haute, 99S")]
+    df = spark.createDataFrame(rows, "row_id bigint, relative_path string, page_number bigint, text string")
+    fixed = {r["row_id"]: r["text"] for r in ocr.repaired(df).collect()}
+    assert fixed[60] == "voir la réf du dossier" and fixed[61] == "le 16 mars, 999,90 francs et 10 jours"
+    assert fixed[63] == "au 12b rue Haute, 99S"
+    found = {r["row_id"] for r in ocr.defects(df).where("defect = 'misread'").collect()}
+    assert {60, 61} <= found and 63 not in found
+    _, two = ocr.count_words(df, "text")
+    assert two.where("p = 'poser' and w = 'rien'").first()["n"] == 1
+
+
 def test_pages(spark):
     body = "le dossier de la personne est complet et la consultation reste prévue pour la semaine"
     own = ["Première page", "Deuxième texte", "Troisième avis", "Quatrième note", "Dernière lettre"]
