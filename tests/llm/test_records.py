@@ -15,6 +15,18 @@ def test_align():
     assert survivor.align([], ["a"]) == [(0, 0, None)]
 
 
+def test_long_values_align_alike(monkeypatch):
+    rng = random.Random(3)
+    long = [f"w{i}" for i in range(700)]
+    other = ["x", *long[:350], "new", *long[350:], "y"]
+    votes = survivor.align(other, ["z", *long, "q"])
+    assert {(i, j, t) for i, j, t in votes if t == "new"} == {(350, 1, "new")} and (700, 0, "w699") in votes
+    cases = [([rng.choice("abcd") for _ in range(rng.randint(1, 20))], [rng.choice("abcd") for _ in range(rng.randint(1, 20))]) for _ in range(300)]
+    whole = [survivor.align(v, p) for v, p in cases]
+    monkeypatch.setattr(survivor, "MOST_CELLS", 0)
+    assert [survivor.align(v, p) for v, p in cases] == whole
+
+
 def fields(spark):
     at = datetime(2026, 1, 1)
     rows = [
