@@ -1,32 +1,44 @@
 """Finding personal information in free text and replacing it by typed placeholders.
 
 What has a form of its own (mail addresses, telephone numbers, identity numbers, postal addresses) is read by
-its form. Names have none, so how much a term discloses is estimated from the corpus: places where a person
-certainly stands (after a form of address, or a known given name beside another name) are counted by the words
-before them and by the terms in them, against all capitalised terms. The information a context or a term gives
-about a person standing there, log2 of how much likelier that is than anywhere, is its disclosure; a term
-without a title or given name is a name where its context discloses more than a threshold and the term itself
-isn't one that mostly stands elsewhere.
-
-Mentions are then removed, each replaced by a placeholder of its type; all other text stays.
+its form. Names have none, so how much a candidate discloses is estimated from the corpus, in bits:
+
+- Given names are learned: of two capitalised words after a form of address, the one that keeps company with
+  more different partners is the given name. A list of common ones (``names.GIVEN``) adds to them, so that small
+  corpora have enough; ``listed=False`` leaves it out.
+- The words before a candidate, and its distinctive term, each give the information that a person stands there:
+  log2 of how much likelier a person (a form of address or a given name beside it) is found with them than
+  anywhere. A candidate's own standing never counts for itself.
+- So does its form (a form of address before it, a given name or an initial beside it, or neither): log2 of how
+  much oftener candidates of the form are borne out elsewhere (by their term or their context) than others.
+
+A candidate whose bits together exceed the threshold is a name, whatever its form; no form is let through
+without them. Mentions are then removed, each generalised to its type by a placeholder; all other text stays.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect_right, insort
+from collections import Counter
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.names import edits, fold, is_given, near_given
+from lectern.llm.names import GIVEN, edits, fold, is_given, near_given
 from lectern.session import checkpointed
 
-#: Bits a context must disclose, and bits below which a term counts as standing mostly elsewhere.
-CONTEXT_BITS, TERM_BITS = 1.5, -4.0
-#: Times a context must be seen.
-LEAST_SEEN = 3
+#: Bits a candidate must disclose to be removed: at 0 a person is as likely there as anywhere.
+BITS = 0.0
+#: Times a word must stand after forms of address, and its share of those places as the one with more partners.
+LEAST_SEEN, GIVEN_SHARE = 3, 0.7
+#: The listed given names, without hyphens.
+LISTED = sorted({g.replace("-", "") for g in GIVEN})
+#: Parts a frequent term or context is split into when its candidates meet its counts.
+SALTS = 8
 PLACEHOLDERS = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "address": "[ADDRESS]", "name": "[NAME]"}
 
 # A digit as recognisers may render it, a gap inside a mention, and a word that may be broken over a line end.
@@ -70,12 +82,15 @@ _LONG_TITLES = [t for t in TITLES if len(t) >= 5]
 _T = rf"(?:{_UP}[\wÀ-ÿ'’]+(?:-\n?{_UP}[\wÀ-ÿ'’]*)*{_BREAK})"
 _I = rf"(?:{_UP}\.(?:[-\s]?{_UP}\.)?)"
 _TOKEN = re.compile(rf"{_I}(?!\w)|{_T}|{_UP}(?!\w)")
+_INITIAL, _POINTED = re.compile(rf"{_I}|{_UP}"), re.compile(_I)
+_AND = re.compile(r"\s*,?\s*(?:et|and|und|ct|e1)\s+")
 _WORDS = re.compile(r"\w[\w'’-]*|[:,;(.\[]")
 _SPACE = re.compile(r"\s+")
 _NEXT = re.compile(r"[^\S\n]*\n?[^\S\n]*")
 _COMMA_NEXT = re.compile(r",[^\S\n]*\n?[^\S\n]*")
 
 
+@lru_cache(maxsize=100_000)
 def _plain(word: str) -> str:
     return fold(re.sub(r"[-‐¬­]\s*\n\s*", "", word)).replace("0", "o").replace("1", "l").strip(".'’")
 
@@ -83,6 +98,7 @@ def _plain(word: str) -> str:
 _TITLE = re.compile(rf"[^\s,;:()\[]+{_BREAK}")
 
 
+@lru_cache(maxsize=100_000)
 def _titled(word: str) -> bool:
     """Whether a word is a form of address, whole or broken over a line end, or misread in a sign or two."""
     if word in _TITLE_SET:
@@ -103,13 +119,13 @@ def _phone(match: str) -> bool:
     return total == 10 and (groups[0] in (2, 3, 10) or len(groups) <= 2)
 
 
-def _name_at(text: str, at: int, sure: bool) -> tuple[int, str, str] | None:
+def _name_at(text: str, at: int, sure: bool, is_given: Callable[[str], bool], near: Callable[[str], bool]) -> tuple[int, str, str] | None:
     """The name that starts at a place: its end, its distinctive term, and its shape: given (with a known given
     name), initial, or alone. sure: a person stands here, so terms near a given name count as one."""
     m = _TOKEN.match(text, at)
     if not m:
         return None
-    known = (lambda w: is_given(w) or near_given(w)) if sure else is_given
+    known = (lambda w: is_given(w) or near(w)) if sure else is_given
     one, end = m.group(), m.end()
     first = _plain(one)
     c = _COMMA_NEXT.match(text, end)
@@ -119,12 +135,12 @@ def _name_at(text: str, at: int, sure: bool) -> tuple[int, str, str] | None:
             return n.end(), first, "given"
     g = _NEXT.match(text, end)
     n = _TOKEN.match(text, g.end()) if g and g.end() > end else None
-    initial = re.fullmatch(rf"{_I}|{_UP}", one) is not None
+    initial = _INITIAL.fullmatch(one) is not None
     if n:
         two, second = n.group(), _plain(n.group())
         if _titled(two) or one in _TITLE_SET:
             n = None
-        elif re.fullmatch(_I, two):
+        elif _POINTED.fullmatch(two):
             h = _NEXT.match(text, n.end())
             if not sure and h.end() > n.end() and _TOKEN.match(text, h.end()):
                 return None  # the initial belongs to what follows
@@ -150,29 +166,54 @@ def _name_at(text: str, at: int, sure: bool) -> tuple[int, str, str] | None:
     return end, first, "alone"
 
 
+@lru_cache(maxsize=100_000)
+def _context_word(word: str) -> str:
+    return re.sub(r"\d+", "9", fold(word))
+
+
 def _before(text: str, at: int) -> str:
     """The last two words or marks before a place, folded, digits alike."""
-    words = _WORDS.findall(text[max(0, at - 48) : at])
-    return " ".join(re.sub(r"\d+", "9", fold(w)) for w in words[-2:])
+    start = at
+    for _ in range(3):  # a blank more than two words back at least
+        start = max(text.rfind(" ", 0, max(0, start - 1)), text.rfind("\n", 0, max(0, start - 1)), 0)
+    return " ".join(map(_context_word, _WORDS.findall(text[start:at])[-2:]))
 
 
-def candidates(text: str) -> list[tuple[str, int, int, str, str, str]]:
-    """Mentions by form, and possible names, as (kind, start, end, context, term, sure); sure is yes for what
-    needs no corpus to tell, given for a known given name beside another, no for the rest."""
-    out, taken = [], []
+_MAIL_SIGN = re.compile(r"@|\(at\)|\[at\]|\{at\}", re.IGNORECASE)
+_TOWN_SIGN = re.compile(rf"{_D}{{4}}\s+{_UP}")
 
-    def free(a: int, b: int) -> bool:
-        return all(b <= x or a >= y for x, y in taken)
 
-    for kind, pattern in (("email", EMAIL), ("id_number", AHV), ("id_number", NIR), ("id_number", DOCUMENT), ("address", ADDRESS), ("phone", PHONE)):
+def candidates(text: str, learned: frozenset[str] = frozenset(), listed: bool = True) -> list[tuple[str, int, int, str, str, str]]:
+    """Mentions by form, and possible names, as (kind, start, end, context, term, form); form is titled after a form
+    of address, given for a known given name beside another, initial, alone, or empty for what is no name.
+    learned: given names of the corpus; listed: whether those of the list are known too."""
+    out: list[tuple[str, int, int, str, str, str]] = []
+    taken: list[tuple[int, int]] = []  # apart from one another and in order
+
+    def known_given(w: str) -> bool:
+        return w in learned or (listed and is_given(w))
+
+    def near(w: str) -> bool:
+        return listed and near_given(w)
+
+    def free(a: int, b: int) -> bool:
+        i = bisect_right(taken, (a, b))
+        return (i == 0 or taken[i - 1][1] <= a) and (i == len(taken) or taken[i][0] >= b)
+
+    forms = [("id_number", AHV), ("id_number", NIR), ("id_number", DOCUMENT), ("phone", PHONE)]
+    if _TOWN_SIGN.search(text):
+        forms.insert(3, ("address", ADDRESS))
+    if _MAIL_SIGN.search(text):
+        forms.insert(0, ("email", EMAIL))
+    for kind, pattern in forms:
         for m in pattern.finditer(text):
             a, b = m.span()
             if not free(a, b) or (kind == "phone" and not _phone(m.group())):
                 continue
             if kind != "email" and sum(c.isdigit() for c in m.group()) * 4 < 3 * sum(bool(re.match(_D, c)) for c in m.group()) and kind != "address":
                 continue
-            taken.append((a, b))
-            out.append((kind, a, b, "", "", "yes"))
+            insort(taken, (a, b))
+            out.append((kind, a, b, "", "", ""))
     last = -1
     at = 0
     while m := _TOKEN.search(text, at):
@@ -195,83 +236,154 @@ def candidates(text: str) -> list[tuple[str, int, int, str, str, str]]:
                 break
             start, sure = g.end(), True
         context = _before(text, a)
-        if last >= 0 and re.fullmatch(r"\s*,?\s*(?:et|and|und|ct|e1)\s+", text[last:a]):
+        if last >= 0 and _AND.fullmatch(text, last, a):
             context = "<name> et"
-        found = _name_at(text, start, sure or context == "<name> et")
+        found = _name_at(text, start, sure or context == "<name> et", known_given, near)
         if not found or not free(start, found[0]):
             at = max(at, start)
             continue
         end, term, shape = found
         if sure and word == text[start:end] and not free(start, end):
             continue
-        if sure:
-            state = "yes"
-        else:
-            state = "given" if shape == "given" else ("initial" if shape == "initial" else "no")
-            if shape == "alone" and (is_given(term) or len(term) < 3):
-                state = "skip"
-        if state != "skip":
-            out.append(("name", start, end, context, term, state))
-        if state in ("yes", "given"):
-            last = end
-        else:
-            last = -1 if state == "no" else end
-        at = end if state in ("yes", "given", "initial") else max(m.end(), start)
+        form = "titled" if sure else shape
+        if form == "alone" and (known_given(term) or len(term) < 3):
+            last, at = end, max(m.end(), start)
+            continue
+        out.append(("name", start, end, context, term, form))
+        last = -1 if form == "alone" else end
+        at = max(m.end(), start) if form == "alone" else end
     return out
 
 
-def read(df: DataFrame, key: str = "row_id", text: str = "text") -> DataFrame:
-    """Candidates of every text: row_id, kind, a, b, found, context, term, state, offsets in code points."""
+def _terms(df: DataFrame) -> DataFrame:
+    """Of rows (row_id, text): pairs (x, y, first, n) of capitalised words after a form of address, first where x is
+    the given name by its writing; counts (x, n) of texts with a capitalised word, both without row_id; and rows
+    (row_id, x) of words that stand beside another capitalised one."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = [
-                (k, kind, a, b, _SPACE.sub(" ", t[a:b]), context, term, state)
-                for k, t in frame.itertuples(index=False, name=None)
+            c: Counter[tuple[str, str, bool]] = Counter()
+            texts: Counter[str] = Counter()
+            out: list[tuple] = []
+            for k, t in frame.itertuples(index=False, name=None):
+                if not isinstance(t, str):
+                    continue
+                for m in _TITLED_PAIR.finditer(t):
+                    x, y = m.group(1), m.group(2)
+                    c[_plain(x), _plain(y), not x.isupper() or y.isupper()] += 1
+                texts.update({_plain(w) for w in set(_CAPITALISED.findall(t))})
+                beside = {w for m in _PAIR.finditer(t) for w in m.groups()}
+                out.extend((k, x, None, None, 1) for x in {_plain(w) for w in beside})
+            out.extend((None, x, y, first, n) for (x, y, first), n in c.items())
+            out.extend((None, x, None, None, n) for x, n in texts.items())
+            yield pd.DataFrame(out, columns=["row_id", "x", "y", "first", "n"]).astype({"row_id": "Int64", "first": "boolean"})
+
+    return df.mapInPandas(run, "row_id bigint, x string, y string, first boolean, n bigint")
+
+
+_AFTER = r"(?:[^\S\n]*\n?[^\S\n]*|,\s*)"
+_TITLED_PAIR = re.compile(rf"(?<!\w)(?:{'|'.join(map(re.escape, sorted(TITLES, key=len, reverse=True)))})(?:[^\S\n]+\n?|\n)[^\S\n]*({_T}){_AFTER}({_T})(?!\w)")
+_CAPITALISED = re.compile(_T)
+_PAIR = re.compile(rf"(?<!\w)({_T})(?:[^\S\n]+\n?[^\S\n]*|\n[^\S\n]*|,\s*)(?=({_T}))")
+
+
+def given_names(terms: DataFrame, listed: bool = True, least: int = LEAST_SEEN, share: float = GIVEN_SHARE) -> DataFrame:
+    """Given names (x) learned from the rows of _terms.
+
+    Of the two words of a pair the one whose partners carry more information (their entropy, in bits) is the given
+    name; within half a bit of each other the one with its place and writing is, and one listed is before one that
+    isn't. A word is learned that is the given name in ``share`` of its pairs, at least ``least`` times, and that
+    is capitalised mostly because it is a name: it stands in such pairs as often as in a tenth of the texts it is in.
+    """
+    one = terms.where("y is not null and x <> y").groupBy("x", "y").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("first"), F.col("n")).otherwise(0)).alias("k"))
+    one = checkpointed(one)
+    sides = one.select("x", "n").unionAll(one.select("y", "n"))
+    entropy = checkpointed(sides.groupBy("x").agg((F.log2(F.sum("n")) - F.sum(F.col("n") * F.log2("n")) / F.sum("n")).alias("h")))
+    of = lambda c: entropy.select(F.col("x").alias(c), F.col("h").alias("of_" + c))
+    both = one.join(of("x"), "x").join(of("y"), "y")
+    far = F.col("of_x") - F.col("of_y")
+    for_x = F.when(far > 0.5, F.col("n")).when(far < -0.5, F.lit(0)).otherwise(F.col("k"))
+    if listed:
+        x, y = (F.regexp_replace(c, "-", "").isin(LISTED) for c in ("x", "y"))
+        for_x = F.when(x & ~y, F.col("n")).when(y & ~x, F.lit(0)).otherwise(for_x)
+    votes = both.select(F.explode(F.array(F.struct("x", "n", for_x.alias("v")), F.struct(F.col("y").alias("x"), "n", (F.col("n") - for_x).alias("v")))).alias("s")).select("s.*")
+    chosen = votes.groupBy("x").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).where((F.col("v") >= least) & (F.col("v") >= F.col("n") * share))
+    texts = terms.where("row_id is null and y is null").groupBy("x").agg(F.sum("n").alias("texts"))
+    return chosen.join(texts, "x").where(F.col("n") * 10 >= F.col("texts")).select("x")
+
+
+def read(df: DataFrame, key: str = "row_id", text: str = "text", listed: bool = True) -> DataFrame:
+    """Candidates of every text: row_id, kind, a, b, found, context, term, form, offsets in code points."""
+    rows = df.select(F.col(key).cast("bigint").alias("row_id"), F.col(text).alias("text"))
+    terms = checkpointed(_terms(rows))
+    learned = given_names(terms, listed)
+    # words of a text are as many as it has, so the list is bounded by the text it joins
+    own = terms.where("row_id is not null").join(learned, "x", "left_semi").groupBy("row_id").agg(F.collect_set("x").alias("learned"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = [
+                (k, kind, a, b, _SPACE.sub(" ", t[a:b]), context, term, form)
+                for k, t, known in frame.itertuples(index=False, name=None)
                 if isinstance(t, str)
-                for kind, a, b, context, term, state in candidates(t)
+                for kind, a, b, context, term, form in candidates(t, frozenset() if known is None else frozenset(known), listed)
             ]
-            yield pd.DataFrame(rows, columns=["row_id", "kind", "a", "b", "found", "context", "term", "state"])
+            yield pd.DataFrame(out, columns=["row_id", "kind", "a", "b", "found", "context", "term", "form"])
 
-    return df.select(F.col(key).cast("bigint").alias("row_id"), F.col(text).alias("text")).mapInPandas(
-        run, "row_id bigint, kind string, a int, b int, found string, context string, term string, state string"
+    return rows.join(own, "row_id", "left").select("row_id", "text", "learned").mapInPandas(
+        run, "row_id bigint, kind string, a int, b int, found string, context string, term string, form string"
     )
 
 
-def disclosure(possible: DataFrame, by: str) -> DataFrame:
-    """Rows (by, seen, bits): how much likelier a person stands there than at any capitalised term."""
-    anchored = F.col("state").isin("yes", "given").cast("double")
-    whole = possible.agg(F.avg(anchored).alias("base"))  # one row
-    counted = possible.groupBy(by).agg(F.count("*").alias("seen"), F.sum(anchored).alias("hits"))
-    rate = (F.col("hits") + F.col("base")) / (F.col("seen") + 1)
-    return counted.join(F.broadcast(whole)).select(by, "seen", F.log2(rate / F.col("base")).alias("bits"))
-
-
-def mentions(df: DataFrame, key: str = "row_id", text: str = "text", context_bits: float = CONTEXT_BITS, term_bits: float = TERM_BITS) -> DataFrame:
+def disclosed(possible: DataFrame) -> DataFrame:
+    """Bits of every combination (context, term, form) among candidates: context_bits, term_bits, form_bits, bits,
+    with n, how many candidates have it."""
+    groups = checkpointed(possible.groupBy("context", "term", "form").agg(F.count("*").alias("n")))
+    person = F.col("form").isin("titled", "given").cast("double")
+    base = groups.agg((F.sum(person * F.col("n")) / F.sum("n")).alias("base"))  # one row
+
+    def bits(by: str) -> Column:
+        """Of a term or context, one candidate of the group itself left out."""
+        rate = (F.col(f"{by}_hits") - person + F.col("base")) / F.col(f"{by}_seen")
+        return F.log2(rate / F.col("base"))
+
+    met = groups
+    for by in ("context", "term"):
+        counts = groups.groupBy(by).agg(F.sum("n").alias(f"{by}_seen"), F.sum(person * F.col("n")).alias(f"{by}_hits"))
+        counts = counts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        other = "term" if by == "context" else "context"
+        met = met.withColumn("salt", F.pmod(F.xxhash64(other, "form"), F.lit(SALTS)).cast("int")).join(counts, [by, "salt"]).drop("salt")
+    met = met.join(F.broadcast(base)).where("base > 0")
+    met = checkpointed(met.select("context", "term", "form", "n", bits("context").alias("context_bits"), bits("term").alias("term_bits"), (F.col("term_hits") - person > 0).alias("again")))
+    # a form is borne out by a term found with a person elsewhere, or by a context that speaks for one
+    out = ((F.col("again")) | (F.col("context_bits") >= 1)).cast("double")
+    forms = met.groupBy("form").agg(F.sum("n").alias("all"), F.sum(out * F.col("n")).alias("out"))  # as many rows as forms
+    whole = met.agg(((F.sum(out * F.col("n")) + 0.5) / (F.sum("n") + 1)).alias("whole"))  # one row
+    forms = forms.join(F.broadcast(whole)).select("form", F.log2((F.col("out") + F.col("whole")) / (F.col("all") + 1) / F.col("whole")).alias("form_bits"))
+    return met.drop("again").join(F.broadcast(forms), "form").withColumn("bits", F.col("context_bits") + F.col("term_bits") + F.col("form_bits"))
+
+
+def mentions(df: DataFrame, key: str = "row_id", text: str = "text", bits: float = BITS, listed: bool = True) -> DataFrame:
     """Mentions of personal information: row_id, kind, a, b (offsets in code points), found.
 
-    Null and empty texts have none. Rows with equal keys are read each for itself. Other columns are dropped,
-    so names cannot clash. An empty table gives no rows.
+    Null and empty texts have none. Keys are unique. Other columns are dropped, so names cannot clash. An empty
+    table gives no rows; in a table where no form of address and no given name stands, no name is told from other words.
     """
-    every = checkpointed(read(df, key, text))
+    every = checkpointed(read(df, key, text, listed))
     possible = every.where("kind = 'name'")
-    contexts = disclosure(possible, "context").where(F.col("seen") >= LEAST_SEEN).select("context", F.col("bits").alias("context_bits"))
-    terms = disclosure(possible, "term").select("term", F.col("bits").alias("term_bits"))
-    names = (
-        possible.join(contexts, "context", "left")
-        .join(terms, "term", "left")
-        .where(
-            (F.col("state") == "yes")
-            | (F.col("state") == "given") & (F.coalesce("context_bits", F.lit(0.0)) > -6)
-            | F.col("state").isin("initial", "no") & (F.col("context_bits") >= context_bits) & (F.col("term_bits") >= term_bits)
-            | (F.col("state") == "initial") & (F.col("term_bits") >= context_bits)
-        )
-    )
+    names = possible.join(disclosed(possible).where(F.col("bits") >= bits).select("context", "term", "form"), ["context", "term", "form"], "left_semi")
     columns = ["row_id", "kind", "a", "b", "found"]
     return every.where("kind <> 'name'").select(columns).unionAll(names.select(columns))
 
 
-def redact(df: DataFrame, key: str = "row_id", text: str = "text", **how: float) -> DataFrame:
+def decided(df: DataFrame, key: str = "row_id", text: str = "text", bits: float = BITS, listed: bool = True) -> DataFrame:
+    """What disclosure decides about possible names, by form: candidates, removed (names), kept (stay as text)."""
+    met = disclosed(checkpointed(read(df, key, text, listed).where("kind = 'name'")))
+    name = (F.col("bits") >= bits).cast("bigint")
+    return met.groupBy("form").agg(F.sum("n").alias("candidates"), F.sum(F.col("n") * name).alias("removed"), F.sum(F.col("n") * (1 - name)).alias("kept"))
+
+
+def redact(df: DataFrame, key: str = "row_id", text: str = "text", **how: object) -> DataFrame:
     """row_id and text with every mention replaced by its placeholder; a null text stays null. key is unique."""
 
     @F.pandas_udf("string")

@@ -30,6 +30,11 @@ def p3_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.redact(table(spark, sf_dir, "ocr_page_cache"))
 
 
+def p3_decided(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What disclosure removes and keeps of possible names, by their form."""
+    return pii.decided(table(spark, sf_dir, "ocr_page_cache"))
+
+
 FACT = ["domain", "path", "kind", "detail"]
 
 
@@ -97,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_repaired": p2_repaired,
     "p3_found": p3_found,
     "p3_redacted": p3_redacted,
+    "p3_decided": p3_decided,
     "p5_found": p5_found,
     "p5_pieces": p5_pieces,
     "p6_found": p6_found,

@@ -60,7 +60,7 @@ def test_forms(kind, text, found):
 
 @pytest.mark.parametrize("text", ["le 01.07.2024 10 h", "dossier LIL 544-5617", "réf. XR-371674", "CHF 1'234.50", "Laboratoire de Cachotet SA", "à Verbriney le 3 mai 2024"])
 def test_look_alikes(text):
-    assert [c for c in pii.candidates(text) if c[5] in ("yes", "given")] == []
+    assert [c for c in pii.candidates(text) if c[0] != "name" or c[5] in ("titled", "given")] == []
 
 
 def test_redaction(spark):
@@ -72,6 +72,27 @@ def test_redaction(spark):
     assert pii.mentions(df.where(F.lit(False))).count() == 0
 
 
+def test_given_names_are_learned(spark):
+    given, surnames = ["Albane", "Ciro", "Dovi", "Elke"], ["Muradoz", "Tessinard", "Vobrel", "Zanquet", "Pirolat", "Quintard", "Ruvelin"]
+    rows = [(10 * i + j, f"On a vu Mme {g} {s.upper()} hier avec le dossier.") for i, g in enumerate(given) for j, s in enumerate(surnames)]
+    rows += [(900 + i, f"Merci de rappeler {s.upper()} {g} demain.") for i, (g, s) in enumerate(zip(given, surnames, strict=False))]
+    rows += [(950 + i, f"Le Dossier LIL {i} suit. Le Bilan est fait. Dans la Salle {i} on attend.") for i in range(40)]
+    rows += [(990, "Bilan Mme Vobrel Dossier LIL")]
+    df = spark.createDataFrame(rows, "row_id bigint, text string")
+    found = {(r["row_id"], r["found"]) for r in pii.mentions(df, listed=False).collect()}
+    assert {(900 + i, f"{s.upper()} {g}") for i, (g, s) in enumerate(zip(given, surnames, strict=False))} <= found
+    assert not [f for _, f in found if "Dossier" in f and "LIL" in f]
+
+
+def test_disclosure_decides_for_every_form(spark):
+    rows = [(i, f"Le compte de Mme Sabine Roux est clos, dossier {i}.") for i in range(6)]
+    rows += [(100 + i, f"On note ({w}) Punkt {i} en ordre.") for i, w in enumerate("abcdefghijklmnopqrstuvwxyz")] + [(200, "On note (z) Punkt Hugo en ordre.")]
+    df = spark.createDataFrame(rows, "row_id bigint, text string")
+    by_form = {r["form"]: (r["candidates"], r["removed"], r["kept"]) for r in pii.decided(df).collect()}
+    assert by_form["titled"] == (6, 6, 0) and by_form["given"] == (1, 0, 1) and by_form["alone"][1] == 0
+    assert 200 not in {r["row_id"] for r in pii.mentions(df).collect()}
+
+
 def test_cost():
     assert ocr.cost("lombaire", "lornbaire") == 1 and ocr.cost("dossier", "dossier") == 0 and ocr.cost("dossier", "dosxier") == 99
     assert ocr.skeleton("Cabinet Graserney") == ocr.skeleton("Cabmet Graserriey")
