@@ -56,6 +56,31 @@ def test_votes_outweigh_the_best(spark):
     assert r["consensus"] == "rue Haute 5" and r["id"] == 2
 
 
+def test_progressive_alignment():
+    value = lambda text, w: [{t: w} for t in text.split(" ")]
+    cases = ["12 rue Haute", "rue Haute 12", "12 bis rue Haute", "12 bis rue Haute", "12 bis rue Haute"]
+    assert survivor.consensus_of(survivor.progressive([(value(c, 1.0), 1.0) for c in cases])) == "12 bis rue Haute"
+    by_order = survivor.progressive([(value(c, 1.0), 2.0 ** (-10 * i)) for i, c in enumerate(cases)])
+    assert survivor.consensus_of(by_order) == "12 rue Haute"
+    rng = random.Random(5)
+    for _ in range(200):  # by order the best always wins, whatever the rest
+        group = [" ".join(rng.choice("abc") for _ in range(rng.randint(1, 6))) for _ in range(rng.randint(1, 30))]
+        profile = survivor.progressive([(value(c, 1.0), 2.0 ** (-10 * i)) for i, c in enumerate(group)])
+        assert survivor.consensus_of(profile) == group[0]
+        assert all(abs(sum(c.values()) - sum(2.0 ** (-10 * i) for i in range(len(group)))) < 1e-9 for c in profile)
+
+
+def test_large_groups_take_rounds(spark):
+    n = 3000  # different values of one fact, far beyond one part
+    rows = [(i, "k", f"rue Haute {i % 7} suite v{i}") for i in range(1, n + 1)] + [(n + 1, "k", "rue Haute 3"), (n + 2, "j", ""), (n + 3, "j", None), (n + 4, "j", "x")]
+    df = spark.createDataFrame(rows, "id bigint, k string, v string").withColumn("f", F.lit(1))
+    got = {r["k"]: r for r in survivor.survivors(df, ["k"], "v", [(F.col("id") == 77).cast("int")], "id").collect()}
+    assert got["k"]["id"] == 77 and got["k"]["consensus"] == "rue Haute 0 suite v77" and got["k"]["n"] == n + 1
+    assert got["j"]["id"] == n + 2 and got["j"]["consensus"] == "" and got["j"]["n"] == 3
+    voted = {r["k"]: r for r in survivor.survivors(df, ["k"], "v", [F.lit(1)], "id", F.when(F.col("id") == n + 1, 5000.0).otherwise(1.0), vote="weight").collect()}
+    assert voted["k"]["consensus"] == "rue Haute 3" and voted["k"]["id"] == n + 1
+
+
 def test_pieces(spark):
     rng = random.Random(2)
     texts = ["", "x" * 1200, "y" * 5000, None, "\n\n".join(" ".join("mot" * rng.randint(1, 3) for _ in range(rng.randint(1, 90))) + "." for _ in range(60)), " " * 3000, "é😀 " * 2000]
