@@ -7,8 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Redirects are flattened to one hop; a chain longer than this is a fault.
-DEEPEST = 64
+from lectern.session import checkpointed
 
 
 def outdated(left: DataFrame, right: DataFrame, key: str, version: str) -> DataFrame:
@@ -29,13 +28,23 @@ def either_side(nodes: DataFrame, edges: DataFrame, node: str, a: str, b: str) -
 
 
 def follow_redirects(redirects: DataFrame, node: str = "id", into: str = "merged_into") -> DataFrame:
-    """Where each node ends up, by doubling along redirects: log2 of the longest chain joins; a cycle is a fault."""
-    hop = redirects.select(F.col(node).alias("node"), F.coalesce(into, node).alias("root"))
-    reach = 1
-    while reach < DEEPEST:
+    """Where each node ends up (node, root), by doubling along redirects: log2 of the longest chain joins, however
+    long it is. A node without a redirect, or one that isn't among the nodes, is an end. Each doubling is written to the
+    shared folder, so the plan doesn't grow. Raises ValueError on a cycle: where one is, some node still moves after as
+    many doublings as the number of nodes has bits, or ends at a node that is redirected.
+    """
+    first = hop = checkpointed(redirects.select(F.col(node).alias("node"), F.coalesce(into, node).alias("root")))
+    reach, nodes = 1, hop.where("node <> root").count()
+    while nodes:
         far = hop.select(F.col("node").alias("root"), F.col("root").alias("next"))
-        hop = hop.join(far, "root", "left").select("node", F.coalesce("next", "root").alias("root"))
-        reach *= 2
+        after = checkpointed(hop.join(far, "root", "left").select("node", F.coalesce("next", "root").alias("root"), (F.col("next") != F.col("root")).alias("moved")))
+        if after.where("moved").isEmpty():
+            if not after.join(first.where("node <> root").select(F.col("node").alias("root")), "root", "left_semi").isEmpty():
+                raise ValueError("redirects run in a circle")
+            return after.select("node", "root")
+        if reach > nodes:
+            raise ValueError("redirects run in a circle")
+        hop, reach = after.select("node", "root"), reach * 2
     return hop
 
 

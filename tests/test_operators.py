@@ -3,11 +3,12 @@
 import io
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from lectern.functions import numbers, text
 from lectern.functions.phonetic import key
-from lectern.operators import finder, knowledge, pipeline, relational, search
+from lectern.operators import base, finder, knowledge, pipeline, relational, search
 from lectern.sources import delimited, documents, sinks
 from lectern.streaming import ingest
 
@@ -18,6 +19,29 @@ def test_redirects(spark):
     assert all(roots[i] == 1 for i in range(1, 40)) and roots[50] == 50
 
 
+def test_redirects_of_any_length(spark):
+    r = spark.createDataFrame([(1, None)] + [(i, i - 1) for i in range(2, 301)] + [(500, 900)], "id int, merged_into int")
+    roots = dict(relational.follow_redirects(r).collect())
+    assert all(roots[i] == 1 for i in range(1, 301)) and roots[500] == 900
+    for ring in ([(1, 2), (2, 1)], [(1, 2), (2, 3), (3, 1), (7, 1), (8, None)]):
+        with pytest.raises(ValueError):
+            relational.follow_redirects(spark.createDataFrame(ring, "id int, merged_into int"))
+    assert relational.follow_redirects(r.where("id < 0")).count() == 0
+
+
+def test_base_reports(spark):
+    rows = [(1, "d", "a", 1.0, "Anne Roux", "person", "subject", "cells", 0.9, "cells:F!P"), (2, "d", "b", 2.0, "anne roux", None, None, "cells", None, None), (3, "t", None, 3.0, " ", "person", "issuer", "x", 1.5, "header"), (4, None, "c", None, None, None, "subject", None, 0.1, None), (4, "d", "a", 1.0, "Anne Roux", "person", "odd", "cells", 0.9, "cells:F!P")]
+    m = spark.createDataFrame(rows, "row_id bigint, domain string, relative_path string, entity_id double, surface string, type_id string, role string, source string, confidence double, locator string").withColumn("id", F.lit(0)).withColumn("root", F.lit(0))
+    files = spark.createDataFrame([("d", "a"), ("d", "a"), ("d", "z")], "domain string, relative_path string")
+    assert {(r["id"], r["root"]) for r in base.survivors(m).collect()} == {(1, 1), (2, 1), (3, 3)}
+    redirects = spark.createDataFrame([(1, 9), (2, 2), (3, 1), (3, 2)], "id int, merged_into int")
+    broken = dict(base.integrity(m, files, redirects).collect())
+    assert broken == {"blank_surface": 2, "missing_type": 2, "missing_role": 1, "confidence_out_of_range": 1, "missing_path": 1, "repeated_key": 1, "dangling_mention": 2, "repeated_file": 1, "redirect_to_nothing": 1, "redirect_to_itself": 1, "several_redirects": 1}
+    assert dict(base.health(m, files).collect())["files_without_entity"] == 1
+    assert {(r["entity_id"], r["sources"]) for r in base.supporting_sources(m).collect()} == {(1, 2), (3, 0)}
+    assert base.overview(m.where("row_id < 0")).first()["entities"] == 0 and base.facet(m.where("row_id < 0"), spark.createDataFrame([], "kind string, value string, domain string, relative_path string")).count() == 0
+
+
 def test_upsert_and_friends(spark):
     a = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
     b = spark.createDataFrame([(2, "B"), (3, "c"), (3, "c")], "k int, v string")
