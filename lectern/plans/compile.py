@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lectern.functions.text import fold
+from lectern.operators import quantiles
 from lectern.plans.ast import AGGREGATES, DATE, MOST_GROUPS, NUMERIC, OPERATIONS, RANKED, TEXT, ColumnInfo, Filter, Operation, Refusal, Sheet
 
 
@@ -116,16 +117,23 @@ def _refused(count: Column) -> Column:
 
 
 def execute(df: DataFrame, sheet: Sheet, op: Operation, row_index: str | None = None) -> DataFrame:
-    """The answer of an operation. row_index names the column of source order, which largest_row, sort, filter
-    and row_at need; ties fall to the lesser index, and descending sorts reverse ties too."""
+    """The answer of an operation. row_index names the column of source order, unique integers, which largest_row, sort,
+    filter and row_at need: without one they are refused, as rows of a DataFrame have no order of their own. Ties fall to
+    the lesser index, and descending sorts reverse ties too. row_at counts positions in that order from 0."""
     if op.kind not in OPERATIONS:
         raise Refusal("unsupported_operation", op.kind)
-    order = F.col(f"`{row_index}`") if row_index else F.monotonically_increasing_id()
+    if row_index is None and op.kind in {"largest_row", "sort", "filter", "row_at"}:
+        raise Refusal("no_row_order", op.kind)
+    order = F.col(f"`{row_index}`") if row_index else F.lit(0)
     if op.kind == "count":
         return matching(df, sheet, op.filters).agg(F.count("*").alias("value"))
     if op.kind in AGGREGATES:
         c = F.col(f"`{numeric_column(sheet, op.column).name}`")
-        value = {"sum": F.sum, "mean": F.avg, "median": F.median, "min": F.min, "max": F.max}[op.kind](c)
+        if op.kind == "median":
+            kept = matching(df, sheet, op.filters)
+            value = F.lit(quantiles.median(kept, numeric_column(sheet, op.column).name)).cast("double")
+        else:
+            value = {"sum": F.sum, "mean": F.avg, "min": F.min, "max": F.max}[op.kind](c)
         return matching(df, sheet, op.filters).agg(value.cast("double").alias("value"), F.count("*").alias("row_count"), F.count_if(c.isNull()).alias("unparsed"), _refused(F.count("*")).alias("reason"))
     if op.kind == "distinct":
         c = F.col(f"`{value_column(sheet, op.column).name}`").cast("string")
@@ -153,7 +161,10 @@ def execute(df: DataFrame, sheet: Sheet, op: Operation, row_index: str | None =
     if op.kind == "filter":
         return matching(df, sheet, op.filters).orderBy(order)
     if op.kind == "row_at":
-        return df.where(order == op.index)
+        at = quantiles.value_at(df, str(row_index), op.index)
+        if at is None:
+            raise Refusal("row_out_of_range", str(op.index))
+        return df.where(order == F.lit(int(at)))
     c = F.col(f"`{value_column(sheet, op.column).name}`")
     kept = matching(df, sheet, op.filters)
     return kept.orderBy(c.desc_nulls_last(), order.desc()) if op.descending else kept.orderBy(c.asc_nulls_first(), order)

@@ -63,31 +63,31 @@ def inventory(df: DataFrame, columns: list[str] | None = None, locale: str = "fr
     the order of day and month. The aggregate is one row however many rows there are.
     """
     columns = columns or df.columns
-    aggregates = []
-    for i, name in enumerate(columns):
-        cell = F.trim(F.col(f"`{name}`").cast("string"))
-        filled = cell != ""
-        shape = number_shape(cell)
-        dated = parse_date(cell)
-        decimal = F.regexp_extract(cell, r"([.,])(?:\d{1,2}|\d{4,})\D*$", 1)
-        aggregates += [
-            F.count_if(filled).alias(f"filled{i}"),
-            F.count_if(filled & (shape["kind"] != "invalid")).alias(f"numbers{i}"),
-            F.count_if(filled & (shape["kind"] == "ambiguous")).alias(f"doubtful{i}"),
-            F.count_if(filled & (shape["kind"] == "ambiguous") & (shape["separator"] == ",")).alias(f"commas{i}"),
-            F.count_if(filled & (decimal == ",")).alias(f"decimal_commas{i}"),
-            F.count_if(filled & (decimal == ".")).alias(f"decimal_points{i}"),
-            F.count_if(filled & cell.rlike(r"\d[.,]\d{3}[.,]\d{3}")).alias(f"grouped{i}"),
-            F.count_if(filled & dated.isNotNull()).alias(f"dates{i}"),
-            F.count_if(filled & dated.isNotNull() & settles_day_first(cell)).alias(f"settled{i}"),
-            F.count_if(filled & (shape["value"] % 1 == 0) & shape["value"].between(1900, 2100)).alias(f"years{i}"),
-            F.min(F.when(filled, F.coalesce(shape["unit"], F.lit("")))).alias(f"unit_lo{i}"),
-            F.max(F.when(filled, F.coalesce(shape["unit"], F.lit("")))).alias(f"unit_hi{i}"),
-        ]
-    seen = df.agg(*aggregates).first()
+    # one row a cell, so that the code that reads a cell exists once however many columns there are; generators of one
+    # row keep its parts from being computed anew in every aggregate
+    cells = df.select(F.posexplode(F.array(*[F.trim(F.col(f"`{name}`").cast("string")) for name in columns])).alias("i", "cell")).where("cell <> ''")
+    read = cells.select("i", "cell", F.inline(F.array(F.struct(number_shape(F.col("cell")).alias("shape"), parse_date(F.col("cell")).alias("dated"), F.regexp_extract("cell", r"([.,])(?:\d{1,2}|\d{4,})\D*$", 1).alias("decimal")))))
+    shape, dated, cell = F.col("shape"), F.col("dated"), F.col("cell")
+    unit = F.coalesce(shape["unit"], F.lit(""))
+    per = read.groupBy("i").agg(
+        F.count("*").alias("filled"),
+        F.count_if(shape["kind"] != "invalid").alias("numbers"),
+        F.count_if(shape["kind"] == "ambiguous").alias("doubtful"),
+        F.count_if((shape["kind"] == "ambiguous") & (shape["separator"] == ",")).alias("commas"),
+        F.count_if(F.col("decimal") == ",").alias("decimal_commas"),
+        F.count_if(F.col("decimal") == ".").alias("decimal_points"),
+        F.count_if(cell.rlike(r"\d[.,]\d{3}[.,]\d{3}")).alias("grouped"),
+        F.count_if(dated.isNotNull()).alias("dates"),
+        F.count_if(dated.isNotNull() & settles_day_first(cell)).alias("settled"),
+        F.count_if((shape["value"] % 1 == 0) & shape["value"].between(1900, 2100)).alias("years"),
+        F.min(unit).alias("unit_lo"),
+        F.max(unit).alias("unit_hi"),
+    )
+    seen = {r["i"]: r.asDict() for r in per.collect()}  # one row a column
     out = []
     for i, name in enumerate(columns):
-        get = lambda what, i=i: seen[f"{what}{i}"] or 0
+        own = seen.get(i, {})
+        get = lambda what, own=own: own.get(what) or 0
         filled, numbers, doubtful = get("filled"), get("numbers"), get("doubtful")
         groups, conflict = False, False
         if doubtful:
@@ -97,7 +97,7 @@ def inventory(df: DataFrame, columns: list[str] | None = None, locale: str = "fr
             as_group = grouped + (point_decimal if only_commas else comma_decimal)
             conflict = bool(as_decimal and as_group) or 0 < get("commas") < doubtful
             groups = bool(as_group) or (not as_decimal and (doubtful >= 2 or locale != "fr" and only_commas))
-        unit = seen[f"unit_lo{i}"] if seen[f"unit_lo{i}"] == seen[f"unit_hi{i}"] and seen[f"unit_lo{i}"] else None
+        unit = own["unit_lo"] if own.get("unit_lo") and own["unit_lo"] == own["unit_hi"] else None
         formula = name in formulas
         if filled and get("dates") == filled:
             settled = get("settled") > 0

@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.functions.numbers import number_shape
+from lectern.operators.quantiles import percentile
 from lectern.plans import query_plan
-from lectern.plans.ast import Filter, Operation
+from lectern.plans.ast import Filter, Operation, Refusal
 from lectern.plans.compile import close_values, describe, execute, nearest_group
 from lectern.plans.infer import inventory, typed
 from lectern.plans.question import classify
@@ -71,7 +73,7 @@ _op("t_groups_beyond", "orders", Operation("groups_beyond", "o_totalprice", "o_c
 _op("t_groups_below", "orders", Operation("groups_beyond", "o_totalprice", "o_custkey", threshold=100_000.0, above=False), f"{_SUMS} SELECT key, round(total, 2) AS total FROM g WHERE g.total < 100000", rounded=("total",))
 _op("t_largest_row", "orders", Operation("largest_row", "o_totalprice"), "SELECT o_orderkey, o_custkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 1", ("o_orderkey", "o_custkey", "o_totalprice"), index="o_orderkey")
 _op("t_filter_rows", "supplier", Operation("filter", filters=(Filter("s_acctbal", "less_than", (0.0,)),)), "SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier WHERE s_acctbal < 0", index="s_suppkey")
-_op("t_row_at", "part", Operation("row_at", index=17), "SELECT p_partkey, p_name FROM part WHERE p_partkey = 17", ("p_partkey", "p_name"), index="p_partkey")
+_op("t_row_at", "part", Operation("row_at", index=17), "SELECT p_partkey, p_name FROM part ORDER BY p_partkey LIMIT 1 OFFSET 17", ("p_partkey", "p_name"), index="p_partkey")
 _D = "o_orderkey", "o_orderstatus"
 _op("t_weekday", "orders", Operation("filter", filters=(Filter("o_orderdate", "weekday", (1,)), Filter("o_orderstatus", "equals", ("F",)))), "SELECT o_orderkey, o_orderstatus FROM orders WHERE isodow(o_orderdate) = 1 AND o_orderstatus = 'F'", _D, index="o_orderkey")
 _op("t_month", "orders", Operation("filter", filters=(Filter("o_orderdate", "month", (2,)),)), "SELECT o_orderkey, o_orderstatus FROM orders WHERE month(o_orderdate) = 2", _D, index="o_orderkey")
@@ -129,19 +131,77 @@ def t_question_threshold(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(execute(df, sheet, route.operation), "total")
 
 
-@_add("t_inferred_sum", "SELECT round(sum(TRY_CAST(replace(replace(replace(replace(replace(replace(montant, 'CHF ', ''), ' €', ''), '''', ''), ' ', ''), '.-', ''), ',', '.') AS DOUBLE)), 2) AS value FROM rendez_vous_lilas WHERE regexp_full_match(montant, '(CHF )?\\d{1,3}((''| )\\d{3})*([.,]\\d{1,2}|\\.-)?( €)?|\\d+')")
+_UNITS = r"(SFr\.|CHF|Fr\.|€|\$|%)"
+_CORE = rf"regexp_replace(trim(regexp_replace(regexp_replace(trim({{c}}), '^{_UNITS}\s*', ''), '\s*{_UNITS}$', '')), '^[(+\-−]\s*|\)$', '', 'g')"
+_GAPPED = r"regexp_replace({x}, '(\d)[  ''’](\d{{3}})(\D|$)', '\1\2\3', 'g')"
+
+
+def _tight(c: str) -> str:
+    """SQL of a cell without unit, sign and gaps between digits; gaps go from the last to the first."""
+    x = _CORE.format(c=c)
+    for _ in range(3):
+        x = _GAPPED.format(x=x)
+    return x
+
+
+_PLAIN, _POINTED, _COMMAED = r"^\d+$|^\d+[.,](\d{1,2}|\d{4,})$|^(0|\d{4,})[.,]\d{3}$", r"^\d{1,3}(\.\d{3})+,\d+$|^\d{1,3}(\.\d{3}){2,}$", r"^\d{1,3}(,\d{3})+\.\d+$|^\d{1,3}(,\d{3}){2,}$"
+_NUMBER = rf"{_PLAIN}|{_POINTED}|{_COMMAED}|^[1-9]\d{{0,2}}[.,]\d{{3}}$"
+_VALUE = f"CASE WHEN regexp_matches(t, '{_PLAIN}') THEN TRY_CAST(replace(t, ',', '.') AS DOUBLE) WHEN regexp_matches(t, '{_POINTED}') THEN TRY_CAST(replace(replace(t, '.', ''), ',', '.') AS DOUBLE) WHEN regexp_matches(t, '{_COMMAED}') THEN TRY_CAST(replace(t, ',', '') AS DOUBLE) END"
+
+
+@_add("t_cells", rf"SELECT row_id, CASE WHEN {_VALUE} IS NOT NULL THEN 'resolved' WHEN regexp_matches(t, '^[1-9]\d{{0,2}}[.,]\d{{3}}$') THEN 'ambiguous' ELSE 'invalid' END AS kind, CASE WHEN regexp_matches(montant, '^\s*(-|−|\()') THEN -1 ELSE 1 END * {_VALUE} AS value FROM (SELECT row_id, montant, {_tight('montant')} AS t FROM rendez_vous_lilas WHERE trim(montant) <> '')")
+def t_cells(spark: SparkSession, d: str) -> DataFrame:
+    """What every filled cell of the amounts writes: a number, an ambiguous one, or none."""
+    rows = table(spark, d, "rendez_vous_lilas").where("trim(montant) <> ''")
+    return rows.select("row_id", number_shape(F.col("montant")).alias("x")).select("row_id", "x.kind", "x.value")
+
+
+@_add(
+    "t_inferred_sum",
+    rf"WITH c AS (SELECT trim(montant) AS v, {_tight('montant')} AS t FROM rendez_vous_lilas WHERE trim(montant) <> ''), s AS (SELECT count(*) AS filled, count(*) FILTER (regexp_matches(t, '{_NUMBER}')) AS numbers, sum({_VALUE}) AS total FROM c) "
+    "SELECT CASE WHEN numbers / filled >= 0.95 THEN round(total, 2) END AS value, filled, numbers, CASE WHEN numbers / filled < 0.95 THEN 'not_numeric' END AS reason FROM s",
+)
 def t_inferred_sum(spark: SparkSession, d: str) -> DataFrame:
-    """A column of amounts as typed in, read by its inferred shape and summed; the Swiss dash counts as none."""
-    rows = table(spark, d, "rendez_vous_lilas").select(F.regexp_replace("montant", r"\.-$", "").alias("montant")).where(F.col("montant").rlike(r"^(?:CHF )?\d{1,3}(?:[' ]\d{3})*(?:[.,]\d{1,2})?(?: €)?$|^\d+$"))
+    """The whole column of amounts as typed in: its sum where nearly all cells are numbers, else the refusal, with the counts."""
+    rows = table(spark, d, "rendez_vous_lilas").select("montant")
+    filled = F.trim("montant") != ""
+    counts = rows.agg(F.count_if(filled).alias("filled"), F.count_if(filled & (number_shape(F.col("montant"))["kind"] != "invalid")).alias("numbers"))
     out, sheet = typed(rows, inventory(rows))
-    return _rounded(execute(out, sheet, Operation("sum", "montant"))).select("value")
+    try:
+        answer = _rounded(execute(out, sheet, Operation("sum", "montant"))).select("value", "reason")
+    except Refusal as r:
+        answer = spark.range(1).select(F.lit(None).cast("double").alias("value"), F.lit(r.reason).alias("reason"))
+    return answer.join(F.broadcast(counts))  # one row each
+
 
+_TEXTS = ["nom", "prenom", "date_de_naissance", "no_avs", "caisse_maladie", "commune", "npa"]
+_DATED = r"regexp_full_match(trim({c}), '\d{{4}}-\d\d-\d\d|\d\d?[/.-]\d\d?[/.-]\d{{4}}')"
 
-@_add("t_inferred_schema", "SELECT * FROM (VALUES ('commune', 'categorical'), ('npa', 'numeric'), ('nom', 'categorical')) AS t(name, type)")
+
+@_add(
+    "t_inferred_schema",
+    " UNION ALL ".join(
+        f"SELECT '{c}' AS name, CASE WHEN count(*) FILTER ({_DATED.format(c=c)}) = count(*) THEN 'date' WHEN count(*) FILTER (regexp_matches({_tight(c)}, '{_NUMBER}')) / count(*) >= 0.95 THEN 'numeric' ELSE 'categorical' END AS type FROM patients_ch WHERE trim({c}) <> ''"
+        for c in _TEXTS
+    ),
+)
 def t_inferred_schema(spark: SparkSession, d: str) -> DataFrame:
-    """What inference says of three text columns of the patients' export."""
-    rows = table(spark, d, "patients_ch").where(F.col("npa").rlike(r"^\d+$")).select("nom", "commune", "npa")
-    return spark.createDataFrame([(r.info.name, r.info.type) for r in inventory(rows)], "name string, type string")
+    """What inference says of all text columns of the patients' export, over all its lines."""
+    return spark.createDataFrame([(r.info.name, r.info.type) for r in inventory(table(spark, d, "patients_ch").select(*_TEXTS))], "name string, type string")
+
+
+@_add("t_percentiles", "WITH r AS (SELECT value, row_number() OVER (ORDER BY value) AS k, count(*) OVER () AS n FROM events WHERE value IS NOT NULL) SELECT p AS share, min(value) AS value FROM r, (VALUES (0.5), (0.95), (0.99)) AS t(p) WHERE k >= ceil(p * n) GROUP BY 1")
+def t_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    """Nearest-rank percentiles of a measure."""
+    e = table(spark, d, "events")
+    return spark.createDataFrame([(p, percentile(e, "value", p)) for p in (0.5, 0.95, 0.99)], "share double, value double")
+
+
+@_add("t_pass_totals", "SELECT event_type AS block, (event_id % 7)::VARCHAR AS feature, count(*) AS total, count(*) FILTER (value > 50) AS passed FROM events GROUP BY GROUPING SETS ((event_type, event_id % 7), (event_type), ())")
+def t_pass_totals(spark: SparkSession, d: str) -> DataFrame:
+    """Passed and all cases by block and feature, by block, and in all."""
+    e = table(spark, d, "events").select(F.col("event_type").alias("block"), (F.col("event_id") % 7).cast("string").alias("feature"), "value")
+    return e.groupingSets([["block", "feature"], ["block"], []], "block", "feature").agg(F.count("*").alias("total"), F.count_if(F.col("value") > 50).alias("passed"))
 
 
 @_add("t_structural", "SELECT column_name AS name, CASE WHEN data_type IN ('INTEGER', 'BIGINT', 'DOUBLE') THEN 'numeric' WHEN data_type LIKE 'TIMESTAMP%' THEN 'date' ELSE 'categorical' END AS type FROM (DESCRIBE orders) AS t(column_name, data_type, a, b, c, e)")
