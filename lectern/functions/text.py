@@ -10,7 +10,7 @@ import unicodedata
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -160,3 +160,27 @@ def bounded_damerau(a: Column, b: Column, most: int) -> Column:
 
     near = F.abs(F.length(a) - F.length(b)) <= most
     return F.when(near, run(F.when(near, a), F.when(near, b)))
+
+
+def near_pairs(words: Column, df: DataFrame, most: int = 2) -> DataFrame:
+    """Pairs (a, b, edits) of different words of a column within so many edits, a before b.
+
+    Words that near share a form that so many deletions at most make of either (symmetric deletion), so they meet in an
+    equi-join; the distance is computed for those that meet.
+    """
+    distinct = df.select(words.alias("w")).where("w is not null and w <> ''").distinct()
+
+    @F.pandas_udf("array<string>")
+    def deletions(ws: pd.Series) -> pd.Series:
+        def of(w: str) -> list[str]:
+            out = layer = {w}
+            for _ in range(most):
+                layer = {x[:i] + x[i + 1 :] for x in layer for i in range(len(x))}
+                out = out | layer
+            return sorted(out)
+
+        return ws.map(of)
+
+    forms = distinct.select("w", F.explode(deletions(F.col("w"))).alias("form"))
+    met = forms.select(F.col("w").alias("a"), "form").join(forms.select(F.col("w").alias("b"), "form"), "form").where("a < b").select("a", "b").distinct()
+    return met.withColumn("edits", bounded_damerau(F.col("a"), F.col("b"), most)).where("edits is not null")

@@ -98,14 +98,28 @@ def prefix_search(base: DataFrame, prefix: str, n: int) -> DataFrame:
 
 
 def reduce_files(links: DataFrame, wanted: list[str], files: DataFrame) -> DataFrame:
-    """Files of the driving entities among those asked for, best first: those sure enough and in few enough of
-    the files. Without any, or where too little is gained, all files."""
-    keyed = links.withColumn("key", name_key(F.col("surface"))).where(F.col("key").isin([w.lower() for w in wanted]))
+    """The files a question about entities is put to: (relative_path, hits, confidence, reason), best first.
+
+    Driving entities are those asked for that are sure enough and in few enough of the files. Their files come with
+    reason entity, at most MOST_DOCUMENTS of them, and files the base has never read with reason unread, as nothing is known
+    of them. Without a driving entity, among fewer than MIN_FILES files, or where fewer than a share of MIN_REDUCTION would
+    be left out, all files come, with reason all. files: relative_path, each once.
+    """
+    keyed = links.where("surface is not null").withColumn("key", name_key(F.col("surface"))).where(F.col("key").isin([w.lower() for w in wanted]))
+    listed = files.select("relative_path").distinct()
+    total = listed.agg(F.count("*").alias("all"))  # one row
     per = keyed.groupBy("key").agg(F.countDistinct("relative_path").alias("files"), F.max("confidence").alias("sure"))
-    total = files.agg(F.count("*").alias("all"))
     driving = per.join(F.broadcast(total)).where((F.col("sure") >= SURE) & (F.col("files") <= SELECTIVE * F.col("all"))).select("key")
-    hits = keyed.join(driving, "key").groupBy("relative_path").agg(F.count("*").alias("hits"), F.max("confidence").alias("confidence"))
-    return hits.orderBy(F.desc("hits"), F.desc("confidence"), "relative_path").limit(MOST_DOCUMENTS)
+    hits = keyed.join(driving, "key").join(listed, "relative_path", "left_semi").groupBy("relative_path").agg(F.count("*").alias("hits"), F.max("confidence").alias("confidence"))
+    unread = listed.join(links.select("relative_path"), "relative_path", "left_anti")
+    # one row: whether the reduction is worth it
+    kept = hits.agg(F.count("*").alias("hit")).join(F.broadcast(unread.agg(F.count("*").alias("unread")))).join(F.broadcast(total))
+    use = kept.select(((F.col("hit") > 0) & (F.col("all") >= MIN_FILES) & (F.col("all") - F.col("hit") - F.col("unread") >= MIN_REDUCTION * F.col("all"))).alias("use"))
+    best = hits.orderBy(F.desc("hits"), F.desc("confidence"), "relative_path").limit(MOST_DOCUMENTS).withColumn("reason", F.lit("entity"))
+    rest = unread.select("relative_path", F.lit(0).cast("bigint").alias("hits"), F.lit(None).cast("double").alias("confidence"), F.lit("unread").alias("reason"))
+    every = listed.select("relative_path", F.lit(0).cast("bigint").alias("hits"), F.lit(None).cast("double").alias("confidence"), F.lit("all").alias("reason"))
+    out = best.unionByName(rest).join(F.broadcast(use)).where("use").unionByName(every.join(F.broadcast(use)).where("not use")).drop("use")
+    return out.orderBy(F.desc("hits"), F.desc("confidence"), "relative_path")
 
 
 def capped(mentions: DataFrame, source: str, most: int) -> DataFrame:

@@ -85,25 +85,52 @@ def all_words(text: Column, terms: list[str], last_is_prefix: bool = False) -> C
     return test & F.exists(words, lambda w: F.startswith(w, F.lit(terms[-1]))) if last_is_prefix else test
 
 
-def cosine(df: DataFrame, key: str, vector: str, query: list[float]) -> DataFrame:
-    """Cosine of every vector with one query, in single precision over Arrow batches; 0 for an empty vector, one
-    of another length, or one without length. Only key and vector leave the scan."""
-    q = np.asarray(query, np.float32)
-    norm = float(np.linalg.norm(q))
+def cosine(df: DataFrame, key: str, vector: str, query: list[float] | DataFrame) -> DataFrame:
+    """Cosine of every vector with one query (numbers, or a table whose first row's first column has them); 0 for an
+    empty or null vector, one of another length, or one without length. Only key and vector leave the scan, and all is
+    computed in the JVM."""
+    one = df.sparkSession.createDataFrame([(list(map(float, query)),)], "q array<double>") if isinstance(query, list) else query.select(F.col(query.columns[0]).cast("array<double>").alias("q")).limit(1)
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda a, b: a * b), F.lit(0.0), lambda s, z: s + z)
+    one = one.select("q", F.sqrt(dot(F.col("q"), F.col("q"))).alias("nq"))
+    rows = df.select(F.col(key), F.col(vector).cast("array<double>").alias("v")).join(F.broadcast(one))  # one row
+    # a generator of one row keeps the products from being computed anew wherever they are used
+    parts = rows.select(key, "nq", F.inline(F.array(F.struct(F.when(F.size("v") == F.size("q"), dot(F.col("v"), F.col("q"))).alias("vq"), F.sqrt(dot(F.col("v"), F.col("v"))).alias("nv")))))
+    return parts.select(key, F.when((F.col("nv") > 0) & (F.col("nq") > 0) & F.col("vq").isNotNull(), F.col("vq") / (F.col("nv") * F.col("nq"))).otherwise(0.0).alias("cosine"))
+
+
+def nearest(df: DataFrame, key: str, vector: str, queries: DataFrame, k: int, block: int = 512) -> DataFrame:
+    """The k nearest vectors of every query (key, vector) among all of df: (query, key, cosine, rank), ties to the lesser key.
+
+    Vectors of one length, packed in blocks, meet the queries' blocks, and each meeting gives only its k best a query. That
+    is every query against every row, for a stated set of queries; what is shuffled are blocks and k rows a meeting.
+    """
+
+    def packed(rows: DataFrame, name: str) -> DataFrame:
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                for at in range(0, len(frame), block):
+                    part = frame.iloc[at : at + block]
+                    yield pd.DataFrame({f"{name}_ids": [part[key].tolist()], f"{name}_v": [np.stack(part[vector].to_numpy()).astype(np.float64).tobytes()]})
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept = rows.where(F.col(vector).isNotNull() & (F.size(vector) > 0)).select(F.col(key).cast("bigint"), vector)
+        return kept.mapInPandas(run, f"{name}_ids array<bigint>, {name}_v binary")
+
+    def best(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            good = np.array([v is not None and len(v) == len(q) for v in frame[vector]], bool)
-            out = np.zeros(len(frame))
-            if good.any() and norm > 0:
-                m = np.stack(frame[vector][good].to_numpy()).astype(np.float32)
-                lengths = np.linalg.norm(m, axis=1)
+            for q_ids, q_v, d_ids, d_v in frame.itertuples(index=False, name=None):
+                q = np.frombuffer(q_v).reshape(len(q_ids), -1)
+                d = np.frombuffer(d_v).reshape(len(d_ids), -1)
                 with np.errstate(invalid="ignore", divide="ignore"):
-                    s = (m @ q) / (lengths * norm)
-                out[good] = np.where(lengths > 0, s, 0.0)
-            yield pd.DataFrame({key: frame[key], "cosine": out})
-
-    return df.select(key, vector).mapInPandas(run, f"`{key}` {dict(df.dtypes)[key]}, cosine double")
+                    c = np.nan_to_num((q @ d.T) / (np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(d, axis=1)[None, :]))
+                ids = np.asarray(d_ids)
+                for i, own in enumerate(q_ids):
+                    top = np.lexsort((ids, -np.round(c[i], 9)))[:k]
+                    yield pd.DataFrame({"query": own, key: ids[top], "cosine": c[i][top]})
+
+    met = packed(queries, "q").crossJoin(packed(df, "d"))
+    found = met.mapInPandas(best, f"query bigint, `{key}` bigint, cosine double")
+    w = Window.partitionBy("query").orderBy(F.desc(F.round("cosine", 9)), key)
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def hybrid(cosines: DataFrame, hits: DataFrame, key: str) -> DataFrame:

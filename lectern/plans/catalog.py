@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -271,11 +272,10 @@ def f_date_prefix(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "file_profiles").select("profile_id", numbers.split_date_prefix(stem)[0].alias("date"))
 
 
-@query(r"SELECT doc_id, list_distinct(list_transform(list_filter(regexp_extract_all(text, '\[(\d{1,6})\]', 1), lambda x: CAST(x AS INT) > 3 OR CAST(x AS INT) < 1), lambda x: CAST(x AS INT))) AS wrong FROM documents WHERE text LIKE '%[%' AND len(list_distinct(list_transform(list_filter(regexp_extract_all(text, '\[(\d{1,6})\]', 1), lambda x: CAST(x AS INT) > 3 OR CAST(x AS INT) < 1), lambda x: CAST(x AS INT)))) < 2")
+@query(r"SELECT doc_id, list_sort(list_distinct(list_transform(list_filter(regexp_extract_all(text, '\[(\d{1,6})\]', 1), lambda x: CAST(x AS INT) > 3 OR CAST(x AS INT) < 1), lambda x: CAST(x AS INT)))) AS wrong FROM documents WHERE text LIKE '%[%'")
 def f_citations(spark: SparkSession, d: str) -> DataFrame:
-    """Citations beyond three sources, where at most one is."""
-    out = table(spark, d, "documents").where(F.col("text").contains("[")).select("doc_id", text.citations_out_of_range(F.col("text"), F.lit(3)).alias("wrong"))
-    return out.where(F.size("wrong") < 2)
+    """Citations of texts beyond three sources, ascending."""
+    return table(spark, d, "documents").where(F.col("text").contains("[")).select("doc_id", text.citations_out_of_range(F.col("text"), F.lit(3)).alias("wrong"))
 
 
 @query(r"SELECT doc_id, len(list_distinct(list_filter(list_transform(regexp_extract_all(text, '\{\{[^{}\n]{1,60}?\}\}|«[^«»\n]{1,60}?»|\[[^\[\]\n]{1,60}?\]'), lambda f: trim(regexp_replace(f, '^(\{\{|«|\[)\s*|\s*(\}\}|»|\])$', '', 'g'))), lambda n: n <> '' AND NOT regexp_full_match(n, '\d+')))) AS fields FROM documents WHERE source = 'modeles' AND text IS NOT NULL")
@@ -296,12 +296,10 @@ def f_content_hash(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("digest"))
 
 
-@query("SELECT DISTINCT a.w AS a, b.w AS b, damerau_levenshtein(a.w, b.w) AS edits FROM (SELECT DISTINCT lower(motif) AS w FROM rendez_vous_lilas WHERE motif IS NOT NULL) a, (SELECT DISTINCT lower(medecin) AS w FROM rendez_vous_lilas WHERE medecin IS NOT NULL) b WHERE damerau_levenshtein(a.w, b.w) <= 0")
+@query("WITH w AS (SELECT DISTINCT lower(strip_accents(surface)) AS w FROM file_profile_entities WHERE surface <> '') SELECT a.w AS a, b.w AS b, damerau_levenshtein(a.w, b.w) AS edits FROM w a JOIN w b ON a.w < b.w WHERE damerau_levenshtein(a.w, b.w) <= 2")
 def f_damerau(spark: SparkSession, d: str) -> DataFrame:
-    """Words that are reasons and doctors alike."""
-    r = table(spark, d, "rendez_vous_lilas")
-    a, b = r.where("motif is not null").select(F.lower("motif").alias("a")).distinct(), r.where("medecin is not null").select(F.lower("medecin").alias("b")).distinct()
-    return a.join(b, F.col("a") == F.col("b")).select("a", "b", text.bounded_damerau(F.col("a"), F.col("b"), 2).alias("edits"))
+    """Writings of names that are within two edits of one another."""
+    return text.near_pairs(text.fold(F.col("surface")), table(spark, d, "file_profile_entities"))
 
 
 @query()
@@ -367,9 +365,9 @@ def q_postings(spark: SparkSession, d: str) -> DataFrame:
     return p.groupBy("term").agg(F.count("*").alias("documents"), F.sum("tf").alias("n")).where("documents > 10")
 
 
-def _vector(spark: SparkSession, d: str) -> list[float]:
-    """The query vector: that of the first row, a parameter of the search."""
-    return table(spark, d, "embeddings").where("vec_id = 0").first()["embedding"]
+def _vector(spark: SparkSession, d: str) -> DataFrame:
+    """The query vector: that of the first row."""
+    return table(spark, d, "embeddings").where("vec_id = 0").select("embedding")
 
 
 _COS = "list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))"
@@ -412,14 +410,16 @@ def q_best_passage(spark: SparkSession, d: str) -> DataFrame:
     return search.best_passage_per_document(search.bm25(o, "row_id", "text", ["cardiologie"]), o, "relative_path", "row_id", ["page_number", "row_id"])
 
 
-@query("WITH r AS (SELECT e.label AS question, e.vec_id AS document, row_number() OVER (PARTITION BY e.label ORDER BY e.vec_id) AS k FROM embeddings e WHERE vec_id % 3 = 0), x AS (SELECT label AS question, vec_id AS document FROM embeddings WHERE vec_id % 2 = 0 AND vec_id < 100) SELECT x.question, count(*) FILTER (k <= 10) / count(*) AS recall, coalesce(1 / min(k), 0) AS mrr FROM x LEFT JOIN r ON x.question = r.question AND x.document = r.document GROUP BY 1")
+@query(f"""WITH q AS (SELECT * FROM embeddings WHERE vec_id % 100 = 0), r AS (SELECT q.vec_id AS question, q.label, e.vec_id AS document, e.label AS l, row_number() OVER (PARTITION BY q.vec_id ORDER BY round({_COS}, 9) DESC, e.vec_id) AS k FROM embeddings e, q),
+    g AS (SELECT question, count(*) FILTER (l = label) AS n, count(*) FILTER (l = label AND k <= 10) AS found, min(k) FILTER (l = label AND k <= 10) AS best, sum(CASE WHEN l = label AND k <= 10 THEN 1 / log2(k + 1) ELSE 0 END) AS dcg FROM r GROUP BY 1)
+    SELECT question, round(found / n, 6) AS recall, round(coalesce(1 / best, 0), 6) AS mrr, round(dcg / list_sum(list_transform(range(1, least(n, 10) + 1), lambda i: 1 / log2(i + 1))), 6) AS ndcg FROM g""")
 def q_recall_mrr(spark: SparkSession, d: str) -> DataFrame:
-    """Scores of a made ranking against made judgements."""
-    from pyspark.sql import Window
-
-    e = table(spark, d, "embeddings").select(F.col("label").alias("question"), F.col("vec_id").alias("document"))
-    ranked = e.where("document % 3 = 0").withColumn("k", F.row_number().over(Window.partitionBy("question").orderBy("document")))
-    return search.recall_mrr_ndcg(ranked, e.where("document % 2 = 0 and document < 100"), "question", "document", "k").select("question", "recall", "mrr")
+    """Scores of the ten nearest vectors of every vector whose id is divisible by 100, judged by their label."""
+    e = table(spark, d, "embeddings")
+    asked = e.where("vec_id % 100 = 0")
+    ranked = search.nearest(e, "vec_id", "embedding", asked, 10).select(F.col("query").alias("question"), F.col("vec_id").alias("document"), F.col("rank").alias("k"))
+    judged = asked.select(F.col("vec_id").alias("question"), "label").join(e.select(F.col("vec_id").alias("document"), "label"), "label").select("question", "document")
+    return search.recall_mrr_ndcg(ranked, judged, "question", "document", "k").select("question", *[F.round(c, 6).alias(c) for c in ("recall", "mrr", "ndcg")])
 
 
 # Finder
@@ -485,11 +485,10 @@ def e_resolve(spark: SparkSession, d: str) -> DataFrame:
     return knowledge.resolve(e.where("entity_id is null").select(F.col("surface").alias("name")), base)
 
 
-@query("SELECT patient AS subject, medecin AS object, 'treated_by' AS predicate, count(*) AS n FROM rendez_vous_lilas WHERE patient IS NOT NULL AND medecin IS NOT NULL GROUP BY ALL")
+@query("SELECT patient AS subject, medecin AS object, 'treated_by' AS predicate, count(*) AS n, 0.8::DOUBLE AS confidence FROM rendez_vous_lilas WHERE patient IS NOT NULL AND medecin IS NOT NULL GROUP BY ALL")
 def e_relations(spark: SparkSession, d: str) -> DataFrame:
     """Patients and doctors that rows put together."""
-    rows = table(spark, d, "rendez_vous_lilas").withColumn("c", F.lit(0.8))
-    return knowledge.relations(rows, "patient", "medecin", "treated_by", ["c"]).drop("confidence")
+    return knowledge.relations(table(spark, d, "rendez_vous_lilas").withColumn("c", F.lit(0.8)), "patient", "medecin", "treated_by", ["c"])
 
 
 @query("WITH e AS (SELECT o_custkey AS id, count(*) AS n FROM orders GROUP BY 1) SELECT CASE WHEN id % 10 < 3 THEN id - id % 10 ELSE id END AS entity_id, sum(n) AS n FROM e GROUP BY 1")
@@ -503,10 +502,16 @@ def e_effective(spark: SparkSession, d: str) -> DataFrame:
     return knowledge.effective(o, roots).groupBy("entity_id").agg(F.count("*").alias("n"))
 
 
-@query("SELECT relative_path, count(*) AS hits, max(confidence) AS confidence FROM file_profile_entities WHERE lower(strip_accents(surface)) = 'clinique de jinnujard' GROUP BY 1 ORDER BY 2 DESC, 3 DESC, 1 LIMIT 15")
+@query("""WITH k AS (SELECT lower(strip_accents(surface)) AS key, relative_path, confidence FROM file_profile_entities WHERE type_id = 'location'), o AS (SELECT key FROM k GROUP BY 1 ORDER BY count(DISTINCT relative_path) DESC, key LIMIT 1),
+    f AS (SELECT DISTINCT relative_path FROM file_profiles), h AS (SELECT relative_path, count(*) AS hits, max(confidence) AS confidence FROM file_profile_entities e JOIN o ON lower(strip_accents(e.surface)) = o.key WHERE relative_path IN (SELECT relative_path FROM f) GROUP BY 1),
+    u AS (SELECT relative_path FROM f WHERE relative_path NOT IN (SELECT relative_path FROM file_profile_entities WHERE relative_path IS NOT NULL)), c AS (SELECT (SELECT count(*) FROM h) AS hit, (SELECT count(*) FROM u) AS unread, (SELECT count(*) FROM f) AS a, (SELECT max(confidence) FROM h) AS sure),
+    z AS (SELECT hit > 0 AND sure >= 0.8 AND hit <= 0.6 * a AND a >= 8 AND a - hit - unread >= 0.3 * a AS use FROM c)
+    SELECT relative_path, hits, confidence, 'entity' AS reason FROM (SELECT * FROM h ORDER BY hits DESC, confidence DESC, relative_path LIMIT 15), z WHERE use UNION ALL SELECT relative_path, 0, NULL, 'unread' FROM u, z WHERE use UNION ALL SELECT relative_path, 0, NULL, 'all' FROM f, z WHERE NOT use""")
 def e_reduce(spark: SparkSession, d: str) -> DataFrame:
-    """Files of one sure and selective entity, best first."""
-    return knowledge.reduce_files(table(spark, d, "file_profile_entities"), ["clinique de jinnujard"], table(spark, d, "file_profiles").select("relative_path"))
+    """Files a question about the place named in most files is put to."""
+    e = table(spark, d, "file_profile_entities")
+    most = e.where("type_id = 'location'").groupBy(text.fold(F.col("surface")).alias("key")).agg(F.countDistinct("relative_path").alias("n")).orderBy(F.desc("n"), "key").first()
+    return knowledge.reduce_files(e, [most["key"]] if most else [], table(spark, d, "file_profiles").select("relative_path"))
 
 
 # Pipeline and ingestion
@@ -537,12 +542,25 @@ def c_cards(spark: SparkSession, d: str) -> DataFrame:
     return pipeline.cards(table(spark, d, "ocr_page_cache"), "relative_path", "page_number", "text")
 
 
-@query("WITH h AS (SELECT x.i AS place, x.n AS title FROM (VALUES (2, 'a'), (5, 'b'), (9, 'c')) AS x(i, n)) SELECT n_nationkey AS place, (SELECT title FROM h WHERE h.place <= n_nationkey ORDER BY h.place DESC LIMIT 1) AS section_title FROM nation WHERE n_nationkey >= 2")
+_LINES = "SELECT doc_id, unnest(range(0, len(string_split(text, chr(10))))) AS line, unnest(string_split(text, chr(10))) AS t FROM documents WHERE text IS NOT NULL"
+_MARKED, _NUMBERED, _CAPITALS = r"^(#{1,6})\s+(.+?)\s*#*$", r"^((?:\d+\.)+\d*|\d+\.)\s+\p{Lu}.{2,80}$", r"^[\p{Lu}][\p{Lu}\s\d''’/&—–-]{5,80}$"
+_HEADINGS = rf"""WITH l AS ({_LINES}), h AS (SELECT doc_id, line, t, CASE WHEN regexp_extract(t, '{_MARKED}', 1) <> '' THEN length(regexp_extract(t, '{_MARKED}', 1)) WHEN regexp_extract(t, '{_NUMBERED}', 1) <> '' THEN len(list_filter(string_split(regexp_extract(t, '{_NUMBERED}', 1), '.'), lambda x: x <> '')) WHEN regexp_matches(t, '{_CAPITALS}') THEN 1 END AS level,
+    trim(regexp_replace(t, '^#{{1,6}}\s+|\s*#+$', '', 'g')) AS title FROM l) """
+
+
+@query(_HEADINGS + "SELECT doc_id, line, level, title FROM h WHERE level IS NOT NULL")
+def c_headings(spark: SparkSession, d: str) -> DataFrame:
+    """Headings of all documents."""
+    docs = table(spark, d, "documents").withColumn("page", F.lit(1))
+    return pipeline.headings(docs, "doc_id", "page", "text").select("doc_id", "line", "level", "title")
+
+
+@query(_HEADINGS + "SELECT doc_id, line, s AS section_title FROM (SELECT doc_id, line, last_value(CASE WHEN level IS NOT NULL THEN title END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line ROWS UNBOUNDED PRECEDING) AS s FROM h) WHERE s IS NOT NULL")
 def c_sections(spark: SparkSession, d: str) -> DataFrame:
-    """The section in force at each place."""
-    p = table(spark, d, "nation").select(F.lit(1).alias("doc"), F.col("n_nationkey").cast("int").alias("place"))
-    s = spark.createDataFrame([(1, 2, "a"), (1, 5, "b"), (1, 9, "c")], "doc int, place int, title string")
-    return pipeline.assign_sections(p, s, "doc", ["place"]).select("place", "section_title")
+    """The section every line of a document is in."""
+    docs = table(spark, d, "documents").withColumn("page", F.lit(1))
+    lines = docs.where("text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "t")).select("doc_id", "line")
+    return pipeline.assign_sections(lines, pipeline.headings(docs, "doc_id", "page", "text"), "doc_id", ["line"]).select("doc_id", "line", "section_title")
 
 
 @query("SELECT p.profile_id FROM file_profiles p WHERE NOT EXISTS (SELECT 1 FROM file_profiles q WHERE q.content_id = p.content_id AND q.build_version = 2 AND p.build_version = 2)")
@@ -552,12 +570,43 @@ def i_due(spark: SparkSession, d: str) -> DataFrame:
     return ingest.due(p, p.where("build_version = 2"), ("content_id", "build_version")).select("profile_id")
 
 
-@query("SELECT vec_id, label IS NOT NULL AND vec_id % 2 = 0 AS reused FROM embeddings")
+@query("SELECT n.row_id, EXISTS (SELECT 1 FROM ocr_page_cache o WHERE o.engine_version = '5.3.0' AND o.relative_path = n.relative_path AND o.page_number = n.page_number AND o.text = n.text) AS reused FROM ocr_page_cache n WHERE n.engine_version <> '5.0.1'")
 def i_reuse_vectors(spark: SparkSession, d: str) -> DataFrame:
-    """Vectors taken over from unchanged passages."""
-    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("label").cast("string").alias("text"), "embedding")
-    new = e.withColumn("embedding", F.lit(None).cast(dict(e.dtypes)["embedding"]))
-    return ingest.reuse_vectors(new, e.where("chunk_id % 2 = 0")).select(F.col("chunk_id").alias("vec_id"), F.col("embedding").isNotNull().alias("reused"))
+    """Vectors of pages one version read, taken over where another one read the same text."""
+    pages = table(spark, d, "ocr_page_cache").withColumn("chunk_id", F.format_string("%s#p%d", "relative_path", "page_number"))
+    old = pages.where("engine_version = '5.3.0'").select("chunk_id", "text", F.array(F.col("page_number").cast("float")).alias("embedding"))
+    new = pages.where("engine_version <> '5.0.1'").select("row_id", "chunk_id", "text", F.lit(None).cast("array<float>").alias("embedding"))
+    return ingest.reuse_vectors(new, old).select("row_id", F.col("embedding").isNotNull().alias("reused"))
+
+
+@query("SELECT row_id, engine_version = '5.4.1' AS kept FROM ocr_page_cache")
+def i_reset_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors of all pages after a change of the model, here named by the reader's version."""
+    pages = table(spark, d, "ocr_page_cache").select("row_id", F.array(F.lit(1.0)).alias("embedding"), F.col("engine_version").alias("model"))
+    return ingest.reset_vectors(pages, "5.4.1").select("row_id", F.col("embedding").isNotNull().alias("kept"))
+
+
+@query("SELECT row_id FROM ocr_page_cache n WHERE NOT EXISTS (SELECT 1 FROM ocr_page_cache o WHERE o.relative_path = n.relative_path AND o.sha256 = n.sha256 AND o.page_number = n.page_number AND list_transform(string_split(o.engine_version, '.'), lambda x: CAST(x AS INT)) >= [5, 3, 4])")
+def i_to_recognise(spark: SparkSession, d: str) -> DataFrame:
+    """Pages that a version of the reader has still to read."""
+    pages = table(spark, d, "ocr_page_cache")
+    return ingest.to_recognise(pages.select("row_id", "relative_path", "sha256", "page_number"), pages, "5.3.4").select("row_id")
+
+
+@query("SELECT row_id, CASE WHEN status = 'no_text' THEN 'again' ELSE status END AS status FROM ocr_page_cache WHERE status <> 'below_threshold' UNION ALL SELECT row_id, 'again' FROM ocr_page_cache WHERE status = 'below_threshold'")
+def i_retried(spark: SparkSession, d: str) -> DataFrame:
+    """A batch of pages, those that failed replaced by what a retry of each gave."""
+    pages = table(spark, d, "ocr_page_cache")
+    results = pages.select("row_id", "status", F.when(F.col("status") != "recognised", F.col("status")).alias("error"))
+    return ingest.retried(results, pages.select("row_id", F.lit("again").alias("status"), F.lit(None).cast("string").alias("error")), "row_id").select("row_id", "status")
+
+
+@query("WITH e AS (SELECT event_type, event_id, floor(epoch(ts)) AS t FROM events), w AS (SELECT event_type, event_id, t, min(t) OVER x AS t0, max(event_id) OVER x - min(event_id) OVER x AS n FROM e WINDOW x AS (PARTITION BY event_type ORDER BY t RANGE BETWEEN 600 PRECEDING AND CURRENT ROW)) SELECT event_type, event_id, round(CASE WHEN t > t0 THEN n / (t - t0) END, 6) AS rate FROM w")
+def i_progress(spark: SparkSession, d: str) -> DataFrame:
+    """How fast jobs go over their last ten minutes, at each of their samples."""
+    e = table(spark, d, "events").select("event_type", "event_id", F.struct("ts", "event_id").alias("k"), F.date_trunc("second", "ts").alias("at"))
+    rates = ingest.progress(e.select("event_type", F.col("at"), "event_id").withColumn("done", F.col("event_id")), "event_type", "at", "done", 600)
+    return rates.join(e.select("event_type", "at", "event_id"), ["event_type", "at"]).select("event_type", "event_id", F.round("rate", 6).alias("rate")).distinct()
 
 
 @query("SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H') AS hour, event_type, count(*) AS n FROM events GROUP BY ALL")
@@ -582,5 +631,9 @@ def m_letters(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def r_captions(spark: SparkSession, d: str) -> DataFrame:
     """Meeting transcripts as speakers' lines."""
-    read = F.udf(lambda t: readers.read_captions(t.encode())[0], "string", useArrow=True)
-    return table(spark, d, "documents").where(F.startswith("text", F.lit("WEBVTT"))).select("doc_id", read("text").alias("text"))
+
+    @F.pandas_udf("string")
+    def read(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: readers.read_captions(t.encode())[0])
+
+    return table(spark, d, "documents").where(F.startswith("text", F.lit("WEBVTT"))).select("doc_id", read("text").alias("text"))
\ No newline at end of file

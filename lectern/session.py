@@ -32,7 +32,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder named by spark.checkpoint.dir.
 
-    Only where the session names none (tests on one machine) is a temporary folder set.
+    Only where the session names none and its master is local (tests on one machine) is a temporary folder set; a
+    cluster without the setting is an error, as executors share no temporary folder.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     current = spark.sparkContext.getCheckpointDir()
@@ -41,6 +42,8 @@ def shared_dir(spark: SparkSession) -> str:
             spark.sparkContext.setCheckpointDir(named)
         return named
     if current is None:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         spark.sparkContext.setCheckpointDir("file://" + os.path.join(tempfile.gettempdir(), "lectern-checkpoints"))
         current = spark.sparkContext.getCheckpointDir()
     return current
@@ -50,3 +53,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage of df by a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df in at least as many partitions as there are cores, for costly work by row: a small file is one split, which one
+    core would read. Tables of more splits, as large ones have, stay as they are and aren't shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,22 +27,24 @@ def cached(spark: SparkSession, path: str, content_id: str, build: DataFrame) ->
     return spark.read.schema(build.schema).parquet(where)
 
 
+_FIELD = re.compile(r"\{\{\s*([^{}\n]{1,60}?)\s*\}\}|«\s*([^«»\n]{1,60}?)\s*»|\[\s*([^\[\]\n]{1,60}?)\s*\]")
+
+
 def fill(template: str, rows: DataFrame, mapping: dict[str, str]) -> DataFrame:
-    """Letters: rows with the column letter, the template with fields replaced by columns as mapped; fields
-    without a column stay, and a null value is an empty text."""
-    out = F.lit(template)
-    for field, column in mapping.items():
-        value = F.coalesce(F.col(column).cast("string"), F.lit(""))
-        for form in (f"{{{{{field}}}}}", f"{{{{ {field} }}}}", f"«{field}»", f"[{field}]"):
-            out = F.replace(out, F.lit(form), value)
-    return rows.withColumn("letter", out)
+    """Letters: rows with the column letter, the template with fields replaced by columns as mapped, in one pass over
+    its parts, so what a value holds is never a field. Fields without a column stay, and a null value is an empty text."""
+    parts, at = [], 0
+    for m in _FIELD.finditer(template):
+        field = next(g for g in m.groups() if g is not None)
+        if field in mapping:
+            parts += [F.lit(template[at : m.start()]), F.coalesce(F.col(mapping[field]).cast("string"), F.lit(""))]
+            at = m.end()
+    return rows.withColumn("letter", F.concat(*parts, F.lit(template[at:])))
 
 
 def propose_mapping(fields: list[str], columns: list[str]) -> list[tuple[str, str | None, str]]:
     """For each field its column and how sure: exact (equal letters and digits), proposed (the only column that
     starts with it; never filled in unasked), or unresolved."""
-    import re
-
     from lectern.plans.compile import _plain
 
     bare = {c: re.sub(r"[^a-z0-9]", "", _plain(c)) for c in columns}
@@ -65,8 +69,10 @@ def first_appearance_groups(rows: DataFrame, key: str | None, index: str) -> Dat
 
 
 def line_columns(rows: DataFrame, key: str) -> list[str]:
-    """Columns whose value varies within some group: those of the lines, not of the letter."""
+    """Columns whose value varies within some group: those of the lines, not of the letter. A null is a value too."""
     others = [c for c in rows.columns if c != key]
-    per = rows.groupBy(key).agg(*[(F.count_distinct(F.coalesce(F.col(c).cast("string"), F.lit("\0"))) > 1).alias(c) for c in others])
-    seen = per.agg(*[F.max(c).alias(c) for c in others]).first()
+    text = {c: F.col(f"`{c}`").cast("string") for c in others}
+    varies = {c: F.coalesce(F.min(v) != F.max(v), F.lit(False)) | ((F.count(v) > 0) & (F.count(v) < F.count("*"))) for c, v in text.items()}
+    per = rows.groupBy(key).agg(*[v.alias(c) for c, v in varies.items()])
+    seen = per.agg(*[F.max(f"`{c}`").alias(c) for c in others]).first()
     return [c for c in others if seen[c]]

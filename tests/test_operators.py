@@ -151,3 +151,79 @@ def test_ring_and_stream(spark, tmp_path):
         ingest.stream_folder(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
         assert spark.read.parquet(str(tmp_path / "out")).count() == expected
         (tmp_path / "in" / "b.txt").write_text("deux")
+    import os
+    import time
+
+    (tmp_path / "in" / "a.txt").write_text("trois")
+    os.utime(tmp_path / "in" / "a.txt", (time.time() + 60, time.time() + 60))
+    source, target = str(tmp_path / "in"), str(tmp_path / "out")
+    ingest.stream_folder(spark, source, target, str(tmp_path / "cp")).awaitTermination()
+    for _ in range(2):
+        ingest.refresh_folder(spark, source, target)
+        assert {r["text"] for r in ingest.folder_texts(spark, target).collect()} == {"trois", "deux"}
+    (tmp_path / "in" / "b.txt").unlink()
+    ingest.refresh_folder(spark, source, target)
+    assert {r["text"] for r in ingest.folder_texts(spark, target).collect()} == {"trois"}
+
+
+def test_exact_order_statistics(spark, monkeypatch):
+    from lectern.operators import quantiles
+
+    monkeypatch.setattr(quantiles, "FEW", 5)
+    monkeypatch.setattr(quantiles, "RANGES", 4)
+    values = [1e300, -1e300, 0.0, -0.5, 2.5, 2.5, 2.5, 7.0, 1e-9, 3.0, None, float("nan")]
+    df = spark.createDataFrame([(v,) for v in values], "v double").withColumn("n", F.lit(1))
+    real = sorted(v for v in values if v is not None and v == v)
+    assert [quantiles.value_at(df, "v", i) for i in range(len(real))] == real and quantiles.value_at(df, "v", len(real)) is None
+    assert quantiles.median(df, "v") == 2.5 and quantiles.percentile(df, "v", 0.95) == 1e300 and quantiles.median(df.where("v > 1e301"), "v") is None
+
+
+def test_fill_reads_the_template_once(spark):
+    rows = spark.createDataFrame([("«b»", "x"), (None, "y")], "a string, b string")
+    got = [r["letter"] for r in sinks.fill("{{a}} {{ b }} «b» [c] [a]!", rows, {"a": "a", "b": "b"}).collect()]
+    assert got == ["«b» x x [c] «b»!", " y y [c] !"]
+    assert sinks.line_columns(spark.createDataFrame([(1, "a", None), (1, "a", "x"), (2, "b", None)], "k int, u string, v string"), "k") == ["v"]
+
+
+def test_reduction_falls_back_to_all_files(spark):
+    files = spark.createDataFrame([(f"f{i}",) for i in range(20)], "relative_path string")
+    links = spark.createDataFrame([(f"f{i}", "Anne Roux", 0.9) for i in range(3)] + [(f"f{i}", "Le Lac", 0.9) for i in range(19)] + [("f4", "Unsure", 0.1)], "relative_path string, surface string, confidence double")
+    got = {r["relative_path"]: r["reason"] for r in knowledge.reduce_files(links, ["anne roux"], files).collect()}
+    assert got == {"f0": "entity", "f1": "entity", "f2": "entity", "f19": "unread"}
+    for asked in (["le lac"], ["unsure"], ["nobody"], []):
+        assert {r["reason"] for r in knowledge.reduce_files(links, asked, files).collect()} == {"all"}
+    assert knowledge.reduce_files(links, ["anne roux"], files.limit(5)).count() == 5
+
+
+def test_near_pairs(spark):
+    df = spark.createDataFrame([(w,) for w in ["martin", "matrin", "marten", "dupont", "", None, "martin"]], "w string")
+    assert {tuple(r) for r in text.near_pairs(F.col("w"), df).collect()} == {("martin", "matrin", 1), ("marten", "martin", 1), ("marten", "matrin", 2)}
+
+
+def test_nearest(spark):
+    df = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(50)] + [(90, None), (91, [0.0, 0.0])], "k bigint, v array<double>")
+    got = search.nearest(df, "k", "v", df.where("k in (0, 10)"), 3, block=7).collect()
+    assert {(r["query"], r["k"]) for r in got} == {(0, 0), (0, 1), (0, 2), (10, 10), (10, 11), (10, 9)}
+
+
+def test_extraction(spark):
+    from lectern.operators import extract
+
+    docs = spark.createDataFrame([(1, "Lettre à Anne Roux et Anne Roux Petit, LIL 123-4567."), (2, None), (3, ""), (4, "x" * 50_000)], "k bigint, t string").withColumn("run", F.lit(0)).withColumn("at", F.lit(0))
+    entries = extract.dictionary(spark.createDataFrame([("Anne Roux",), ("anne roux petit",), ("Roux",), (None,), ("a b c d e f",)], "n string"), "n")
+    hits = {(r["at"], r["run"]) for r in extract.longest_matches(docs, "k", "t", entries).collect()}
+    assert hits == {(3, "anne roux"), (4, "roux"), (6, "anne roux petit"), (7, "roux")}
+    assert {(r["at"], r["run"]) for r in extract.apart(extract.longest_matches(docs, "k", "t", entries), "k").collect()} == {(3, "anne roux"), (6, "anne roux petit")}
+    stripped = {r["k"]: r["t"] for r in extract.strip_known(docs, "k", "t", entries).withColumnRenamed("text", "t").collect()}
+    assert stripped[1] == "lettre a [NOM] et [NOM] lil 123 4567" and stripped[2] is None and stripped[3] == ""
+    ids = extract.scan_identifiers(docs, "k", "t", {"dossier": r"\bLIL \d{3}-\d{4}\b"}).collect()
+    assert [(r["k"], r["compact"]) for r in ids] == [(1, "LIL1234567")]
+    with pytest.raises(ValueError):
+        extract.load_pack('{"other": 1}')
+
+
+def test_routes():
+    from lectern.operators import routing
+
+    assert routing.follow_up("et en 2024 ?", "Combien de lettres ?") == "Combien de lettres ? et en 2024 ?" and routing.follow_up("a b c d e f g h i", "x") == "a b c d e f g h i"
+    assert routing.read_typed("pdf 03/2024 Été") == routing.Typed(["pdf"], "2024-03", ["ete"])
