@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,6 +56,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table written to the shared folder under a name of its own, which cuts its lineage and lets later reads take
+    only the columns they need."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/lectern_{name}_{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df in at least as many partitions as there are cores, for costly work by row: a small file is one split, which one
     core would read. Tables of more splits, as large ones have, stay as they are and aren't shuffled."""
