@@ -3,14 +3,20 @@
 Four kinds of noise are found and undone: words hyphenated over a line end, misrecognised characters, running
 headers and page numbers.
 
-Words are judged by a lexicon of the whole corpus, its words with their frequency. A symmetric-delete index
-over the frequent words (each word under itself and under itself less one letter) generates candidates for
-every other word; candidates are weighed by an edit distance in which pairs of glyphs that recognisers confuse
-cost little and all else costs too much, and among those left the frequencies of the bigrams with the words on
-either side choose. A word gives way only to one that is many times as frequent.
+Pages are read once: their words with places, line ends, edge lines and counts go to a table in the shared folder, and all
+else are joins of its columns.
+
+Words are judged by a lexicon of the whole corpus, its words with their frequency, each occurrence weighing as much as
+the reader's confidence in its page. A symmetric-delete index over the frequent words (each word under itself and under
+itself less one letter; words beyond SEGMENTED under fifths of themselves, of which two edits leave one whole) generates
+candidates for every other word; candidates are weighed by an edit distance in which pairs of glyphs that recognisers
+confuse cost little and all else costs too much, and among those left the frequencies of the bigrams with the words on
+either side choose. A word gives way only to one that is many times as frequent. Each word is judged once for each pair of
+neighbours, not for each place.
 
 Lines at the edges of a page that other pages of its file repeat, give or take confused glyphs, are running
-headers; so are lines whose shape stands at page edges all over the corpus and hardly elsewhere.
+headers; so are lines whose shape stands at page edges all over the corpus and hardly elsewhere. The two outermost lines
+of an edge are looked at, and each further one where all lines outside it are headers or page numbers.
 """
 
 from __future__ import annotations
@@ -20,10 +26,12 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.session import checkpointed
+from lectern.session import checkpointed, spread, written
 
 # Glyphs as printed and what recognisers make of them.
 CONFUSIONS = [
@@ -31,12 +39,18 @@ CONFUSIONS = [
     ("é", "e'"), ("è", "e'"), ("h", "b"), ("b", "h"), ("d", "cl"), ("cl", "d"), ("u", "ii"), ("ii", "u"), ("v", "y"), ("y", "v"), ("i", "l"), ("l", "i"), ("w", "vv"), ("g", "9"), ("g", "q"), ("q", "g"), ("z", "2"), ("b", "8"), ("n", "u"), ("u", "n"),
     ("in", "m"), ("m", "in"), ("ni", "m"), ("m", "ni"), ("nn", "rm"), ("li", "h"), ("h", "li"), ("d", "ci"), ("a", "ci"), ("s", "8"), ("u", "li"), ("é", "ó"), ("ê", "é"), ("ü", "ii"), ("ä", "a'"), ("s", "$"), ("t", "l"), ("r", "i"), ("k", "lc"), ("n", "11"),
 ]
-#: How many times as frequent the printed word must be, and how often it must occur.
-TIMES, LEAST = 12, 6
-#: Words the workers skip at once: the most frequent that need no repair. A bound, not a limit on the corpus.
+#: How many times as frequent the printed word must be, and how often it must occur, in hundredths of a sure occurrence.
+TIMES, LEAST = 12, 600
+#: What an occurrence on a page of unknown confidence weighs, in hundredths.
+UNKNOWN = 90
+#: Halves of a compound of which neither form is known that are this common make it one.
+COMMON = 5000
+#: Words longer than this are indexed by fifths instead of deletions.
+SEGMENTED = 64
+#: Words that are left out before any shuffle: the most frequent that need no repair. A bound, not a limit on the corpus.
 SKIP = 5000
-#: Longest line of a running header, and how many lines at either edge of a page are looked at.
-LONGEST, EDGE = 110, 3
+#: Outermost lines of an edge that are looked at in any case.
+EDGE = 2
 
 _TOKEN = re.compile(r"[^\W_]+(?:['’´`][^\W\d_]+)*(?:(?<=e)['´`](?![\w]))?")
 _ELISION = re.compile(r"(?:[ldnscjmt]|qu|jusqu|lorsqu|puisqu|quoiqu)['’]", re.IGNORECASE)
@@ -53,12 +67,18 @@ _BLANK = re.compile(r"\s")
 def _mails(text: str) -> list[tuple[int, int]]:
     """Where mail and web addresses stand: from each sign of one outwards to blanks, one blank after it passed."""
     out: list[tuple[int, int]] = []
+    before, opened, asked, end = -1, 0, -1, -1
     for m in _AT.finditer(text):
-        a, b = m.span()
-        while a > 0 and m.start() - a < 100 and not text[a - 1].isspace():
+        a = m.start()
+        while a > max(before, 0) and not text[a - 1].isspace():
             a -= 1
-        end = _BLANK.search(text, b + 1)
-        out.append((a, min(end.start() if end else len(text), b + 200)))
+        if a == before:  # no blank since the sign before, so the run began where that one's did
+            a = opened
+        if not asked <= m.end() + 1 <= end:
+            found = _BLANK.search(text, m.end() + 1)
+            asked, end = m.end() + 1, found.start() if found else len(text)
+        out.append((a, end))
+        before, opened = m.start(), a
     return out
 
 
@@ -105,34 +125,95 @@ def odd_numbers(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
-def count_words(df: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
-    """Frequencies (w, n) of words and hyphenated compounds, and (p, w, n) of neighbouring words."""
+def last_word(text: str, end: int) -> str:
+    """The word, with its hyphens, that ends at a place or one blank before it; empty where none does."""
+    if end and text[end - 1].isspace() and text[end - 1] != "\n":
+        end -= 1
+    a = end
+    while a and (text[a - 1].isalpha() or text[a - 1] == "-"):
+        a -= 1
+    found = _LAST_WORD.search(text, a, end)
+    return found.group(1) if found else ""
 
-    def singles(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            c: Counter[str] = Counter()
-            for t in frame[text]:
-                if isinstance(t, str):
-                    c.update(w for w, _, _ in words(t) if len(w) <= 64)
-                    c.update(w.lower() for w in _COMPOUND.findall(t) if len(w) <= 64)
-            if c:
-                yield pd.DataFrame({"w": list(c.keys()), "n": list(c.values())})
-
-    def doubles(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            c: Counter[tuple[str, str]] = Counter()
-            for t in frame[text]:
-                if isinstance(t, str):
-                    ws = [w for w, _, _ in words(t)]
-                    for p, w in zip(ws, ws[1:], strict=False):
-                        if len(p) <= 32 and len(w) <= 32:
-                            c.update({(beside(p), w), (p, beside(w))})
-            if c:
-                yield pd.DataFrame({"p": [k[0] for k in c], "w": [k[1] for k in c], "n": list(c.values())})
-
-    texts = df.select(text)
-    one = texts.mapInPandas(singles, "w string, n bigint").groupBy("w").agg(F.sum("n").alias("n"))
-    two = texts.mapInPandas(doubles, "p string, w string, n bigint").groupBy("p", "w").agg(F.sum("n").alias("n"))
+
+def line_ends(text: str) -> list[dict]:
+    """Marks at line ends within words: a, b (of the mark and the line end) and the forms the word may have."""
+    out = []
+    mails = None
+    for m in _LINE_END.finditer(text):
+        left = last_word(text, m.start())
+        if not left:
+            continue
+        mails = [(a, b + 1) for a, b in _mails(text)] if mails is None else mails
+        if any(a < m.end() and m.start() < b for a, b in mails):
+            continue
+        mark, right = m.groups()
+        last = left.rpartition("-")[2]
+        runs_on = right[:1].islower() or (last.isupper() and right.isupper() and len(last) > 1)
+        out.append({"a": m.start(), "b": m.start(2), "joined": (last + right).lower(), "compound": f"{last}-{right}".lower(), "whole": f"{left}-{right}".lower(), "hyphen": mark == "-", "head": last.lower(), "tail": right.lower(), "runs_on": runs_on})
+    return out
+
+
+_ENDS = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("joined", pa.string()), ("compound", pa.string()), ("whole", pa.string()), ("hyphen", pa.bool_()), ("head", pa.string()), ("tail", pa.string()), ("runs_on", pa.bool_())]))
+_EDGES = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("at", pa.int32()), ("depth", pa.int32()), ("is_page", pa.bool_()), ("tail", pa.int32()), ("bare", pa.string()), ("shape", pa.string()), ("explicit", pa.bool_())]))
+_ODD = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("v", pa.string())]))
+#: What reading a batch of pages gives: of every page its parts (tag page), and of the batch counts of words (tag word: x, n),
+#: of neighbours (tag pair: x, y, n) and of the shapes of inner lines (tag inner: x, n).
+_PARTS = pa.schema([("tag", pa.string()), ("row_id", pa.int64()), ("page", pa.int64()), ("path", pa.string()), ("w", pa.list_(pa.string())), ("a", pa.list_(pa.int32())), ("b", pa.list_(pa.int32())), ("odd", _ODD), ("ends", _ENDS), ("edges", _EDGES), ("x", pa.string()), ("y", pa.string()), ("n", pa.int64())])
+_EDGE_DDL = "array<struct<a int, b int, at int, depth int, is_page boolean, tail int, bare string, shape string, explicit boolean>>"
+_PARTS_DDL = (
+    "tag string, row_id bigint, page bigint, path string, w array<string>, a array<int>, b array<int>, odd array<struct<a int, b int, v string>>, "
+    "ends array<struct<a int, b int, joined string, compound string, whole string, hyphen boolean, head string, tail string, runs_on boolean>>, "
+    f"edges {_EDGE_DDL}, x string, y string, n bigint"
+)
+
+
+def pages(df: DataFrame, key: str, text: str, path: str, page: str, confidence: str | None) -> DataFrame:
+    """The parts of all pages and the counts of the corpus, as rows of _PARTS."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            one: Counter[str] = Counter()
+            two: Counter[tuple[str, str]] = Counter()
+            inner: Counter[str] = Counter()
+            rows = []
+            for k, t, where, number, sure in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                if t is None:
+                    continue
+                weight = UNKNOWN if sure is None or sure != sure else max(1, round(100 * min(max(sure, 0.0), 1.0)))
+                number = None if number is None or number != number else int(number)
+                found = words(t)
+                ws = [w for w, _, _ in found]
+                for w in ws:
+                    one[w] += weight
+                for w in _COMPOUND.findall(t):
+                    one[w.lower()] += weight
+                two.update(zip(ws, ws[1:], strict=False))
+                own = [line for line in t.split("\n") if line.strip()]
+                inner.update(shape(line.strip()) for line in own[EDGE:-EDGE])
+                rows.append({"tag": "page", "row_id": k, "page": -k if number is None else number, "path": where, "w": ws, "a": [a for _, a, _ in found], "b": [b for _, _, b in found], "odd": [{"a": a, "b": b, "v": v} for a, b, v in odd_numbers(t)], "ends": line_ends(t), "edges": edge_lines(t, number, 0, EDGE + 1)})
+            rows.extend({"tag": "word", "x": w, "n": n} for w, n in one.items())
+            rows.extend({"tag": "pair", "x": p, "y": w, "n": n} for (p, w), n in two.items())
+            rows.extend({"tag": "inner", "x": s, "n": n} for s, n in inner.items())
+            yield pa.RecordBatch.from_pylist(rows, _PARTS)
+
+    sure = F.col(confidence).cast("double") if confidence else F.lit(None).cast("double")
+    rows = spread(df.select(F.col(key).cast("bigint"), F.col(text), F.col(path).cast("string"), F.col(page).cast("double"), sure))
+    return written(rows.toDF("row_id", "text", "path", "page", "confidence").mapInArrow(run, _PARTS_DDL), "pages")
+
+
+def _beside(word: Column) -> Column:
+    return F.when((F.length(word) <= 3) & word.rlike(r"\d"), "#").otherwise(word)
+
+
+def lexicon(parts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Weights (w, n) of words and hyphenated compounds, and frequencies (p, w, n) of neighbouring words, either one also
+    as its neighbour's context has it (see beside)."""
+    one = parts.where("tag = 'word'").groupBy(F.col("x").alias("w")).agg(F.sum("n").alias("n"))
+    both = parts.where("tag = 'pair'").groupBy("x", "y").agg(F.sum("n").alias("n"))
+    x, y = F.col("x"), F.col("y")
+    forms = F.array_distinct(F.array(F.struct(_beside(x).alias("p"), y.alias("w")), F.struct(x.alias("p"), _beside(y).alias("w"))))
+    two = both.select(F.explode(forms).alias("f"), "n").groupBy("f.p", "f.w").agg(F.sum("n").alias("n"))
     return one, two
 
 
@@ -189,6 +270,20 @@ def cost(printed: str, seen: str) -> float:
     return best.get((n, m), 99.0)
 
 
+def segments(word: str, slack: int) -> list[str]:
+    """Keys of the fifths of a long word; with slack, of all words of lengths and at places up to so many signs away.
+    Two edits, each over a border of fifths at worst, leave one fifth whole."""
+    out = []
+    for length in range(len(word) - slack, len(word) + slack + 1):
+        cuts = [length * i // 5 for i in range(6)]
+        for i in range(5):
+            for shift in range(-slack, slack + 1):
+                a, b = cuts[i] + shift, cuts[i + 1] + shift
+                if 0 <= a < b <= len(word):
+                    out.append(f"{length}/{i}/{xxhash.xxh3_64_hexdigest(word[a:b].encode('utf-8', 'surrogatepass'))}")
+    return sorted(set(out))
+
+
 def repairs(counts: DataFrame) -> DataFrame:
     """Candidates (w, v, cost, n_w, n_v): words w that a more frequent word v may have been."""
 
@@ -199,6 +294,12 @@ def repairs(counts: DataFrame) -> DataFrame:
                 if w == "#":
                     continue
                 known = n >= LEAST
+                if len(w) > SEGMENTED - 2:
+                    if known:
+                        out.extend((k, w, n, True) for k in segments(w, 0))
+                    out.extend((k, w, n, False) for k in segments(w, 2))
+                if len(w) > SEGMENTED:
+                    continue
                 own = {w} | ({w[:i] + w[i + 1 :] for i in range(len(w))} if len(w) > 2 else set())
                 if len(w) == 2:
                     own |= {"?" + w[1], w[0] + "?"}
@@ -227,32 +328,20 @@ def repairs(counts: DataFrame) -> DataFrame:
     return met.select("w", "v", "n_w", "n_v").mapInPandas(weigh, "w string, v string, cost double, n_w bigint, n_v bigint")
 
 
-def suspects(df: DataFrame, key: str, text: str, skip: frozenset[str]) -> DataFrame:
-    """Words that aren't skipped, where they stand: row_id, a, b, p (the word before), w, q (the one after)."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for k, t in frame.itertuples(index=False, name=None):
-                if not isinstance(t, str):
-                    continue
-                ws = words(t)
-                for i, (w, a, b) in enumerate(ws):
-                    if w not in skip and w != "#" and len(w) <= 64:
-                        out.append((k, a, b, beside(ws[i - 1][0]) if i else "", w, beside(ws[i + 1][0]) if i + 1 < len(ws) else ""))
-            yield pd.DataFrame(out, columns=["row_id", "a", "b", "p", "w", "q"])
-
-    return df.select(F.col(key).cast("bigint").alias("row_id"), F.col(text).alias("text")).mapInPandas(run, "row_id bigint, a int, b int, p string, w string, q string")
-
-
-def misread_words(df: DataFrame, counts: DataFrame, pairs: DataFrame, key: str, text: str) -> DataFrame:
-    """Words to be repaired: row_id, a, b, w, v."""
-    fixes = checkpointed(repairs(counts))
-    clean = counts.join(fixes.select("w").distinct(), "w", "left_anti").orderBy(F.desc("n"), "w").limit(SKIP)
-    skip = frozenset(r["w"] for r in clean.collect())  # at most SKIP words
-    near = suspects(df, key, text, skip).join(fixes, "w")
+def misread_words(parts: DataFrame, counts: DataFrame, bigrams: DataFrame, fixes: DataFrame) -> DataFrame:
+    """Words to be repaired, of those that have fixes: row_id, a, b, w, v."""
+    clean = counts.join(fixes.select("w").distinct(), "w", "left_anti").orderBy(F.desc("n"), "w").limit(SKIP).select(F.col("w").alias("t"))
+    tokens = parts.where("tag = 'page'").select("row_id", "w", "a", "b", F.posexplode("w").alias("i", "t"))
+    tokens = tokens.where("t <> '#'").join(F.broadcast(clean), "t", "left_anti")  # at most SKIP words
+    neighbour = lambda i: F.coalesce(F.try_element_at("w", i), F.lit(""))
+    places = tokens.select(
+        "row_id", F.element_at("a", F.col("i") + 1).alias("a"), F.element_at("b", F.col("i") + 1).alias("b"), F.when(F.col("i") > 0, _beside(neighbour(F.greatest("i", F.lit(1))))).otherwise("").alias("p"), F.col("t").alias("w"), _beside(neighbour(F.col("i") + 2)).alias("q")
+    )
+    places = checkpointed(places.join(fixes.select("w").distinct(), "w", "left_semi").select("row_id", "a", "b", "p", "w", "q"))
+    # a word is judged once for each pair of neighbours
+    near = places.select("p", "w", "q").distinct().join(fixes, "w")
     # context: how often the candidate, and the word as it stands, follow and precede the neighbours
-    bi = lambda p, w, n: pairs.select(F.col("p").alias(p), F.col("w").alias(w), F.col("n").alias(n))
+    bi = lambda p, w, n: bigrams.select(F.col("p").alias(p), F.col("w").alias(w), F.col("n").alias(n))
     judged = (
         near.join(bi("p", "v", "pv"), ["p", "v"], "left")
         .join(bi("v", "q", "vq"), ["v", "q"], "left")
@@ -267,44 +356,26 @@ def misread_words(df: DataFrame, counts: DataFrame, pairs: DataFrame, key: str,
     against = again("pw") + again("wq")
     # short words, and words that are themselves common, need a neighbour that speaks for the candidate
     fits = F.when((F.length("w") <= 3) | (F.col("n_w") >= LEAST), support > against + 1).otherwise(F.lit(True))
-    return (
-        judged.where(fits)
-        .groupBy("row_id", "a", "b", "w")
-        .agg(F.max_by("v", F.struct(score, F.col("v"))).alias("v"))
-    )
-
+    chosen = judged.where(fits).groupBy("p", "w", "q").agg(F.max_by("v", F.struct(score, F.col("v"))).alias("v"))
+    return places.join(chosen, ["p", "w", "q"]).select("row_id", "a", "b", "w", "v")
 
-def split_words(df: DataFrame, counts: DataFrame, key: str, text: str) -> DataFrame:
-    """Words hyphenated over a line end: row_id, a, b (of the mark and the line end) and the joined word."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for k, t in frame.itertuples(index=False, name=None):
-                if not isinstance(t, str):
-                    continue
-                mails = [(a, b + 1) for a, b in _mails(t)]
-                for m in _LINE_END.finditer(t):
-                    before = _LAST_WORD.search(t[max(0, m.start() - 64) : m.start()])
-                    if not before or any(a < m.end() and m.start() < b for a, b in mails):
-                        continue
-                    left, mark, right = before.group(1), *m.groups()
-                    last = left.rpartition("-")[2]
-                    joined = (last + right).lower()
-                    out.append((k, m.start(), m.start(2), joined, f"{last}-{right}".lower(), f"{left}-{right}".lower(), mark == "-", last.lower(), right.lower(), right[:1].islower() or (last.isupper() and right.isupper() and len(last) > 1)))
-            yield pd.DataFrame(out, columns=["row_id", "a", "b", "joined", "compound", "whole", "hyphen", "head", "tail", "runs_on"])
-
-    schema = "row_id bigint, a int, b int, joined string, compound string, whole string, hyphen boolean, head string, tail string, runs_on boolean"
-    ends = df.select(F.col(key).cast("bigint").alias("row_id"), F.col(text).alias("text")).mapInPandas(run, schema)
+def split_words(parts: DataFrame, counts: DataFrame) -> DataFrame:
+    """Words hyphenated over a line end: row_id, a, b (of the mark and the line end), the joined word, and whether it is a
+    frequent one."""
+    ends = parts.where("tag = 'page'").select("row_id", F.inline("ends"))
+    # forms are judged once, however often they are met
+    forms = ends.select("joined", "compound", "whole", "head", "tail", "hyphen", "runs_on").distinct()  # head and tail follow from whole and joined
     known = lambda c, n: counts.select(F.col("w").alias(c), F.col("n").alias(n))
-    judged = ends.join(known("joined", "n_j"), "joined", "left").join(known("compound", "n_c"), "compound", "left").join(known("whole", "n_o"), "whole", "left").join(known("head", "n_h"), "head", "left").join(known("tail", "n_t"), "tail", "left").na.fill(0, ["n_j", "n_c", "n_o", "n_h", "n_t"])
+    judged = forms.join(known("joined", "n_j"), "joined", "left").join(known("compound", "n_c"), "compound", "left").join(known("whole", "n_o"), "whole", "left").join(known("head", "n_h"), "head", "left").join(known("tail", "n_t"), "tail", "left").na.fill(0, ["n_j", "n_c", "n_o", "n_h", "n_t"])
     compound = F.greatest("n_c", "n_o")
     # where neither form is known, two halves that are common words are taken for a compound
-    return judged.where(
+    split = judged.where(
         F.when(F.col("n_j") > compound, True)
         .when(compound > F.col("n_j"), F.lit(False))
-        .otherwise(F.col("runs_on") & (~F.col("hyphen") | (F.least("n_h", "n_t") < 50)))
-    ).select("row_id", "a", "b", "joined")
+        .otherwise(F.col("runs_on") & (~F.col("hyphen") | (F.least("n_h", "n_t") < COMMON)))
+    ).select("joined", "compound", "whole", "hyphen", "runs_on", (F.col("n_j") >= LEAST).alias("known")).distinct()
+    return ends.join(split, ["joined", "compound", "whole", "hyphen", "runs_on"]).select("row_id", "a", "b", "joined", "known")
 
 
 _EXPLICIT = re.compile(r"[A-Za-z\[\]–—-]")
@@ -350,104 +421,105 @@ def shape(line: str) -> str:
     return skeleton(_DIGITS.sub("#", line) if any(c.isdigit() for c in line) else line)
 
 
-def edges(df: DataFrame, key: str, text: str, path: str, page: str) -> DataFrame:
-    """Lines at the edges of pages: row_id, path, a, b, at (0 top, 1 bottom), is_page (the page's number alone),
-    tail (where a number ends the line, its start, else b), bare (skeleton), shape (skeleton, digits as #)."""
+def edge_lines(text: str, page: int | None, first: int, last: int) -> list[dict]:
+    """Lines at the edges of a page, from depth first to before last: a, b, at (0 top, 1 bottom), depth, is_page (the page's
+    number alone), tail (where a number ends the line, its start, else b), bare (skeleton), shape (digits as #), explicit
+    (the number is marked as one)."""
+    spans, at, out = [], 0, []
+    for line in text.split("\n"):
+        if line.strip():
+            spans.append((at, at + len(line)))
+        at += len(line) + 1
+    for end, own in ((0, spans[first:last]), (1, spans[::-1][first:last])):
+        for depth, (a, b) in enumerate(own, first):
+            line = text[a:b]
+            alone = _is_page(line, page)
+            m = None if alone else _TAIL.search(line)
+            tail = a + m.start() if m and _is_page(m.group(1), page) else b
+            bare = text[a:tail].strip()
+            out.append({"a": a, "b": b, "at": end, "depth": depth, "is_page": alone, "tail": tail, "bare": skeleton(bare), "shape": shape(bare), "explicit": bool(m) and _EXPLICIT.search(m.group(1)) is not None})
+    return out
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for k, t, where, number in frame.itertuples(index=False, name=None):
-                if not isinstance(t, str):
-                    continue
-                number = None if number != number or number is None else int(number)
-                spans, at = [], 0
-                for line in t.split("\n"):
-                    if line.strip():
-                        spans.append((at, at + len(line)))
-                    at += len(line) + 1
-                for end, own in ((0, spans[:EDGE]), (1, spans[::-1][:EDGE])):
-                    for depth, (a, b) in enumerate(own):
-                        line = t[a:b]
-                        if len(line) > LONGEST:
-                            break
-                        alone = _is_page(line, number)
-                        m = _TAIL.search(line)
-                        tail = a + m.start() if m and not alone and _is_page(m.group(1), number) else b
-                        bare = t[a:tail].strip()
-                        out.append((k, -k if number is None else number, where, a, b, end, depth, alone, tail, skeleton(bare), shape(bare), bool(m) and _EXPLICIT.search(m.group(1)) is not None))
-            yield pd.DataFrame(out, columns=["row_id", "page", "path", "a", "b", "at", "depth", "is_page", "tail", "bare", "shape", "explicit"])
-
-    schema = "row_id bigint, page bigint, path string, a int, b int, at int, depth int, is_page boolean, tail int, bare string, shape string, explicit boolean"
-    rows = df.select(F.col(key).cast("bigint").alias("row_id"), F.col(text).alias("text"), F.col(path).cast("string").alias("path"), F.col(page).cast("double").alias("page"))
-    return rows.mapInPandas(run, schema)
-
-
-def inner_shapes(df: DataFrame, text: str) -> DataFrame:
-    """How often lines of each shape (by its hash) stand elsewhere than at the edges of pages."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            c: Counter[str] = Counter()
-            for t in frame[text]:
-                if isinstance(t, str):
-                    own = [line for line in t.split("\n") if line.strip()]
-                    c.update(shape(line.strip()) for line in own[2:-2] if len(line) <= LONGEST)
-            if c:
-                yield pd.DataFrame({"shape": list(c.keys()), "n": list(c.values())})
 
-    return df.select(text).mapInPandas(run, "shape string, n bigint").groupBy(F.xxhash64("shape").alias("s")).agg(F.sum("n").alias("inner"))
+def deeper(df: DataFrame, edges: DataFrame, key: str, text: str, page: str, first: int) -> DataFrame:
+    """Lines at depth first of the edges (row_id, at) given: rows as of edge_lines with row_id, page and path left out."""
+
+    @F.arrow_udf(_EDGE_DDL)
+    def read(texts: pa.Array, numbers: pa.Array) -> pa.Array:
+        return pa.array([edge_lines(t or "", None if n is None or n != n else int(n), first, first + 1) for t, n in zip(texts.to_pylist(), numbers.to_pylist(), strict=True)], _EDGES)
 
+    rows = df.select(F.col(key).cast("bigint").alias("row_id"), F.col(text).alias("text"), F.col(page).cast("double").alias("n")).join(edges.select("row_id").distinct(), "row_id")
+    return rows.select("row_id", F.inline(read("text", "n"))).join(edges.select("row_id", "at"), ["row_id", "at"], "left_semi")
 
-def furniture(df: DataFrame, key: str, text: str, path: str, page: str) -> DataFrame:
+
+def furniture(df: DataFrame, parts: DataFrame, key: str, text: str, page: str) -> DataFrame:
     """Running headers and page numbers: row_id, a, b, defect."""
-    lines = checkpointed(edges(df, key, text, path, page))
-    numbers = lines.where("is_page and depth <= 1").select("row_id", "a", "b", F.lit("page_number").alias("defect"))
-    body = lines.where("not is_page and depth <= 1 and length(bare) >= 8").withColumn("s", F.xxhash64("shape"))
-    # a line repeated by different pages of its file; a page read twice doesn't count
-    again = body.groupBy("path", "bare").agg(F.countDistinct("page").alias("pages")).where("pages > 1").select("path", "bare")
-    repeated = body.join(again, ["path", "bare"], "left_semi")
-    # shapes of such lines; a running header's stands at edges and hardly anywhere else
-    at_edge = body.groupBy("s").agg(F.count("*").alias("outer"))
-    kinds = (
-        repeated.groupBy("s")
-        .agg(F.countDistinct("path").alias("files"))
-        .join(at_edge, "s")
-        .join(inner_shapes(df, text), "s", "left")
-        .where(F.coalesce("inner", F.lit(0)) * 9 <= F.col("outer"))
-        .select("s", "files")
-    )
-    headers = (
-        repeated.join(kinds.select("s"), "s", "left_semi")
-        .unionByName(body.join(kinds.where("files >= 3").select("s"), "s", "left_semi"))
-        .select("row_id", "a", "b", "tail")
-        .distinct()
-    )
+    own = parts.where("tag = 'page'").select("row_id", "page", "path", F.inline("edges"))
+    inner = parts.where("tag = 'inner'").groupBy(F.xxhash64("x").alias("s")).agg(F.sum("n").alias("inner"))
+    where = parts.where("tag = 'page'").select("row_id", "page", "path")
+    own = checkpointed(own)
+    lines, depth = own.where(F.col("depth") < EDGE), EDGE
+    while True:
+        numbers = lines.where("is_page").select("row_id", "a", "b", F.lit("page_number").alias("defect"))
+        body = lines.where("not is_page and length(bare) >= 8").withColumn("s", F.xxhash64("shape"))
+        # a line repeated by different pages of its file; a page read twice doesn't count
+        again = body.groupBy("path", "bare").agg(F.countDistinct("page").alias("pages")).where("pages > 1").select("path", "bare")
+        repeated = body.join(again, ["path", "bare"], "left_semi")
+        # shapes of such lines; a running header's stands at edges and hardly anywhere else
+        at_edge = body.groupBy("s").agg(F.count("*").alias("outer"), F.count_if(F.col("depth") >= EDGE).alias("deep"))
+        kinds = (
+            repeated.groupBy("s")
+            .agg(F.countDistinct("path").alias("files"))
+            .join(at_edge, "s")
+            .join(inner, "s", "left")
+            .where((F.coalesce("inner", F.lit(0)) - F.col("deep")) * 9 <= F.col("outer"))  # lines deeper than EDGE were counted as inner ones
+            .select("s", "files")
+        )
+        headers = (
+            repeated.join(kinds.select("s"), "s", "left_semi")
+            .unionByName(body.join(kinds.where("files >= 3").select("s"), "s", "left_semi"))
+            .select("row_id", "a", "b", "tail", "at", "depth")
+            .distinct()
+        )
+        headers = checkpointed(headers)
+        # edges all of whose lines so far are headers or numbers may hold more of them
+        gone = headers.select("row_id", "at", "depth").unionAll(lines.where("is_page").select("row_id", "at", "depth")).distinct()
+        open_ = checkpointed(gone.groupBy("row_id", "at").agg(F.count("*").alias("k")).where(F.col("k") == depth).select("row_id", "at"))
+        if open_.isEmpty():
+            break
+        # the next line was read with the outer ones; those beyond are read from the few pages that may have such headers
+        next_ = own.where(F.col("depth") == depth).join(open_, ["row_id", "at"], "left_semi") if depth == EDGE else deeper(df, open_, key, text, page, depth).join(where, "row_id")
+        more = checkpointed(next_.select(lines.columns))
+        if more.isEmpty():
+            break
+        lines, depth = lines.unionByName(more), depth + 1
     tails = headers.where("tail < b").select("row_id", "a", "b").unionAll(body.where("tail < b and explicit").select("row_id", "a", "b")).withColumn("defect", F.lit("page_number"))
     return numbers.unionAll(headers.select("row_id", "a", "b", F.lit("running_header").alias("defect"))).unionAll(tails).distinct()
 
 
-def defects(df: DataFrame, key: str = "row_id", text: str = "text", path: str = "relative_path", page: str = "page_number") -> DataFrame:
+def defects(df: DataFrame, key: str = "row_id", text: str = "text", path: str = "relative_path", page: str = "page_number", confidence: str | None = "confidence") -> DataFrame:
     """Noise on pages: row_id, a, b (code points), defect, repair. defect is hyphenation, misread,
     running_header or page_number; repair is what stands instead (null for headers and numbers, which go).
 
-    Null and empty texts have none; a null path or page number only leaves out what it would have told. Keys are
-    unique. Other columns are dropped, so names cannot clash. An empty table gives no rows.
+    Null and empty texts have none; a null path or page number only leaves out what it would have told, and a page of
+    unknown confidence, or a table without that column, weighs like a good page. Keys are unique. Other columns are
+    dropped, so names cannot clash. An empty table gives no rows.
     """
-    one, two = count_words(df, text)
-    counts, pairs = checkpointed(one), checkpointed(two)
-    wrong = misread_words(df, counts, pairs, key, text).select("row_id", "a", "b", F.lit("misread").alias("defect"), F.col("v").alias("repair"))
-
-    def odd(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = [(k, a, b, "misread", v) for k, t in frame.itertuples(index=False, name=None) if isinstance(t, str) for a, b, v in odd_numbers(t)]
-            yield pd.DataFrame(out, columns=["row_id", "a", "b", "defect", "repair"])
-
-    digits = df.select(F.col(key).cast("bigint").alias("row_id"), F.col(text).alias("text")).mapInPandas(odd, "row_id bigint, a int, b int, defect string, repair string")
+    parts = pages(df, key, text, path, page, confidence if confidence in df.columns else None)
+    one, two = lexicon(parts)
+    counts, bigrams = checkpointed(one), checkpointed(two)
+    fixes = checkpointed(repairs(counts))
+    wrong = misread_words(parts, counts, bigrams, fixes).select("row_id", "a", "b", F.lit("misread").alias("defect"), F.col("v").alias("repair"))
+    digits = parts.where("tag = 'page'").select("row_id", F.inline("odd")).select("row_id", "a", "b", F.lit("misread").alias("defect"), F.col("v").alias("repair"))
     # what context reads as a word is no number
     digits = digits.join(wrong.select("row_id", "a", "b"), ["row_id", "a", "b"], "left_anti")
-    split = split_words(df, counts, key, text).select("row_id", "a", "b", F.lit("hyphenation").alias("defect"), F.lit("").alias("repair"))
-    gone = furniture(df, key, text, path, page).withColumn("repair", F.lit(None).cast("string"))
+    halves = checkpointed(split_words(parts, counts))
+    # neither half of a frequent word, one that is no misreading itself, is a misread one
+    sure = halves.where("known").join(fixes.select(F.col("w").alias("joined")), "joined", "left_anti")
+    for end, at in (("b", "a"), ("a", "b")):
+        wrong = wrong.join(sure.select("row_id", F.col(at).alias(end)), ["row_id", end], "left_anti").select("row_id", "a", "b", "defect", "repair")
+    split = halves.select("row_id", "a", "b", F.lit("hyphenation").alias("defect"), F.lit("").alias("repair"))
+    gone = furniture(df, parts, key, text, page).withColumn("repair", F.lit(None).cast("string"))
     return wrong.unionAll(digits).unionAll(split).unionByName(gone)
 
 

@@ -1,5 +1,7 @@
 """Names, personal information and repairs."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -107,10 +109,42 @@ def test_short_words_and_numbers(spark):
     assert fixed[63] == "au 12b rue Haute, 99S"
     found = {r["row_id"] for r in ocr.defects(df).where("defect = 'misread'").collect()}
     assert {60, 61} <= found and 63 not in found
-    _, two = ocr.count_words(df, "text")
+    _, two = ocr.lexicon(ocr.pages(df, "row_id", "text", "relative_path", "page_number", None))
     assert two.where("p = 'poser' and w = 'rien'").first()["n"] == 1
 
 
+def test_long_words_lines_and_deep_headers(spark):
+    long = "abcdefghij" * 40  # one word, far longer than deletions are made of
+    head = "Cabinet médical du Lac, " + "service des consultations et des urgences, " * 6
+    own = ["Vert", "Bleu", "Rouge", "Jaune", "Blanc", "Noir", "Gris", "Brun"]
+    rows = [(i, f"f{i % 2}.pdf", i // 2 + 1, f"{head}{'ab'[i % 2]}\nDossier du patient suivi {'xy'[i % 2]}\nCopie pour information interne\n{own[i // 2]} début {i}.\nun {long} ici\ntexte\nautre {i}\n{own[i // 2]} fin") for i in range(16)]
+    rows += [(50, "z", 1, f"mot {long[:150]}c1{long[151:]} là"), (51, "z", 2, "@" * 30_000 + " fin"), (52, "y", 1, "un " + "mot-" * 40 + "consul-\ntation prévue")]
+    rows += [(60 + i, f"q{i}", 1, "la consultation prévue") for i in range(8)]
+    df = spark.createDataFrame(rows, "row_id bigint, relative_path string, page_number bigint, text string")
+    marks = ocr.defects(df).collect()
+    headers = {(r["row_id"], r["a"]) for r in marks if r["defect"] == "running_header"}
+    top = len(rows[0][3].split("\n")[0])
+    assert len(head) > 110 and (0, 0) in headers and (0, top + 1) in headers
+    third = top + 1 + len(rows[0][3].split("\n")[1]) + 1
+    assert (0, third) in headers and not any(r == 0 and third < a < third + 60 for r, a in headers)
+    seen = long[:150] + "c1" + long[151:]
+    assert ocr.cost(long, seen) == 99 or any(r["row_id"] == 50 and r["repair"] == long for r in marks)
+    assert ocr._mails("a b@c d@e.ch f x@@y z") == [(2, 5), (6, 12), (15, 19)] or ocr._mails("écrire à a@b.ch ou") == [(9, 15)]
+    assert ocr.last_word("x" * 300 + "-", 300) == "x" * 300
+
+
+def test_segments_find_two_edits():
+    rng = random.Random(4)
+    for _ in range(200):
+        word = "".join(rng.choice("abcdelnmuo") for _ in range(rng.randint(65, 90)))
+        seen = word
+        for _ in range(2):
+            printed, glyphs = rng.choice(ocr.CONFUSIONS)
+            at = seen.find(printed, rng.randrange(len(seen)))
+            seen = seen if at < 0 else seen[:at] + glyphs + seen[at + len(printed) :]
+        assert set(ocr.segments(word, 0)) & set(ocr.segments(seen, 2))
+
+
 def test_pages(spark):
     body = "le dossier de la personne est complet et la consultation reste prévue pour la semaine"
     own = ["Première page", "Deuxième texte", "Troisième avis", "Quatrième note", "Dernière lettre"]
