@@ -189,8 +189,7 @@ def pages(df: DataFrame, key: str, text: str, path: str, page: str, confidence:
                 for w in _COMPOUND.findall(t):
                     one[w.lower()] += weight
                 two.update(zip(ws, ws[1:], strict=False))
-                own = [line for line in t.split("\n") if line.strip()]
-                inner.update(shape(line.strip()) for line in own[EDGE:-EDGE])
+                inner.update(shapes(t)[EDGE:-EDGE])
                 rows.append({"tag": "page", "row_id": k, "page": -k if number is None else number, "path": where, "w": ws, "a": [a for _, a, _ in found], "b": [b for _, _, b in found], "odd": [{"a": a, "b": b, "v": v} for a, b, v in odd_numbers(t)], "ends": line_ends(t), "edges": edge_lines(t, number, 0, EDGE + 1)})
             rows.extend({"tag": "word", "x": w, "n": n} for w, n in one.items())
             rows.extend({"tag": "pair", "x": p, "y": w, "n": n} for (p, w), n in two.items())
@@ -405,12 +404,15 @@ _ALIKE = {"0": "o", "a": "o", "à": "o", "1": "l", "i": "l", "5": "s", "6": "b",
 _SAME = str.maketrans(_ALIKE | {c: "" for c in " \t\r\n\xa0\u202f'’´`.|_"})
 
 
-def skeleton(line: str) -> str:
+_SAME_LINES = {c: x for c, x in _SAME.items() if c != ord("\n")}
+
+
+def skeleton(line: str, same: dict[int, str] = _SAME) -> str:
     """A line with confused glyphs alike, without spaces and marks."""
     s = line.lower()
     for seen, printed in (("ri", "n"), ("cl", "d"), ("ii", "u"), ("e'", "e"), ("rn", "m"), ("in", "m"), ("ni", "m")):
         s = s.replace(seen, printed)
-    return s.translate(_SAME)
+    return s.translate(same)
 
 
 _DIGITS = re.compile(r"(?<![^\W\d_])\d+(?![^\W\d_])")
@@ -421,6 +423,11 @@ def shape(line: str) -> str:
     return skeleton(_DIGITS.sub("#", line) if any(c.isdigit() for c in line) else line)
 
 
+def shapes(text: str) -> list[str]:
+    """The shapes of all lines of a text that aren't blank, read at once, as no glyph goes over a line end."""
+    return [x for line, x in zip(text.split("\n"), skeleton(_DIGITS.sub("#", text), _SAME_LINES).split("\n"), strict=True) if line and not line.isspace()]
+
+
 def edge_lines(text: str, page: int | None, first: int, last: int) -> list[dict]:
     """Lines at the edges of a page, from depth first to before last: a, b, at (0 top, 1 bottom), depth, is_page (the page's
     number alone), tail (where a number ends the line, its start, else b), bare (skeleton), shape (digits as #), explicit
@@ -459,9 +466,10 @@ def furniture(df: DataFrame, parts: DataFrame, key: str, text: str, page: str) -
     where = parts.where("tag = 'page'").select("row_id", "page", "path")
     own = checkpointed(own)
     lines, depth = own.where(F.col("depth") < EDGE), EDGE
-    while True:
-        numbers = lines.where("is_page").select("row_id", "a", "b", F.lit("page_number").alias("defect"))
-        body = lines.where("not is_page and length(bare) >= 8").withColumn("s", F.xxhash64("shape"))
+
+    def flagged(some: DataFrame) -> DataFrame:
+        """Running headers among lines: row_id, a, b, tail, at, depth."""
+        body = some.where("not is_page and length(bare) >= 8").withColumn("s", F.xxhash64("shape"))
         # a line repeated by different pages of its file; a page read twice doesn't count
         again = body.groupBy("path", "bare").agg(F.countDistinct("page").alias("pages")).where("pages > 1").select("path", "bare")
         repeated = body.join(again, ["path", "bare"], "left_semi")
@@ -475,24 +483,33 @@ def furniture(df: DataFrame, parts: DataFrame, key: str, text: str, page: str) -
             .where((F.coalesce("inner", F.lit(0)) - F.col("deep")) * 9 <= F.col("outer"))  # lines deeper than EDGE were counted as inner ones
             .select("s", "files")
         )
-        headers = (
-            repeated.join(kinds.select("s"), "s", "left_semi")
-            .unionByName(body.join(kinds.where("files >= 3").select("s"), "s", "left_semi"))
-            .select("row_id", "a", "b", "tail", "at", "depth")
-            .distinct()
-        )
-        headers = checkpointed(headers)
-        # edges all of whose lines so far are headers or numbers may hold more of them
+        kinds = checkpointed(kinds)
+        both = repeated.join(kinds.select("s"), "s", "left_semi").unionByName(body.join(kinds.where("files >= 3").select("s"), "s", "left_semi"))
+        return checkpointed(both.select("row_id", "a", "b", "tail", "at", "depth").distinct())
+
+    headers = flagged(lines)
+    while True:
+        # edges all of whose lines so far are headers or numbers may hold more of them; the next line of each was read with
+        # the outer ones, those beyond are read from the few pages that may have such headers
         gone = headers.select("row_id", "at", "depth").unionAll(lines.where("is_page").select("row_id", "at", "depth")).distinct()
-        open_ = checkpointed(gone.groupBy("row_id", "at").agg(F.count("*").alias("k")).where(F.col("k") == depth).select("row_id", "at"))
-        if open_.isEmpty():
-            break
-        # the next line was read with the outer ones; those beyond are read from the few pages that may have such headers
+        open_ = gone.groupBy("row_id", "at").agg(F.count("*").alias("k")).where(F.col("k") == depth).select("row_id", "at")
+        if depth > EDGE:
+            open_ = checkpointed(open_)
+            if open_.isEmpty():
+                break
         next_ = own.where(F.col("depth") == depth).join(open_, ["row_id", "at"], "left_semi") if depth == EDGE else deeper(df, open_, key, text, page, depth).join(where, "row_id")
         more = checkpointed(next_.select(lines.columns))
         if more.isEmpty():
             break
-        lines, depth = lines.unionByName(more), depth + 1
+        lines = lines.unionByName(more)
+        # only lines like the new ones bear on them
+        alike = lines.join(more.select("shape").distinct(), "shape", "left_semi").unionByName(lines.join(more.select("path", "bare").distinct(), ["path", "bare"], "left_semi")).distinct()
+        new = flagged(alike.select(lines.columns)).where(F.col("depth") == depth)
+        headers, depth = headers.unionByName(new), depth + 1
+        if new.isEmpty() and more.where("is_page").isEmpty():
+            break
+    numbers = lines.where("is_page").select("row_id", "a", "b", F.lit("page_number").alias("defect"))
+    body = lines.where("not is_page and length(bare) >= 8")
     tails = headers.where("tail < b").select("row_id", "a", "b").unionAll(body.where("tail < b and explicit").select("row_id", "a", "b")).withColumn("defect", F.lit("page_number"))
     return numbers.unionAll(headers.select("row_id", "a", "b", F.lit("running_header").alias("defect"))).unionAll(tails).distinct()
 
