@@ -9,8 +9,9 @@ compacted into one of the next.
 
 Hits are verified. The few windows met in two texts fetch the text around them, and pairs are compared code
 point by code point. A window that many texts share (a letterhead, say) isn't paired at all: there every
-window of ``span`` code points around it is hashed by 128 bits, and texts pair only within equal windows, so
-the work follows the pairs there really are.
+window of ``span`` code points around it is hashed by 128 bits, and texts pair only where they hold equal windows, whose
+text is compared too, so the work follows the pairs there really are. What is shared of a text needs no pairs: it is
+covered by its windows that another text holds, at every place they stand.
 
 Exact copies are found first, by a digest of the text; one of each group is indexed.
 """
@@ -29,12 +30,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm.tokenize import BASE, INVERSE
-from lectern.session import shared_dir
+from lectern.session import checkpointed, shared_dir, written
 
 #: Windows are this long; with SPAN they fix how many are kept.
 SPAN, GRAM = 300, 100
-#: A window held by more texts than this is split by whole spans instead of paired.
+#: A window held by more texts than this is split by whole spans instead of paired; both ways find the same.
 HOT = 48
+#: Members of a class of equal windows that one task pairs with the others.
+PAIRED = 1000
 STEP = 1 << 19
 
 
@@ -116,7 +119,7 @@ class SpanIndex:
     """Runs of kept windows in the session's shared folder. append() adds a batch and returns the windows it
     has in common with other texts of the batch or of the runs before it."""
 
-    def __init__(self, spark: SparkSession, span: int = SPAN, gram: int = GRAM, buckets: int | None = None, fan_out: int = 4):
+    def __init__(self, spark: SparkSession, span: int = SPAN, gram: int = GRAM, buckets: int | None = None, fan_out: int = 2):
         self.spark, self.span, self.gram, self.fan_out = spark, span, gram, fan_out
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.name = f"lectern_spans_{uuid.uuid4().hex}"
@@ -156,9 +159,19 @@ class SpanIndex:
             if len(own) >= self.fan_out:
                 self.runs = [(x, name) for x, name in self.runs if x != level]
                 self._write(reduce(DataFrame.unionAll, map(self.spark.table, own)), level + 1)
+                for name in own:
+                    self.spark.sql(f"DROP TABLE {name}")
             level += 1
 
 
+    def drop(self) -> None:
+        """Removes the runs' tables and files."""
+        for number in range(self.made):
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.name}_{number}")
+        root = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
+        root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(root, True)
+
+
 def _common(a: str, b: str) -> int:
     """Length of the common beginning."""
     n = min(len(a), len(b))
@@ -189,16 +202,16 @@ def _pairs_of_group(rows: list[tuple], span: int, gram: int) -> Iterator[tuple]:
                 yield a, b, p - left, p + gram + right, q - left, q + gram + right
 
 
-def shared_spans(texts: DataFrame, hits: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
-    """Verified spans in common, as rows (a, b, a_from, a_to, b_from, b_to) with a < b, of at least span code
-    points each, cut off span - gram to either side of a window. texts: (doc_id, text), doc_id unique."""
+def contexts(texts: DataFrame, hits: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
+    """The text around windows held by several texts: h, doc_id, place, hot, ctx, at (the window's place in ctx).
+    texts: (doc_id, text), doc_id unique; hits: (h, doc_id, place)."""
     width = span - gram
     hits = hits.distinct()
     sizes = hits.groupBy("h").agg(F.count("*").alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
     marked = hits.join(sizes, "h").select("doc_id", F.struct("h", "place", (F.col("n") > HOT).alias("hot")).alias("w"))
     # a text has at most as many kept windows as code points, so the list is bounded by the text it joins
     wanted = marked.groupBy("doc_id").agg(F.collect_list("w").alias("ws"))
-    context = (
+    around = (
         wanted.join(texts, "doc_id")
         .select("doc_id", "text", F.explode("ws").alias("w"))
         .select(
@@ -210,7 +223,13 @@ def shared_spans(texts: DataFrame, hits: DataFrame, span: int = SPAN, gram: int
             F.expr(f"least(w.place, {width})").alias("at"),
         )
     )
-    plain = context.where("not hot").select("h", "doc_id", "place", "ctx", "at").repartition("h").sortWithinPartitions("h")
+    return written(around, "contexts")
+
+
+def paired_spans(around: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
+    """Verified spans in common at windows few texts share, as rows (a, b, a_from, a_to, b_from, b_to) with a < b, of at
+    least span code points each, cut off span - gram to either side of a window."""
+    plain = around.where("not hot").select("h", "doc_id", "place", "ctx", "at").repartition("h").sortWithinPartitions("h")
 
     def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, key = [], None
@@ -225,10 +244,15 @@ def shared_spans(texts: DataFrame, hits: DataFrame, span: int = SPAN, gram: int
             yield pd.DataFrame(out, columns=names)
         yield pd.DataFrame(list(_pairs_of_group(held, span, gram)), columns=names)
 
-    found = plain.mapInPandas(compare, SHARED)
+    return plain.mapInPandas(compare, SHARED)
+
+
+def hot_windows(around: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
+    """Whole spans around windows many texts share: h, window (their hash), doc_id, at, shift; one row a text, as in a
+    periodic one the same spans return at every place."""
+    width = span - gram
 
     def windows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # rows of a text come together; in a periodic one the same spans return at every place and go out once
         current, seen = None, set()
         for frame in frames:
             out = []
@@ -236,25 +260,64 @@ def shared_spans(texts: DataFrame, hits: DataFrame, span: int = SPAN, gram: int
                 if doc != current:
                     current, seen = doc, set()
                 for s in range(max(0, at - width), min(at, len(ctx) - span) + 1):
-                    digest = xxhash.xxh3_128_digest(ctx[s : s + span])
+                    digest = xxhash.xxh3_128_digest(ctx[s : s + span].encode("utf-32-le", "surrogatepass"))
                     if (h, digest) not in seen:
                         seen.add((h, digest))
                         out.append((h, doc, place - at + s, s - at, digest))
             yield pd.DataFrame(out, columns=["h", "doc_id", "at", "shift", "window"])
 
-    hot = context.where("hot").select("h", "doc_id", "place", "ctx", "at")
+    hot = around.where("hot").select("h", "doc_id", "place", "ctx", "at")
     each = hot.mapInPandas(windows, "h bigint, doc_id bigint, at int, shift int, window binary")
-    each = each.groupBy("h", "window", "doc_id").agg(F.min("at").alias("at"), F.min("shift").alias("shift"))
+    return checkpointed(each.groupBy("h", "window", "doc_id").agg(F.min("at").alias("at"), F.min("shift").alias("shift")))
+
+
+def hot_pairs(around: DataFrame, each: DataFrame, span: int = SPAN) -> DataFrame:
+    """Pairs (a, b) of texts that hold an equal whole span, verified, at windows many texts share."""
     classes = each.groupBy("h", "window").agg(
         F.count("*").alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.bit_xor(F.xxhash64("doc_id")).alias("who"), F.min("shift").alias("first")
     )
     # neighbouring windows held by the same texts say the same pairs: one first and one last are enough
     classes = classes.where("lo < hi").groupBy("h", "n", "lo", "hi", "who").agg(F.min_by("window", "first").alias("one"), F.max_by("window", "first").alias("other"))
-    chosen = classes.select(F.explode(F.array("one", "other")).alias("window"), "h").distinct()
-    members = each.join(chosen, ["h", "window"], "left_semi").select("h", "window", "doc_id", "at")
-    left, right = members.toDF("h", "window", "a", "a_from"), members.toDF("h", "window", "b", "b_from")
-    many = left.join(right, ["h", "window"]).where("a < b").selectExpr("a", "b", "a_from", f"a_from + {span} a_to", "b_from", f"b_from + {span} b_to")
-    return found.unionByName(many)
+    chosen = classes.select(F.explode(F.array("one", "other")).alias("window"), "h", "n").distinct()
+    members = each.join(chosen, ["h", "window"]).select("h", "window", "doc_id", "at", "n")
+    # equal hashes only bring texts together; it is their text that joins them
+    own = around.where("hot").select("h", "doc_id", "place", "ctx", F.col("at").alias("inside"))
+    with_text = members.join(own, ["h", "doc_id"]).where((F.col("at") >= F.col("place") - F.col("inside")) & (F.col("at") + span <= F.col("place") - F.col("inside") + F.length("ctx")))
+    with_text = with_text.groupBy("h", "window", "doc_id", "n").agg(F.min(F.expr(f"substring(ctx, at - place + inside + 1, {span})")).alias("text"))
+    # a large class is paired in parts: each member of one side with all of the other
+    parts = F.ceil(F.col("n") / PAIRED).cast("int")
+    with_text = checkpointed(with_text.withColumn("parts", parts))
+    left = with_text.select("h", "window", "text", F.col("doc_id").alias("a"), F.pmod(F.xxhash64("doc_id"), "parts").cast("int").alias("part"))
+    right = with_text.select("h", "window", "text", F.col("doc_id").alias("b"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    return left.join(right, ["h", "window", "text", "part"]).where("a < b").select("a", "b")
+
+
+def hot_cover(around: DataFrame, each: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
+    """Stretches (doc_id, f, t) of texts covered by whole spans another text holds too, at every place, where many texts
+    share a window."""
+    width = span - gram
+    held = each.groupBy("h", "window").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h", "window")
+    # as many spans as a text has at most
+    own = each.join(held, ["h", "window"], "left_semi").groupBy("h", "doc_id").agg(F.collect_list("window").alias("windows"))
+    rows = around.where("hot").join(own, ["h", "doc_id"]).select("h", "doc_id", "place", "ctx", "at", "windows")
+
+    def cover(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, wanted = None, frozenset()
+        for frame in frames:
+            out: list[list] = []
+            for h, doc, place, ctx, at, windows in frame.itertuples(index=False, name=None):
+                if (h, doc) != last:
+                    last, wanted = (h, doc), frozenset(map(bytes, windows))
+                for s in range(max(0, at - width), min(at, len(ctx) - span) + 1):
+                    if xxhash.xxh3_128_digest(ctx[s : s + span].encode("utf-32-le", "surrogatepass")) in wanted:
+                        f = place - at + s
+                        if out and out[-1][0] == doc and out[-1][1] <= f <= out[-1][2]:
+                            out[-1][2] = max(out[-1][2], f + span)
+                        else:
+                            out.append([doc, f, f + span])
+            yield pd.DataFrame(out, columns=["doc_id", "f", "t"])
+
+    return rows.mapInPandas(cover, "doc_id bigint, f int, t int")
 
 
 def corpus(df: DataFrame, key: str = "doc_id", text: str = "text", span: int = SPAN) -> tuple[DataFrame, DataFrame]:
@@ -266,11 +329,12 @@ def corpus(df: DataFrame, key: str = "doc_id", text: str = "text", span: int = S
     return digests.join(reps, "digest").select("doc_id", "rep"), rows
 
 
-def find(df: DataFrame, key: str = "doc_id", text: str = "text", span: int = SPAN, gram: int = GRAM, batches: int = 2) -> tuple[DataFrame, DataFrame]:
-    """Copies (doc_id, rep) and verified spans between representatives and texts without copies.
+def find(df: DataFrame, key: str = "doc_id", text: str = "text", span: int = SPAN, gram: int = GRAM, batches: int = 3) -> tuple[DataFrame, DataFrame]:
+    """Copies (doc_id, rep) and the contexts of windows in common between representatives and texts without copies.
 
-    key must be a unique integer; batches follow it, as keys follow arrival. Empty tables give empty results.
-    The windows of copies are indexed too, which needs no shuffle of texts; they are dropped from the hits.
+    key must be a unique integer; batches follow it, as keys follow arrival, and after every second one the index is
+    compacted. Empty tables give empty results. The windows of copies are indexed too, which needs no shuffle of texts;
+    they are dropped from the hits. The index is removed once its hits are written.
     """
     copies, texts = corpus(df, key, text, span)
     index = SpanIndex(df.sparkSession, span, gram)
@@ -280,31 +344,42 @@ def find(df: DataFrame, key: str = "doc_id", text: str = "text", span: int = SPA
     hits = []
     for k in range(batches):
         low, high = lo + k * step, lo + (k + 1) * step
-        hits.append(index.append(texts.where((F.col("doc_id") >= low) & (F.col("doc_id") < high))))
+        # a run's tables change when it is compacted, so what it has in common with a batch is written first
+        hits.append(checkpointed(index.append(texts.where((F.col("doc_id") >= low) & (F.col("doc_id") < high)))))
         index.compact()
+    copies = checkpointed(copies)
     own = reduce(DataFrame.unionAll, hits).join(copies.where("doc_id <> rep").select("doc_id"), "doc_id", "left_anti")
-    return copies, shared_spans(texts, own.select("h", "doc_id", "place"), span, gram)
+    around = contexts(texts, own.select("h", "doc_id", "place"), span, gram)
+    index.drop()
+    return copies, around
 
 
-def pairs(df: DataFrame, **how: object) -> DataFrame:
+def pairs(df: DataFrame, span: int = SPAN, gram: int = GRAM, **how: object) -> DataFrame:
     """All pairs (doc_id_a, doc_id_b), the smaller first, of rows whose texts share a span; copies are spelt out."""
-    copies, spans = find(df, **how)
-    linked = spans.select("a", "b").distinct()
+    copies, around = find(df, span=span, gram=gram, **how)
+    linked = paired_spans(around, span, gram).select("a", "b").unionAll(hot_pairs(around, hot_windows(around, span, gram), span)).distinct()
     of = copies.select(F.col("rep"), F.col("doc_id").alias("member"))
     both = (
         linked.join(of.toDF("a", "x"), "a", "left")
         .join(of.toDF("b", "y"), "b", "left")
         .select(F.coalesce("x", "a").alias("x"), F.coalesce("y", "b").alias("y"))
     )
-    same = of.toDF("rep", "x").join(of.toDF("rep", "y"), "rep").where("x < y").select("x", "y")
+    # copies of one text pair in parts, each member of one side with all of the other
+    sizes = of.groupBy("rep").agg(F.ceil(F.count("*") / PAIRED).cast("int").alias("parts"))
+    sized = of.join(sizes, "rep")
+    left = sized.select("rep", F.col("member").alias("x"), F.pmod(F.xxhash64("member"), "parts").cast("int").alias("part"))
+    right = sized.select("rep", F.col("member").alias("y"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    same = left.join(right, ["rep", "part"]).where("x < y").select("x", "y")
     return both.select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b")).unionByName(same.toDF("doc_id_a", "doc_id_b"))
 
 
-def shares(df: DataFrame, key: str = "doc_id", text: str = "text", **how: object) -> DataFrame:
+def shares(df: DataFrame, key: str = "doc_id", text: str = "text", span: int = SPAN, gram: int = GRAM, **how: object) -> DataFrame:
     """Per row with a text: its length, the code points that stand in another text too within a shared span,
     and their share of the text (0 for an empty text). Rows whose text is null have null in all three."""
-    copies, spans = find(df, key, text, **how)
-    sides = spans.selectExpr("a doc_id", "a_from f", "a_to t").unionAll(spans.selectExpr("b", "b_from", "b_to")).groupBy("doc_id", "f").agg(F.max("t").alias("t"))
+    copies, around = find(df, key, text, span, gram, **how)
+    spans = paired_spans(around, span, gram)
+    cold = spans.selectExpr("a doc_id", "a_from f", "a_to t").unionAll(spans.selectExpr("b", "b_from", "b_to"))
+    sides = cold.unionAll(hot_cover(around, hot_windows(around, span, gram), span, gram)).groupBy("doc_id", "f").agg(F.max("t").alias("t"))
     from pyspark.sql import Window
 
     before = Window.partitionBy("doc_id").orderBy("f").rowsBetween(Window.unboundedPreceding, -1)

@@ -49,6 +49,36 @@ def test_shares(spark):
     assert got[4] == (None, None, None) and got[5] == (0, 0, 0.0)
 
 
+def brute_shares(texts, span):
+    own = {i: {t[k : k + span] for k in range(len(t) - span + 1)} for i, t in texts.items() if t}
+    out = {}
+    for i, t in texts.items():
+        if t is None:
+            continue
+        covered = set()
+        for k in range(len(t) - span + 1):
+            if any(t[k : k + span] in own[j] for j in own if j != i):
+                covered.update(range(k, k + span))
+        out[i] = len(covered)
+    return out
+
+
+def test_shares_at_every_place(spark, monkeypatch):
+    rng = random.Random(11)
+    piece = "".join(rng.choice("abcdefgh ") for _ in range(400))
+    noise = lambda: "".join(rng.choice("abcdefgh ") for _ in range(150))
+    # one text holds the piece three times, two are periodic, one repeats part of it
+    texts = {1: noise() + piece + noise() + piece + noise() + piece, 2: piece + noise(), 3: "xy" * 700, 4: "q" + "xy" * 400, 5: noise() + piece[50:380] + noise(), 6: noise() * 4, 7: "z" * 900}
+    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    want = brute_shares(texts, 300)
+    assert want[1] >= 1200 and want[3] == 1400
+    monkeypatch.setattr(spans, "PAIRED", 2)
+    for hot in (48, 1):
+        monkeypatch.setattr(spans, "HOT", hot)
+        assert {r["doc_id"]: r["shared"] for r in spans.shares(df).collect()} == want
+        assert {tuple(r) for r in spans.pairs(df).collect()} == brute(texts, 300)
+
+
 def test_runs_are_compacted(spark):
     index = spans.SpanIndex(spark, fan_out=2, buckets=2)
     texts = corpus(4, 20)
