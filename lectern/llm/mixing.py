@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.tokenize import VOCABULARY, token_counts
+from lectern.session import spread, written
 
 #: Bins of the hashed numbers per source; the driver gets at most this many sums a source.
 BINS = 2048
@@ -77,7 +78,7 @@ def sized(df: DataFrame, key: str, text: str, source: str, tokenizer: str = VOCA
         return token_counts(texts, tokenizer).astype("int32")
 
     u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(key)), 11) / F.lit(float(1 << 53))
-    return df.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), F.col(text).alias("text"), count(text).alias("n_tokens"), u.alias("u"))
+    return spread(df).select(F.col(key).alias("doc_id"), F.col(source).alias("source"), F.col(text).alias("text"), count(text).alias("n_tokens"), u.alias("u"))
 
 
 def plan(rows: DataFrame, targets: DataFrame, total: float | None = None) -> list[Plan]:
@@ -127,7 +128,8 @@ def mix(df: DataFrame, targets: DataFrame, key: str = "doc_id", text: str = "tex
     texts): they add nothing to a share. A row whose key repeats is taken with its copies alike. Targets that
     can't be met because a source is missing or empty give an empty mixture; an empty table does too.
     """
-    rows = sized(df.where(F.length(text) > 0), key, text, source, tokenizer, seed)
+    # sizes are counted once; the plan reads only their columns
+    rows = written(sized(df.where(F.length(text) > 0), key, text, source, tokenizer, seed), "sized")
     plans = plan(rows.select("source", "n_tokens", "u"), targets, total)
     taken = rows.withColumn("taken", repeats(plans)).where("taken > 0")
     copies = taken.select("doc_id", "source", F.explode(F.sequence(F.lit(1), "taken")).alias("repeat"), "n_tokens", "text")
@@ -137,7 +139,7 @@ def mix(df: DataFrame, targets: DataFrame, key: str = "doc_id", text: str = "tex
 def shares(df: DataFrame, targets: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", tokenizer: str = VOCABULARY, seed: int = 0, total: float | None = None) -> DataFrame:
     """What the mixture reaches, one row a source of targets: target_share, actual_share, max_repeats,
     most_taken, documents (different ones), rows, tokens, available_tokens."""
-    rows = sized(df.where(F.length(text) > 0), key, text, source, tokenizer, seed).select("source", "n_tokens", "u")
+    rows = written(sized(df.where(F.length(text) > 0), key, text, source, tokenizer, seed).select("source", "n_tokens", "u"), "sized")
     plans = plan(rows, targets, total)
     got = (
         rows.withColumn("taken", repeats(plans))
