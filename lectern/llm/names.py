@@ -64,8 +64,10 @@ LEGAL = ["sa", "sas", "sarl", "scm", "sci", "snc", "ag", "gmbh", "cie", "co", "l
 JOINING = ["de", "du", "des", "la", "le", "les", "d", "l", "the", "of"]
 #: Similarity two surnames or cores need besides at most one edit (two from ten letters on).
 LEAST = 0.84
-#: Letters of the shortest token that may differ by an edit.
-SHORTEST = 5
+#: Letters of the shortest token that may differ by an edit; tokens of one or two letters are initials or codes.
+SHORTEST = 3
+#: Surfaces of a block that one task compares with all others of it.
+COMPARED = 500
 
 
 def fold(text: str) -> str:
@@ -324,7 +326,7 @@ def same_kind(a: str, b: str) -> float:
     return 0.9 if len(x) == len(y) else 0.8
 
 
-_READ = "surface string, n bigint, id bigint, kind string, main string, other string, form string, block string"
+_READ = "surface string, n bigint, id bigint, kind string, main string, other string, form string, codes array<string>, blocks array<string>"
 
 
 def _read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -339,15 +341,15 @@ def _read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if known or (not person and single):
                 if core:
                     form = "full" if kind else "alone"
-                    for key in keys(" ".join(sorted(map(code, core.split())))):
-                        out.append((surface, n, ident, "o", core, kind, form, key))
+                    own = keys(" ".join(sorted(map(code, core.split()))))
+                    out.append((surface, n, ident, "o", core, kind, form, own, own))
             else:
                 sur, given, form = read_person(surface)
                 if sur:
                     first = sorted({g[0] for g in given_names(given)} | {given[0]}) if given else ["*"]
-                    for key in keys(code(sur)):
-                        out.extend((surface, n, ident, "p", sur, given, form, f"{key} {x}") for x in first)
-        yield pd.DataFrame(out, columns=["surface", "n", "id", "kind", "main", "other", "form", "block"])
+                    own = keys(code(sur))
+                    out.append((surface, n, ident, "p", sur, given, form, own, [f"{key} {x}" for key in own for x in first]))
+        yield pd.DataFrame(out, columns=["surface", "n", "id", "kind", "main", "other", "form", "codes", "blocks"])
 
 
 def surfaces(df: DataFrame, surface: str = "surface", type_id: str = "type_id", entity_id: str = "entity_id") -> DataFrame:
@@ -435,6 +437,21 @@ def held_apart(links: DataFrame, known: DataFrame) -> DataFrame:
     return checkpointed(links.join(side("a"), "a", "left").join(side("b"), "b", "left").where("label_a is null or label_b is null or label_a = label_b").select("a", "b", "score"))
 
 
+def met(left: DataFrame, right: DataFrame, by: str) -> DataFrame:
+    """Pairs of a row of left and one of right, of one kind, that share a key in the array column by, each pair once: at
+    the least key they share. Columns of left end in 1, those of right in 2.
+
+    A key that many rows have is split: each part of one side meets all of the other, in a task of its own.
+    """
+    columns = ["surface", "n", "id", "main", "other", "form", by]
+    sizes = right.select("kind", F.explode(by).alias("key")).groupBy("kind", "key").agg(F.ceil(F.count("*") / COMPARED).cast("int").alias("parts"))
+    one = left.select(*[F.col(c).alias(c + "1") for c in columns], "kind", F.explode(by).alias("key")).join(sizes, ["kind", "key"])
+    two = right.select(*[F.col(c).alias(c + "2") for c in columns], "kind", F.explode(by).alias("key")).join(sizes, ["kind", "key"])
+    one = one.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    two = two.withColumn("part", F.pmod(F.xxhash64("surface2"), "parts").cast("int")).drop("parts")
+    return one.join(two, ["kind", "key", "part"]).where(F.col("key") == F.array_min(F.array_intersect(by + "1", by + "2")))
+
+
 def clusters(df: DataFrame, surface: str = "surface", type_id: str = "type_id", entity_id: str = "entity_id") -> DataFrame:
     """Rows (surface, root): different surfaces and the cluster they belong to; surfaces linked to none are left out.
 
@@ -442,15 +459,11 @@ def clusters(df: DataFrame, surface: str = "surface", type_id: str = "type_id",
     columns are dropped, so names cannot clash. An empty table gives no rows.
     """
     read = checkpointed(surfaces(df, surface, type_id, entity_id).mapInPandas(_read, _READ))
-    left = read.select(*[F.col(c).alias(c + "1") for c in ("surface", "n", "id", "main", "other", "form")], "kind", "block")
-    right = read.select(*[F.col(c).alias(c + "2") for c in ("surface", "n", "id", "main", "other", "form")], "kind", "block")
-    met = left.join(right, ["kind", "block"]).where("surface1 < surface2")
-    # a surname alone fits any given name, so it meets the others by its code only
-    lone = read.where("kind = 'p' and form = 'alone'").withColumn("code", F.split("block", " ")[0]).select(*[F.col(c).alias(c + "1") for c in ("surface", "n", "id", "main", "other", "form")], "kind", "code")
-    rest = read.where("kind = 'p' and form <> 'alone'").withColumn("code", F.split("block", " ")[0]).select(*[F.col(c).alias(c + "2") for c in ("surface", "n", "id", "main", "other", "form")], "kind", "code")
     order = ["surface1", "n1", "id1", "main1", "other1", "form1", "surface2", "n2", "id2", "main2", "other2", "form2", "kind"]
-    pairs = met.select(order).unionByName(lone.join(rest, ["kind", "code"]).select(order)).dropDuplicates(["surface1", "surface2", "kind"])
-    scored = checkpointed(pairs.mapInPandas(_compare, _PAIR))
+    near = met(read, read, "blocks").where("surface1 < surface2").select(order)
+    # a surname alone fits any given name, so it meets the others by its code only
+    lone = met(read.where("kind = 'p' and form = 'alone'"), read.where("kind = 'p' and form <> 'alone'"), "codes").select(order)
+    scored = checkpointed(near.unionByName(lone).mapInPandas(_compare, _PAIR))
     full = scored.where("not part_a and not part_b")
     # equal parts link at once; the groups they make then meet as a whole
     same = components(full.where("exact").select("a", "b"))
