@@ -32,7 +32,7 @@ def entities(links: DataFrame) -> DataFrame:
     """Distinct names of links as entities: key, name (the commonest writing), type, mentions, files, confidence."""
     rows = links.where("surface is not null").withColumn("key", name_key(F.col("surface"))).where("key <> ''")
     writings = rows.groupBy("key", "surface").agg(F.count("*").alias("n"))
-    names = writings.groupBy("key").agg(F.max_by("surface", F.struct("n", F.negative(F.xxhash64("surface")))).alias("name"))
+    names = writings.groupBy("key").agg(F.min_by("surface", F.struct(-F.col("n"), F.col("surface"))).alias("name"))
     facts = rows.groupBy("key").agg(F.count("*").alias("mentions"), F.countDistinct("domain", "relative_path").alias("files"), F.max("confidence").alias("confidence"), F.max("type_id").alias("type_id"))
     return names.join(facts, "key")
 

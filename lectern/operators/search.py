@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.text import fold, words_of
-from lectern.session import checkpointed
+from lectern.session import checkpointed, spread
 
 K1, B = 1.2, 0.75
 #: A lexical hit adds this to the cosine; without a hit a cosine below LEAST drops out.
@@ -44,17 +44,19 @@ def statistics(df: DataFrame, text: str) -> DataFrame:
 
 def bm25(df: DataFrame, key: str, text: str, terms: list[str], scope: DataFrame | None = None) -> DataFrame:
     """Scores (key, score), greater is better, of texts with any of the terms. Statistics are the whole corpus's;
-    scope only keeps some rows. Texts are tokenised once and only counts of the asked terms leave the scan."""
+    scope only keeps some rows. Texts are tokenised once: lengths and counts of the asked terms, a few numbers a text, are
+    written to the shared folder, and statistics and scores are made from them."""
     if not all(t.isalnum() for t in terms):
         raise ValueError("terms are folded words")
     if len(terms) > MOST_TERMS:
         raise ValueError(f"more than {MOST_TERMS} terms")
-    folded = df.where(F.col(text).isNotNull()).select(F.col(key), F.explode(F.array(fold(F.col(text)))).alias("f"))
+    folded = spread(df.where(F.col(text).isNotNull()).select(key, text)).select(F.col(key), F.explode(F.array(fold(F.col(text)))).alias("f"))
     # a plain substring test spares most texts the pattern
     count = lambda t: F.when(F.col("f").contains(t), F.regexp_count("f", F.lit(rf"(?<![\p{{L}}\p{{N}}]){t}(?![\p{{L}}\p{{N}}])"))).otherwise(0)
     counts = [count(t).alias(f"t{i}") for i, t in enumerate(terms)]
     # generators of one row keep the folded text, and the counts, from being computed anew wherever they are used
     rows = folded.select(key, F.inline(F.array(F.struct(F.regexp_count("f", F.lit(r"[\p{L}\p{N}]+")).alias("len"), *counts)))).where("len > 0")
+    rows = checkpointed(rows)
     whole = rows.agg(F.count("*").alias("N"), F.avg("len").alias("mean"), *[F.count_if(F.col(f"t{i}") > 0).alias(f"d{i}") for i in range(len(terms))])
     score = F.lit(0.0)
     for i in range(len(terms)):
@@ -162,7 +164,7 @@ def within_budget(ranked: DataFrame, query: str, key: str, size: str, most: int
 
 def best_passage_per_document(scores: DataFrame, passages: DataFrame, document: str, key: str, place: list[str]) -> DataFrame:
     """Each document's best passage, or its first one with score 0 where none matched."""
-    found = scores.join(passages.select(key, document), key).groupBy(document).agg(F.max_by(F.struct(key, "score"), F.struct("score", F.negative(F.xxhash64(key)))).alias("x"))
+    found = scores.join(passages.select(key, document), key).groupBy(document).agg(F.min_by(F.struct(key, "score"), F.struct(-F.col("score"), F.col(key))).alias("x"))
     first = passages.groupBy(document).agg(F.min_by(key, F.struct(*place)).alias("first"))
     return first.join(found, document, "left").select(document, F.coalesce("x." + key, "first").alias(key), F.coalesce("x.score", F.lit(0.0)).alias("score"))
 

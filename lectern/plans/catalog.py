@@ -407,7 +407,7 @@ def q_within_budget(spark: SparkSession, d: str) -> DataFrame:
 def q_best_passage(spark: SparkSession, d: str) -> DataFrame:
     """Each scanned file's best page on a subject, or its first."""
     o = table(spark, d, "ocr_page_cache")
-    return search.best_passage_per_document(search.bm25(o, "row_id", "text", ["cardiologie"]), o, "relative_path", "row_id", ["page_number", "row_id"])
+    return search.best_passage_per_document(search.bm25(o, "row_id", "text", ["cardiologie"]), o, "relative_path", "row_id", ["page_number", "row_id"]).withColumn("score", F.round("score", 4))
 
 
 @query(f"""WITH q AS (SELECT * FROM embeddings WHERE vec_id % 100 = 0), r AS (SELECT q.vec_id AS question, q.label, e.vec_id AS document, e.label AS l, row_number() OVER (PARTITION BY q.vec_id ORDER BY round({_COS}, 9) DESC, e.vec_id) AS k FROM embeddings e, q),

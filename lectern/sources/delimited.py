@@ -73,3 +73,27 @@ def read_csv(spark: SparkSession, path: str, glob: str = "*.csv") -> DataFrame:
 def wide(rows: DataFrame, names: list[str]) -> DataFrame:
     """Ragged cells as columns; cells a record lacks are null."""
     return rows.select("file", "row_index", "source_row", *[F.try_element_at("cells", F.lit(i + 1)).alias(n) for i, n in enumerate(names)])
+
+
+#: A delimiter that isn't between quotes: an even number of quotes follows it.
+_OUTSIDE = r'(?=(?:[^"]*"[^"]*")*[^"]*$)'
+
+
+def read_lines(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    """Every line of delimited UTF-8 files in splits, however large: file, start (of its split), delimiter, cells, broken.
+
+    Each file's delimiter is the one that cuts most of its lines into equally many cells, two or more, a tie going to the
+    semicolon. Quoted cells lose their quotes, blank ones are null. A record that goes over a line end leaves lines with an
+    odd number of quotes: these are marked broken, without cells, for read_csv to read their files as a whole.
+    """
+    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(path)
+    lines = lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.col("value").alias("line")).where("trim(line) <> ''")
+    bare = F.regexp_replace("line", '"[^"]*"', "")
+    widths = lines.select("file", F.explode(F.array(*[F.struct(F.lit(d).alias("delimiter"), (F.length(bare) - F.length(F.replace(bare, F.lit(d), F.lit(""))) + 1).alias("width")) for d in (",", ";")])).alias("x")).select("file", "x.*")
+    modes = widths.where("width >= 2").groupBy("file", "delimiter", "width").agg(F.count("*").alias("n"))
+    best = modes.groupBy("file").agg(F.max_by("delimiter", F.struct("n", "width", "delimiter")).alias("delimiter"))
+    broken = F.regexp_count("line", F.lit('"')) % 2 == 1
+    cut = F.when(F.col("delimiter") == ",", F.split("line", "," + _OUTSIDE)).otherwise(F.split("line", ";" + _OUTSIDE))
+    unquoted = lambda c: F.when(c.rlike(r'^\s*".*"\s*$'), F.replace(F.regexp_replace(c, r'^\s*"|"\s*$', ""), F.lit('""'), F.lit('"'))).otherwise(c)
+    cells = F.transform(cut, lambda c: F.when(F.trim(unquoted(c)) != "", unquoted(c)))
+    return lines.join(best, "file", "left").select("file", "start", "delimiter", F.when(~broken, cells).alias("cells"), broken.alias("broken"))

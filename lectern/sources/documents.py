@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.sources.office import read_ods, read_pdf
+
 from lectern.sources.delimited import decode
 
 #: Extensions the readers know.
@@ -261,6 +263,16 @@ def _sheet_pages(content: bytes) -> list[str]:
     return ["\n".join("\t".join(t or "" for _, t, _ in row) for row in rows) for _, rows in read_xlsx(content)]
 
 
+def verified(files: DataFrame) -> DataFrame:
+    """Files (sha256, content, ...) with whether the content still has that hash; a changed one is not to be used."""
+    return files.withColumn("current", F.sha2("content", 256).eqNullSafe(F.col("sha256")))
+
+
+def by_ids(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows whose key is among ids, once each however often it is asked for."""
+    return rows.join(ids.select(key).distinct(), key, "left_semi")
+
+
 READERS: dict[str, Callable[[bytes], list[str]]] = {
     "txt": lambda b: [decode(b)],
     "md": lambda b: [decode(b)],
@@ -276,6 +288,8 @@ READERS: dict[str, Callable[[bytes], list[str]]] = {
     "odp": lambda b: read_open_document(b, slides=True),
     "pptx": read_pptx,
     "xlsx": _sheet_pages,
+    "ods": lambda b: ["\n".join("\t".join(t or "" for _, t, _ in row) for row in rows) for _, rows in read_ods(b)],
+    "pdf": read_pdf,
 }
 
 
