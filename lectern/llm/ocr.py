@@ -24,6 +24,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
@@ -82,25 +83,37 @@ def _mails(text: str) -> list[tuple[int, int]]:
     return out
 
 
+_QUOTES = frozenset("'’´`")
+
+
+@lru_cache(maxsize=200_000)
+def _read_word(w: str) -> tuple[str, int]:
+    """A token as a word, and how many signs of an elision before it are cut off."""
+    cut = 0
+    if not _QUOTES.isdisjoint(w):
+        e = _ELISION.match(w)
+        if e and len(w) > e.end():
+            cut, w = e.end(), w[e.end() :]
+    # numbers, also with letters for digits, and codes of capitals are no words
+    code = w.isdigit() or (len(w) <= 3 and (_NUMBER.match(w) is not None or (w.isupper() and w.isalpha())))
+    return ("#" if code else w.lower()), cut
+
+
 def words(text: str) -> list[tuple[str, int, int]]:
     """Words of a text with their places, elisions cut off, in lower case; numbers and short words in capitals as #;
     mail addresses left out. Short words that mix letters and digits are words (see beside)."""
     out = []
     skip = _mails(text)
-    at = 0
+    at, stop = 0, len(skip)
     for m in _TOKEN.finditer(text):
         a, b = m.span()
-        while at < len(skip) and skip[at][1] <= a:
-            at += 1
-        if at < len(skip) and skip[at][0] < b and a < skip[at][1]:
-            continue
-        w = m.group()
-        e = _ELISION.match(w)
-        if e and len(w) > e.end():
-            a, w = a + e.end(), w[e.end() :]
-        # numbers, also with letters for digits, and codes of capitals are no words
-        code = w.isdigit() or (len(w) <= 3 and (_NUMBER.match(w) is not None or (w.isupper() and w.isalpha())))
-        out.append(("#" if code else w.lower(), a, b))
+        if at < stop:
+            while at < stop and skip[at][1] <= a:
+                at += 1
+            if at < stop and skip[at][0] < b and a < skip[at][1]:
+                continue
+        w, cut = _read_word(m.group())
+        out.append((w, a + cut, b))
     return out
 
 
