@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions.numbers import parse_date
+from lectern.functions.phonetic import phonetic_key
 from lectern.functions.text import bounded_damerau, fold, words_of
 from lectern.operators.knowledge import name_key, token_set_key
 from lectern.operators.relational import best_per
@@ -101,3 +102,11 @@ def suggestions(df: DataFrame, columns: list[str], n: int = 3) -> DataFrame:
     cells = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.trim(F.col(c)).alias("value")) for c in columns])).alias("x")).select("x.*").where("value <> ''")
     best = best_per(cells.groupBy("column", "value").agg(F.count("*").alias("weight")), ["column"], [F.desc("weight"), F.asc("value")], n)
     return best.select(F.concat(F.lit("Combien de lignes avec "), "column", F.lit(" = "), "value", F.lit(" ?")).alias("question"), "weight")
+
+
+def sound_alikes(heard: DataFrame, known: DataFrame, word: str) -> DataFrame:
+    """Heard words that aren't known with known ones of the same phonetic key: (heard, meant, edits), the nearest first.
+    Words are distinct, and each is encoded once."""
+    strange = heard.select(word).distinct().join(known.select(word), word, "left_anti").select(F.col(word).alias("heard"), phonetic_key(F.col(word)).alias("k"))
+    own = known.select(word).distinct().select(F.col(word).alias("meant"), phonetic_key(F.col(word)).alias("k"))
+    return strange.join(own, "k").where("k <> ''").select("heard", "meant", F.levenshtein("heard", "meant").alias("edits")).orderBy("edits", "heard", "meant")

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from lectern.plans.catalog import query
 from lectern.session import shared_dir, table
-from lectern.sources import delimited, documents, office
+from lectern.sources import delimited, documents, office, ports
 
 
 def _zip(parts: dict[str, str]) -> bytes:
@@ -226,3 +226,23 @@ def in_by_ids(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     asked = docs.select("doc_id").where("doc_id % 100 = 0")
     return documents.by_ids(docs.where("text is not null"), asked, "doc_id").select("doc_id", "n_chars")
+
+
+def _reader(image: bytes) -> tuple[str, float]:
+    """A stand-in for a recogniser: the page's own bytes as text, surer the longer it is."""
+    text = image.decode("utf-8")
+    return text, min(1.0, len(text) / 1000)
+
+
+@query("SELECT row_id, text, least(1.0, length(text) / 1000) AS confidence, CASE WHEN trim(text, ' ' || chr(9) || chr(10) || chr(13)) = '' THEN 'no_text' WHEN length(text) >= 600 THEN 'recognised' ELSE 'below_threshold' END AS status FROM ocr_page_cache WHERE text IS NOT NULL")
+def in_ocr(spark: SparkSession, d: str) -> DataFrame:
+    """Pages read through the port of a recogniser, here one that gives the page's own text."""
+    pages = table(spark, d, "ocr_page_cache").where("text is not null").select("row_id", F.encode("text", "UTF-8").alias("image"))
+    return ports.recognised(pages, "row_id", "image", _reader)
+
+
+@query("SELECT doc_id, length(text) AS n FROM documents WHERE text IS NOT NULL")
+def in_embeddings(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors of texts through the port of an embedder, here one that gives their length."""
+    found = ports.embedded(table(spark, d, "documents"), "doc_id", "text", lambda texts: [[float(len(t))] for t in texts])
+    return found.select("doc_id", F.col("embedding")[0].cast("bigint").alias("n"))

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.functions.spoken import digits_one_by_one, spoken_form
+from lectern.functions.text import words_of
 from lectern.operators import knowledge, pipeline, profiles, search
 from lectern.plans.base import _WORDS
 from lectern.plans.catalog import SQL, query
 from lectern.plans.extraction import _TITLES
-from lectern.session import table
+from lectern.session import spread, table
 
 _KEY = f"array_to_string(list_filter({_WORDS}, lambda x: NOT list_contains({_TITLES}, x)), ' ')"
 _SET = f"array_to_string(list_sort(list_filter({_WORDS}, lambda x: NOT list_contains({_TITLES}, x))), ' ')"
@@ -124,3 +126,23 @@ def e_suggestions(spark: SparkSession, d: str) -> DataFrame:
     """Questions the appointments can answer."""
     return profiles.suggestions(table(spark, d, "rendez_vous_lilas"), ["motif", "caisse", "medecin"])
 
+
+
+@query("SELECT row_id, array_to_string(list_transform(regexp_extract_all(no_avs, '\\d'), lambda c: ['zéro', 'un', 'deux', 'trois', 'quatre', 'cinq', 'six', 'sept', 'huit', 'neuf'][CAST(c AS INT) + 1]), ' ') AS said FROM patients_ch WHERE no_avs IS NOT NULL")
+def f_digits(spark: SparkSession, d: str) -> DataFrame:
+    """Insurance numbers said digit by digit."""
+    return table(spark, d, "patients_ch").where("no_avs is not null").select("row_id", digits_one_by_one(F.col("no_avs")).alias("said"))
+
+
+@query()
+def f_spoken(spark: SparkSession, d: str) -> DataFrame:
+    """All documents as they are spoken."""
+    return spread(table(spark, d, "documents").select("doc_id", "text", "lang")).select("doc_id", F.when(F.col("lang") == "en", spoken_form(F.col("text"), "en")).otherwise(spoken_form(F.col("text"), "fr")).alias("said"))
+
+
+@query()
+def e_repairs(spark: SparkSession, d: str) -> DataFrame:
+    """Words of names no linked name has, with words of linked names that sound alike: what a dictation may have meant."""
+    e = table(spark, d, "file_profile_entities")
+    words = lambda df: df.select(F.explode(words_of(F.col("surface"))).alias("w")).where(F.length("w") >= 4).distinct()
+    return profiles.sound_alikes(words(e.where("entity_id is null")), words(e.where("entity_id is not null")), "w")

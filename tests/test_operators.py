@@ -227,3 +227,59 @@ def test_routes():
 
     assert routing.follow_up("et en 2024 ?", "Combien de lettres ?") == "Combien de lettres ? et en 2024 ?" and routing.follow_up("a b c d e f g h i", "x") == "a b c d e f g h i"
     assert routing.read_typed("pdf 03/2024 Été") == routing.Typed(["pdf"], "2024-03", ["ete"])
+
+
+def test_spoken():
+    from lectern.functions import spoken
+
+    assert spoken.spoken("Le 1er mai 2024 à 14:05, 3,05 mg et CHF 1'200.50") == "Le premier mai deux mille vingt-quatre à quatorze heures cinq, trois virgule zéro cinq milligrammes et mille deux cents virgule cinquante francs"
+    assert spoken.spoken("Am 03.02.2023 um 079 555 23 07", "en") == "Am February third, two thousand twenty-three um zero seven nine five five five two three zero seven"
+    assert [spoken.ordinal(n) for n in (1, 3, 4, 5, 21, 80)] == ["premier", "troisième", "quatrième", "cinquième", "vingt et unième", "quatre-vingtième"]
+    assert [spoken.ordinal(n, "en") for n in (1, 3, 12, 20, 21, 40)] == ["first", "third", "twelfth", "twentieth", "twenty-first", "fortieth"]
+    assert spoken.spoken("") == "" and spoken.spoken("AB12 v1.2.3") == "AB12 v1.2.3"
+
+
+def test_ports(spark):
+    from lectern.sources import ports
+
+    calls = []
+
+    def reader(image):
+        if image == b"bad":
+            raise ValueError("no page")
+        return image.decode(), 0.9 if len(image) > 3 else 0.3
+
+    pages = spark.createDataFrame([(1, bytearray(b"long page")), (2, bytearray(b"ab")), (3, bytearray(b" ")), (4, bytearray(b"bad")), (5, None)], "k int, image binary")
+    assert {r["k"]: r["status"] for r in ports.recognised(pages, "k", "image", reader).collect()} == {1: "recognised", 2: "below_threshold", 3: "no_text", 4: "error"}
+    images = ports.rasterised(pages.withColumnRenamed("image", "content"), "k", "content", lambda c: [c[:1], c[1:]] if c != b"bad" else 1 / 0).collect()
+    assert sum(r["error"] is not None for r in images) == 1 and len(images) == 7
+    assert ports.batches([10] * 40) == [16, 16, 8] and ports.batches([30_000, 1, 19_999, 1]) == [1, 2, 1] and ports.batches([]) == []
+    got = ports.embedded(spark.createDataFrame([(1, "ab"), (2, None)], "k int, t string"), "k", "t", lambda ts: [[float(len(t))] for t in ts]).collect()
+    assert [(r["k"], list(r["embedding"])) for r in got] == [(1, [2.0])]
+    assert list(ports.server_events(iter(["a", "é"]), "x"))[1:] == ['data: {"id": "x", "delta": "é"}\n\n', "data: [DONE]\n\n"] and not calls
+
+
+def test_office_files():
+    from lectern.plans import inputs
+    from lectern.sources import office
+
+    assert office.read_pdf(inputs.make_pdf("un (deux) \\ trois", "é")) == ["un (deux) \\ trois", "é"]
+    with pytest.raises(ValueError):
+        office.read_pdf(b"%PDF-1.4 /Encrypt 1 0 R")
+    assert office.read_metadata("md", b"---\ntitle: Un titre\nauthor:\n---\ntexte") == {"title": "Un titre"}
+    assert office.read_metadata("pdf", b"%PDF-1.4 << /Title (Un) /CreationDate (D:20240301120000) >>") == {"title": "Un", "created": "2024-03-01"}
+    assert office.read_metadata("txt", b"x") == {}
+
+
+def test_cascade(spark):
+    from lectern.operators import profiles
+
+    base = spark.createDataFrame([(1, "Anne Roux"), (2, "Jean Petit"), (3, "Jean Petit"), (4, "Paul Durand")], "id bigint, name string")
+    aliases = spark.createDataFrame([(1, "La Rousse")], "id bigint, alias string")
+    stop = spark.createDataFrame([("Lausanne",)], "name string")
+    asked = ["Mme Anne Roux", "roux anne", "la rousse", "A. Roux", "Durand", "Petit", "Jean Petit", "Lausanne", "Paul Durant", "Zed", None]
+    got = {r["name"]: (r["id"], r["signal"], r["outcome"]) for r in profiles.resolve_cascade(spark.createDataFrame([(a,) for a in asked], "name string"), base, aliases, stop).collect()}
+    assert got == {
+        "Mme Anne Roux": (1, "canonical", "resolved"), "roux anne": (1, "swapped", "possible"), "la rousse": (1, "alias", "resolved"), "A. Roux": (1, "initial", "possible"), "Durand": (4, "surname", "possible"),
+        "Petit": (None, "surname", "ambiguous"), "Jean Petit": (None, "canonical", "ambiguous"), "Lausanne": (None, "suppressed", "suppressed"), "Paul Durant": (4, "fuzzy", "possible"), "Zed": (None, "none", "unknown"),
+    }
