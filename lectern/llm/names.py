@@ -458,7 +458,9 @@ def clusters(df: DataFrame, surface: str = "surface", type_id: str = "type_id",
     A null surface is no name. A null type is guessed from the words. Repeated rows count as one surface. Other
     columns are dropped, so names cannot clash. An empty table gives no rows.
     """
-    read = checkpointed(surfaces(df, surface, type_id, entity_id).mapInPandas(_read, _READ))
+    # different surfaces are few beside rows, so the runtime would put them into few partitions; reading one is dear
+    each = surfaces(df, surface, type_id, entity_id).repartition(df.sparkSession.sparkContext.defaultParallelism)
+    read = checkpointed(each.mapInPandas(_read, _READ))
     order = ["surface1", "n1", "id1", "main1", "other1", "form1", "surface2", "n2", "id2", "main2", "other2", "form2", "kind"]
     near = met(read, read, "blocks").where("surface1 < surface2").select(order)
     # a surname alone fits any given name, so it meets the others by its code only
