@@ -1,9 +1,9 @@
 """Cutting long texts into pieces of bounded size by content-defined chunking.
 
 A rolling hash over the last few code points marks landmarks, places that depend only on the text around them.
-From the end of a piece the next cut is sought between a least and a greatest size: the first landmark there is
-snapped to the nearest natural boundary, a paragraph end before a line end before a sentence end before a word
-end. Since landmarks and boundaries depend on nearby text alone, cuts fall back into step after an edit, and
+From the end of a piece the next cut is sought between a least and a greatest size: the first landmark there, or
+where there is none the place of least hash, is snapped to the nearest natural boundary, a paragraph end before a line end
+before a sentence end before a word end. Since landmarks and boundaries depend on nearby text alone, cuts fall back into step after an edit, and
 only neighbouring pieces change. Each piece starts with the end of the one before (the overlap), from a word
 start where there is one.
 """
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from lectern.llm.tokenize import BASE
 
 #: Greatest piece, greatest overlap, and least step from cut to cut, in code points.
-MAX_SIZE, OVERLAP, LEAST = 1200, 120, 500
+MAX_SIZE, OVERLAP, LEAST = 1200, 120, 700
 #: Code points a landmark's hash sees; one place in 2 ** RARITY is a landmark.
 WINDOW, RARITY = 24, 6
 _ENDS = {
@@ -32,14 +32,19 @@ _ENDS = {
 }
 
 
-def landmarks(text: str) -> np.ndarray:
-    """Places whose last WINDOW code points hash to a landmark."""
+def rolled(text: str) -> np.ndarray:
+    """Hashes of every WINDOW consecutive code points; the i-th is of those that end at place i + WINDOW."""
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     if len(codes) < WINDOW:
-        return np.empty(0, np.int64)
+        return np.empty(0, np.uint64)
     h = np.zeros(len(codes) - WINDOW + 1, np.uint64)
     for i in range(WINDOW):
         h = h * np.uint64(BASE) + codes[i : i + len(h)] + np.uint64(1)
+    return h
+
+
+def landmarks(h: np.ndarray) -> np.ndarray:
+    """Places whose last WINDOW code points hash to a landmark."""
     return np.flatnonzero((h >> np.uint64(64 - RARITY)) == 0) + WINDOW
 
 
@@ -51,13 +56,14 @@ def cuts(text: str, max_size: int = MAX_SIZE, overlap: int = OVERLAP, least: int
     n = len(text)
     if n <= max_size:
         return [(0, n, 0, "end")]
-    marks = landmarks(text)
+    h = rolled(text)
+    marks = landmarks(h)
     ends = {kind: np.fromiter((m.end() for m in pattern.finditer(text)), np.int64) for kind, pattern in _ENDS.items()}
     out, start, done = [], 0, 0
     while n - start > max_size:
         lo, hi = done + least, start + max_size
         at = np.searchsorted(marks, lo)
-        mark = int(marks[at]) if at < len(marks) and marks[at] <= hi else (lo + hi) // 2
+        mark = int(marks[at]) if at < len(marks) and marks[at] <= hi else max(lo, WINDOW) + int(h[max(lo - WINDOW, 0) : hi - WINDOW + 1].argmin()) if hi >= WINDOW else hi
         cut, kind = hi, "none"
         for kind_, places in ends.items():
             near = places[np.searchsorted(places, lo) : np.searchsorted(places, hi, "right")]
