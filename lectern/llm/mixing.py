@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.tokenize import VOCABULARY, token_counts
+from lectern.llm.tokenize import VOCABULARY, send, token_counts
 from lectern.session import spread, written
 
 #: Bins of the hashed numbers per source; the driver gets at most this many sums a source.
@@ -73,6 +73,8 @@ def solve(sums: list[float], share_size: float, cap: int) -> tuple[float, ...]:
 def sized(df: DataFrame, key: str, text: str, source: str, tokenizer: str = VOCABULARY, seed: int = 0) -> DataFrame:
     """Rows (doc_id, source, text, n_tokens, u) with u in [0, 1) hashed from seed and key."""
 
+    send(df, tokenizer)
+
     @F.pandas_udf("int")
     def count(texts: pd.Series) -> pd.Series:
         return token_counts(texts, tokenizer).astype("int32")

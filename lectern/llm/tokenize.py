@@ -194,6 +194,10 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 @lru_cache(maxsize=4)
 def load_ranks(path: str) -> dict[bytes, int]:
+    if not os.path.exists(path):  # a worker of a machine that lacks the file has what the driver sent
+        from pyspark import SparkFiles
+
+        path = SparkFiles.get(os.path.basename(path))
     with open(path, "rb") as lines:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
 
@@ -288,6 +292,15 @@ def decode_ids(ids: list[int], path: str = VOCABULARY) -> str:
     return b"".join(names[i] for i in ids).decode("utf-8", "replace")
 
 
+def send(df: DataFrame, path: str) -> None:
+    """Sends the vocabulary to the workers of df's session, once."""
+    context = df.sparkSession.sparkContext
+    sent = context.__dict__.setdefault("_lectern_sent", set())
+    if path not in sent:
+        context.addFile(path)
+        sent.add(path)
+
+
 def encode(df: DataFrame, text: str = "text", key: str = "doc_id", path: str = VOCABULARY, with_offsets: bool = False) -> DataFrame:
     """One row per row of df: key, ids (array of int), and with_offsets the code point at which each id's piece opens.
 
@@ -296,6 +309,7 @@ def encode(df: DataFrame, text: str = "text", key: str = "doc_id", path: str = V
     """
     if not os.path.exists(path):
         raise FileNotFoundError(path)
+    send(df, path)
     schema = f"`{key}` {dict(df.dtypes)[key]}, ids array<int>" + (", offsets array<int>" if with_offsets else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
