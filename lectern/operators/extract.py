@@ -6,6 +6,7 @@ size; texts leave their scan as runs of at most LONGEST words.
 
 from __future__ import annotations
 
+import bisect
 import json
 from dataclasses import dataclass
 
@@ -13,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions.text import fold, words_of
+from lectern.operators.relational import best_per
+from lectern.session import checkpointed, spread
 
 #: Words of the longest run a dictionary is asked for.
 LONGEST = 5
@@ -209,3 +212,63 @@ def name_order(c: Column) -> Column:
         .when(c.rlike(rf"^{u}[{l}'’-]+,\s*{u}[{l}'’-]+$") | (c.rlike(rf"^[{u}'’-]{{2,}}\s+{u}[{l}'’-]+$") & ~c.rlike(rf"^[{u}'’-]+\s+[{u}'’-]+$")), "surname_first")
         .when(c.rlike(rf"^{u}[{l}'’-]+\s+{u}[{l}'’-]+$"), "given_first")
     )
+
+
+#: Sources of names in a text, the surest first, with what each is worth: identifiers, the dictionary, forms of address before
+#: a name of two parts or one, kinds of organisations after or before a name, the file's name, and capitalised runs.
+RANKED = {"identifier": 1.0, "gazetteer": 0.90, "title_full": 0.85, "org_prefix": 0.80, "org_suffix": 0.80, "title": 0.70, "file_name": 0.50, "run": 0.40}
+# Forms of address, kinds of organisations before their name, and legal forms after it.
+_ADDRESS = r"(?:M\.|Mr\.?|Mme|Mlle|Madame|Monsieur|Dr\.?|Dre|Docteur|Prof\.|Me|Frau|Herrn?|Mrs\.?|Ms\.?)"
+_ORG = r"(?:Clinique|Cabinet|Laboratoire|Pharmacie|Fondation|Fiduciaire|Garage|Imprimerie|Institut|Centre|Caisse|Assurance|Banque|École|Hôpital)"
+_LEGAL = r"(?:SA|Sàrl|SARL|SAS|AG|GmbH|SCM|SNC|Ltd)"
+_NAME = r"[^\W\d_a-zà-öø-ÿ][\w’'-]*"
+_RULES = [
+    ("title_full", rf"\b{_ADDRESS}\s+({_NAME}\s+{_NAME})"),
+    ("title", rf"\b{_ADDRESS}\s+({_NAME})"),
+    ("org_prefix", rf"\b({_ORG}(?:\s+(?:de|du|des|la|le|d'|l'))*\s+{_NAME})"),
+    ("org_suffix", rf"\b({_NAME}(?:\s+{_NAME})?\s+{_LEGAL})\b"),
+    ("run", rf"(?<=[^\s.!?:]\s)({_NAME}\s+{_NAME})"),
+]
+
+
+def document_names(df: DataFrame, key: str, text: str, entries: DataFrame, schemes: dict[str, str], most: int = 500) -> DataFrame:
+    """Names and identifiers in texts, with the source that tells them: (key, at, size, surface, source, confidence).
+
+    at and size count words from 1. Where two overlap the surer source has it, then the longer, then the earlier one. A
+    text keeps its most surest names. Null texts have none; key is unique.
+    """
+    import re
+    from collections.abc import Iterator
+
+    import pandas as pd
+
+    rules = [(s, re.compile(p)) for s, p in _RULES] + [("identifier", re.compile(f"({p})")) for p in schemes.values()]
+    kind = dict(df.dtypes)[key]
+    word = re.compile(r"[^\W_]+")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for k, t in frame.itertuples(index=False, name=None):
+                starts = [m.start() for m in word.finditer(t)]
+                for source, pattern in rules:
+                    for m in pattern.finditer(t):
+                        a, b = m.span(1)
+                        at = bisect.bisect_left(starts, a)
+                        size = bisect.bisect_left(starts, b) - at
+                        if size:
+                            out.append((k, at + 1, size, m.group(1), source))
+            yield pd.DataFrame(out, columns=[key, "at", "size", "surface", "source"])
+
+    rows = df.where(F.col(text).isNotNull()).select(key, text)
+    by_rule = spread(rows).mapInPandas(run, f"`{key}` {kind}, at int, size int, surface string, source string")
+    by_dictionary = longest_matches(rows, key, text, entries).select(key, "at", "size", F.col("run").alias("surface"), F.lit("gazetteer").alias("source"))
+    rank = F.array_position(F.array(*map(F.lit, RANKED)), F.col("source"))
+    every = checkpointed(by_rule.unionByName(by_dictionary).withColumn("rank", rank.cast("int")).groupBy(key, "at", "size").agg(F.min_by(F.struct("surface", "source", "rank"), "rank").alias("x")).select(key, "at", "size", "x.*"))
+    # only candidates that share a word meet
+    words = every.select(key, "at", "size", "rank", F.explode(F.sequence("at", F.col("at") + F.col("size") - 1)).alias("w"))
+    other = words.select(key, "w", F.col("at").alias("o_at"), F.col("size").alias("o_size"), F.col("rank").alias("o_rank"))
+    better = F.struct(F.col("o_rank"), -F.col("o_size"), F.col("o_at")) < F.struct(F.col("rank"), -F.col("size"), F.col("at"))
+    beaten = words.join(other, [key, "w"]).where(better).select(key, "at", "size").distinct()
+    kept = every.join(beaten, [key, "at", "size"], "left_anti").withColumn("confidence", F.element_at(F.array(*map(F.lit, RANKED.values())), F.col("rank")))
+    return best_per(kept, [key], [F.desc("confidence"), F.asc("at")], most).select(key, "at", "size", "surface", "source", "confidence")

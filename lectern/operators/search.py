@@ -135,6 +135,16 @@ def nearest(df: DataFrame, key: str, vector: str, queries: DataFrame, k: int, bl
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def decoded(stored: Column) -> Column:
+    """Vectors stored as little-endian single-precision bytes; null for null, and for bytes that aren't whole numbers of them."""
+
+    @F.pandas_udf("array<float>")
+    def run(values: pd.Series) -> pd.Series:
+        return values.map(lambda b: None if b is None or len(b) % 4 else np.frombuffer(b, "<f4").tolist())
+
+    return run(stored)
+
+
 def hybrid(cosines: DataFrame, hits: DataFrame, key: str) -> DataFrame:
     """Cosine plus a flat bonus for a lexical hit; rows that are near in neither way drop out."""
     marked = cosines.join(hits.select(key, F.lit(True).alias("hit")).distinct(), key, "left")

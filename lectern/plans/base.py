@@ -138,3 +138,37 @@ def b_capped(spark: SparkSession, d: str) -> DataFrame:
     """Each source's two surest mentions a file: the cap on what a source may say."""
     e = _entities(spark, d).withColumn("of", F.struct("source", "relative_path"))
     return knowledge.capped(e, "of", 2).select("source", "row_id")
+
+
+@query(_KB + ", x AS (SELECT entity_id, name, count(DISTINCT (domain, relative_path)) AS sources FROM em GROUP BY ALL) SELECT entity_id, name FROM x WHERE sources >= 1 AND lower(strip_accents(name)) LIKE '%de%' ESCAPE '\\'")
+def b_listed(spark: SparkSession, d: str) -> DataFrame:
+    """Live entities whose name holds a text, its signs for patterns taken as they are."""
+    from lectern.functions.text import escape_like, fold
+
+    live = base.supporting_sources(_entities(spark, d)).where(F.col("status").isin("active", "candidate")).select("entity_id")
+    pattern = F.concat(F.lit("%"), escape_like(fold(F.lit("dé"))), F.lit("%"))
+    named = base.effective_mentions(_entities(spark, d)).select("entity_id", "name").distinct()
+    return named.join(live, "entity_id", "left_semi").select("*", pattern.alias("p"), fold(F.col("name")).alias("folded")).where("folded like p escape '\\\\'").select("entity_id", "name")
+
+
+@query("SELECT DISTINCT value AS id FROM file_profile_fields WHERE kind = 'role_surface' AND value IS NOT NULL AND value NOT IN (SELECT surface FROM file_profile_entities WHERE surface IS NOT NULL) AND value NOT IN (SELECT correspondent FROM documents WHERE correspondent IS NOT NULL) AND value NOT IN (SELECT patient FROM rendez_vous_lilas WHERE patient IS NOT NULL) AND value NOT IN (SELECT medecin FROM rendez_vous_lilas WHERE medecin IS NOT NULL) AND value NOT IN (SELECT caisse FROM rendez_vous_lilas WHERE caisse IS NOT NULL)")
+def b_orphans(spark: SparkSession, d: str) -> DataFrame:
+    """Names of profiles that none of five relations refers to."""
+    id_ = lambda df, c: df.where(F.col(c).isNotNull()).select(F.col(c).alias("id"))
+    r = table(spark, d, "rendez_vous_lilas")
+    names = id_(table(spark, d, "file_profile_fields").where("kind = 'role_surface'"), "value").distinct()
+    return knowledge.orphans(names, id_(_entities(spark, d), "surface"), id_(table(spark, d, "documents"), "correspondent"), id_(r, "patient"), id_(r, "medecin"), id_(r, "caisse"))
+
+
+@query(_KB + "SELECT entity_id, list_sort(list_distinct(list(relative_path))) AS files FROM em WHERE domain = 'documents' AND relative_path IN (SELECT relative_path FROM file_profiles WHERE state = 'analysed') GROUP BY 1")
+def b_files(spark: SparkSession, d: str) -> DataFrame:
+    """Files of each entity within a scope, here documents that were analysed. An entity's files are listed once each."""
+    scope = table(spark, d, "file_profiles").where("state = 'analysed'").select("relative_path")
+    rows = base.effective_mentions(_entities(spark, d)).where("domain = 'documents'").join(scope, "relative_path", "left_semi")
+    return rows.groupBy("entity_id").agg(F.array_sort(F.collect_set("relative_path")).alias("files"))
+
+
+@query("SELECT domain, title AS name, count(*) AS n FROM file_profiles WHERE title IS NOT NULL GROUP BY ALL HAVING count(*) > 1")
+def b_duplicate_names(spark: SparkSession, d: str) -> DataFrame:
+    """Titles that several files of a domain have."""
+    return table(spark, d, "file_profiles").where("title is not null").groupBy("domain", F.col("title").alias("name")).agg(F.count("*").alias("n")).where("n > 1")

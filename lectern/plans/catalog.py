@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 from lectern.functions import numbers, text
 from lectern.functions.phonetic import phonetic_key
 from lectern.operators import finder, knowledge, pipeline, relational, search
-from lectern.session import table
+from lectern.session import shared_dir, table
 from lectern.sources import documents as readers
 from lectern.sources import sinks
 from lectern.streaming import ingest
@@ -134,10 +136,11 @@ def a_per_entity(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "file_profile_entities").groupBy("surface").agg(F.countDistinct("relative_path").alias("files"), F.count("*").alias("mentions"), F.max("confidence").alias("confidence"))
 
 
-@query("SELECT 'format' AS facet, format AS value, count(*) AS n FROM file_profiles WHERE format IS NOT NULL GROUP BY ALL UNION ALL SELECT 'state', state, count(*) FROM file_profiles WHERE state IS NOT NULL GROUP BY ALL UNION ALL SELECT 'business_type', business_type, count(*) FROM file_profiles WHERE business_type IS NOT NULL GROUP BY ALL UNION ALL SELECT 'year', document_date[1:4], count(*) FROM file_profiles WHERE document_date IS NOT NULL GROUP BY ALL")
+@query("SELECT 'folder' AS facet, regexp_extract(relative_path, '^([^/]*)/', 1) AS value, count(*) AS n FROM file_profiles GROUP BY 2 UNION ALL SELECT 'format' AS facet, format AS value, count(*) AS n FROM file_profiles WHERE format IS NOT NULL GROUP BY ALL UNION ALL SELECT 'state', state, count(*) FROM file_profiles WHERE state IS NOT NULL GROUP BY ALL UNION ALL SELECT 'business_type', business_type, count(*) FROM file_profiles WHERE business_type IS NOT NULL GROUP BY ALL UNION ALL SELECT 'year', document_date[1:4], count(*) FROM file_profiles WHERE document_date IS NOT NULL GROUP BY ALL")
 def a_facets(spark: SparkSession, d: str) -> DataFrame:
-    """Counts by format, state, type and year in one pass."""
-    return relational.facets(table(spark, d, "file_profiles").withColumn("year", F.substring("document_date", 1, 4)), ["format", "state", "business_type", "year"])
+    """Counts by format, state, type, year and folder in one pass."""
+    rows = table(spark, d, "file_profiles").withColumn("year", F.substring("document_date", 1, 4)).withColumn("folder", F.regexp_extract("relative_path", "^([^/]*)/", 1))
+    return relational.facets(rows, ["format", "state", "business_type", "year", "folder"])
 
 
 @query("SELECT 'format' AS facet, format AS value, count(*) AS n FROM file_profiles WHERE format IS NOT NULL AND state = 'analysed' GROUP BY ALL UNION ALL SELECT 'state', state, count(*) FROM file_profiles WHERE state IS NOT NULL AND format = 'pdf' GROUP BY ALL")
@@ -636,4 +639,24 @@ def r_captions(spark: SparkSession, d: str) -> DataFrame:
     def read(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: readers.read_captions(t.encode())[0])
 
-    return table(spark, d, "documents").where(F.startswith("text", F.lit("WEBVTT"))).select("doc_id", read("text").alias("text"))
\ No newline at end of file
+    return table(spark, d, "documents").where(F.startswith("text", F.lit("WEBVTT"))).select("doc_id", read("text").alias("text"))
+
+@query("SELECT vec_id, len(embedding) AS n, round(CAST(embedding[1] AS DOUBLE), 6) AS first, round(CAST(embedding[len(embedding)] AS DOUBLE), 6) AS last FROM embeddings")
+def q_vector_decode(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors as stored, little-endian single-precision bytes, decoded again."""
+
+    @F.pandas_udf("binary")
+    def stored(vectors: pd.Series) -> pd.Series:
+        return vectors.map(lambda v: np.asarray(v, "<f4").tobytes())
+
+    out = table(spark, d, "embeddings").select("vec_id", search.decoded(stored("embedding")).alias("v"))
+    return out.select("vec_id", F.size("v").alias("n"), F.round(F.col("v")[0].cast("double"), 6).alias("first"), F.round(F.element_at("v", -1).cast("double"), 6).alias("last"))
+
+
+@query("SELECT n_name AS key, count(*) AS lines FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY 1")
+def m_written(spark: SparkSession, d: str) -> DataFrame:
+    """Letters written to the shared folder, one folder a nation, and read again."""
+    c = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    path = f"{shared_dir(spark)}/lectern_letters_{uuid.uuid4().hex}"
+    sinks.write_letters(sinks.fill("Dear {{name}}.", c, {"name": "c_name"}), "n_name", path)
+    return spark.read.text(path).groupBy(F.col("n_name").alias("key")).agg(F.count("*").alias("lines"))

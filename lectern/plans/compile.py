@@ -134,7 +134,7 @@ def execute(df: DataFrame, sheet: Sheet, op: Operation, row_index: str | None =
             value = F.lit(quantiles.median(kept, numeric_column(sheet, op.column).name)).cast("double")
         else:
             value = {"sum": F.sum, "mean": F.avg, "min": F.min, "max": F.max}[op.kind](c)
-        return matching(df, sheet, op.filters).agg(value.cast("double").alias("value"), F.count("*").alias("row_count"), F.count_if(c.isNull()).alias("unparsed"), _refused(F.count("*")).alias("reason"))
+        return matching(df, sheet, op.filters).agg(value.cast("double").alias("value"), F.count("*").alias("row_count"), F.count_if(c.isNull()).alias("unparsed"), F.lit(numeric_column(sheet, op.column).unit).cast("string").alias("unit"), _refused(F.count("*")).alias("reason"))
     if op.kind == "distinct":
         c = F.col(f"`{value_column(sheet, op.column).name}`").cast("string")
         return matching(df, sheet, op.filters).where(F.trim(c) != "").select(c.alias("value")).distinct().orderBy("value")
@@ -151,9 +151,10 @@ def execute(df: DataFrame, sheet: Sheet, op: Operation, row_index: str | None =
             beyond = F.col("total") > op.threshold if op.above else F.col("total") < op.threshold
             return groups.where(beyond).orderBy(F.desc("total") if op.above else F.asc("total"), "key")
         n = min(op.n, MOST_GROUPS) if op.kind == "top_groups" else RANKED
+        said = [F.lit(op.n).alias("requested"), F.lit(op.n > MOST_GROUPS).alias("capped")] if op.kind == "top_groups" else []
         ranked = groups.orderBy(F.asc("total") if op.kind == "least_group" else F.desc("total"), "key").limit(n)
         # how many groups there are is one row, made from the same sums
-        return ranked.join(F.broadcast(groups.agg(F.count("*").alias("group_count")))).orderBy(F.asc("total") if op.kind == "least_group" else F.desc("total"), "key")
+        return ranked.join(F.broadcast(groups.agg(F.count("*").alias("group_count")))).select("*", *said).orderBy(F.asc("total") if op.kind == "least_group" else F.desc("total"), "key")
     if op.kind == "largest_row":
         c = F.col(f"`{numeric_column(sheet, op.column).name}`")
         rows = matching(df, sheet, op.filters).where(c.isNotNull())
@@ -182,3 +183,10 @@ def close_values(df: DataFrame, column: str, word: str, most: int = 2, n: int =
     w, v = F.lit(_plain(word)), fold(F.col("value"))
     far = F.when(F.startswith(v, w), 0).otherwise(F.levenshtein(v, w) + 1)
     return values.withColumn("far", far).where(F.col("far") <= most + 1).orderBy("far", "value").limit(n)
+
+
+def row_cells(df: DataFrame, row_index: str) -> DataFrame:
+    """Every row as its cells: (row, column, text), columns in the sheet's order by place."""
+    others = [c for c in df.columns if c != row_index]
+    cells = F.array(*[F.struct(F.lit(i).alias("place"), F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("text")) for i, c in enumerate(others)])
+    return df.select(F.col(f"`{row_index}`").alias("row"), F.explode(cells).alias("x")).select("row", "x.place", "x.column", "x.text")

@@ -178,3 +178,16 @@ def g_table_link(spark: SparkSession, d: str) -> DataFrame:
     values = table(spark, d, "patients_ch").select(F.col("commune").alias("value"), F.array_join(words_of(F.col("commune")), " ").alias("run")).where("run <> ''").distinct()
     hits = extract.runs(table(spark, d, "ocr_page_cache"), "row_id", "text").join(values, "run")
     return hits.groupBy("row_id").agg(F.when(F.countDistinct("run") == 1, F.min("value")).alias("value"), F.countDistinct("run").alias("n"))
+
+
+@query()
+def g_document_names(spark: SparkSession, d: str) -> DataFrame:
+    """Names and identifiers of all documents by their surest source."""
+    return extract.document_names(table(spark, d, "documents"), "doc_id", "text", _entries(spark, d), extract.load_pack(PACK).schemes)
+
+
+@query("SELECT doc_id, 'identifier' AS source, count(*) AS n FROM (SELECT DISTINCT doc_id, written FROM (" + _SCAN + ")) GROUP BY ALL")
+def g_identifier_counts(spark: SparkSession, d: str) -> DataFrame:
+    """How many different identifiers each document writes."""
+    found = extract.scan_identifiers(table(spark, d, "documents"), "doc_id", "text", extract.load_pack(PACK).schemes)
+    return found.select("doc_id", "written").distinct().groupBy("doc_id", F.lit("identifier").alias("source")).agg(F.count("*").alias("n"))

@@ -69,3 +69,14 @@ SQL: dict[str, str] = {
             WHEN 'd' THEN day IS NULL OR day < DATE '1900-01-01' OR day > CAST(loaded_at AS DATE)
             ELSE NOT regexp_full_match(v, '((CHF|€) ?)?[+-]?(\d{{1,3}}( \d{{3}})+|\d{{1,3}}(''\d{{3}})+|\d+)([.,]\d\d?|[.,]-)?( ?(CHF|€))?') END)""",
 }
+
+_FOUND = SQL["p4_found"]
+_QUOTED = "regexp_replace(raw_line, '\"[^\"]*\"', chr(1), 'g')"
+_COUNT = f"(len({_QUOTED}) - len(replace({_QUOTED}, ';', '')) + 1)"
+#: Of the rejected lines of p4_found, the first reason that holds.
+SQL["p4_rejected"] = (
+    _FOUND[: _FOUND.index("SELECT source_table, row_id FROM d")]
+    + rf"""SELECT source_table, row_id, raw_line, {_COUNT} AS n_cells, CASE WHEN contains({_QUOTED}, '"') THEN 'unbalanced_quote' WHEN {_COUNT} = 1 AND len(string_split_regex({_QUOTED}, '[\t|,]')) >= CASE kind WHEN 'a' THEN 6 ELSE 7 END THEN 'other_delimiter'
+            WHEN {_COUNT} < CASE kind WHEN 'a' THEN 6 ELSE 7 END THEN 'too_few_columns' WHEN {_COUNT} > CASE kind WHEN 'a' THEN 6 ELSE 7 END THEN 'too_many_columns' WHEN NOT fits THEN 'broken_quoting' WHEN kind = 'a' THEN 'invalid_montant' ELSE 'invalid_date_de_naissance' END AS reason FROM d """
+    + _FOUND[_FOUND.index("WHERE NOT fits OR") :]
+)

@@ -11,7 +11,7 @@ from lectern.functions.numbers import number_shape
 from lectern.operators.quantiles import percentile
 from lectern.plans import query_plan
 from lectern.plans.ast import Filter, Operation, Refusal
-from lectern.plans.compile import close_values, describe, execute, nearest_group
+from lectern.plans.compile import close_values, describe, execute, nearest_group, row_cells
 from lectern.plans.infer import inventory, typed
 from lectern.plans.question import classify
 from lectern.session import table
@@ -53,14 +53,14 @@ for _k, _f in (("sum", "sum"), ("mean", "avg"), ("median", "median"), ("min", "m
         f"t_{_k}",
         _L,
         Operation(_k, "l_extendedprice", filters=(Filter("l_linestatus", "in", ("F",)),)),
-        f"SELECT round({_f}(l_extendedprice), 2) AS value, count(*) AS row_count, count(*) - count(l_extendedprice) AS unparsed, CAST(NULL AS VARCHAR) AS reason FROM lineitem WHERE l_linestatus = 'F'",
+        f"SELECT round({_f}(l_extendedprice), 2) AS value, count(*) AS row_count, count(*) - count(l_extendedprice) AS unparsed, CAST(NULL AS VARCHAR) AS unit, CAST(NULL AS VARCHAR) AS reason FROM lineitem WHERE l_linestatus = 'F'",
         rounded=("value",),
     )
 _op(
     "t_refused_empty",
     _L,
     Operation("sum", "l_tax", filters=(Filter("l_quantity", "less_than", (-1.0,)),)),
-    "SELECT CAST(NULL AS DOUBLE) AS value, 0 AS row_count, 0 AS unparsed, 'empty_sheet' AS reason",
+    "SELECT CAST(NULL AS DOUBLE) AS value, 0 AS row_count, 0 AS unparsed, CAST(NULL AS VARCHAR) AS unit, 'empty_sheet' AS reason",
 )
 _op("t_distinct", "customer", Operation("distinct", "c_mktsegment"), "SELECT DISTINCT c_mktsegment AS value FROM customer WHERE trim(c_mktsegment) <> ''")
 _op("t_count_per_group", "orders", Operation("count_per_group", group_by="o_orderpriority"), "SELECT o_orderpriority AS key, count(*) AS n FROM orders WHERE trim(o_orderpriority) <> '' GROUP BY 1")
@@ -68,7 +68,7 @@ _op("t_group_sum", _L, Operation("group_sum", "l_quantity", "l_returnflag", (Fil
 _SUMS = "WITH g AS (SELECT o_custkey AS key, sum(o_totalprice) AS total FROM orders GROUP BY 1)"
 _op("t_largest_group", "orders", Operation("largest_group", "o_totalprice", "o_custkey"), f"{_SUMS} SELECT key, round(total, 2) AS total, (SELECT count(*) FROM g) AS group_count FROM g ORDER BY g.total DESC, key LIMIT 5", rounded=("total",))
 _op("t_least_group", "orders", Operation("least_group", "o_totalprice", "o_custkey"), f"{_SUMS} SELECT key, round(total, 2) AS total, (SELECT count(*) FROM g) AS group_count FROM g ORDER BY g.total, key LIMIT 5", rounded=("total",))
-_op("t_top_groups", "orders", Operation("top_groups", "o_totalprice", "o_custkey", n=80), f"{_SUMS} SELECT key, round(total, 2) AS total, (SELECT count(*) FROM g) AS group_count FROM g ORDER BY g.total DESC, key LIMIT 50", rounded=("total",))
+_op("t_top_groups", "orders", Operation("top_groups", "o_totalprice", "o_custkey", n=80), f"{_SUMS} SELECT key, round(total, 2) AS total, (SELECT count(*) FROM g) AS group_count, 80 AS requested, true AS capped FROM g ORDER BY g.total DESC, key LIMIT 50", rounded=("total",))
 _op("t_groups_beyond", "orders", Operation("groups_beyond", "o_totalprice", "o_custkey", threshold=2_000_000.0), f"{_SUMS} SELECT key, round(total, 2) AS total FROM g WHERE g.total > 2000000", rounded=("total",))
 _op("t_groups_below", "orders", Operation("groups_beyond", "o_totalprice", "o_custkey", threshold=100_000.0, above=False), f"{_SUMS} SELECT key, round(total, 2) AS total FROM g WHERE g.total < 100000", rounded=("total",))
 _op("t_largest_row", "orders", Operation("largest_row", "o_totalprice"), "SELECT o_orderkey, o_custkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 1", ("o_orderkey", "o_custkey", "o_totalprice"), index="o_orderkey")
@@ -209,3 +209,9 @@ def t_structural(spark: SparkSession, d: str) -> DataFrame:
     """The columns of a sheet and their types."""
     sheet = describe(table(spark, d, "orders"))
     return spark.createDataFrame([(c.name, c.type) for c in sheet.columns], "name string, type string")
+
+
+@_add("t_row_cells", " UNION ALL ".join(f"SELECT s_suppkey AS row, {i} AS place, '{c}' AS \"column\", CAST({c} AS VARCHAR) AS text FROM supplier" for i, c in enumerate(("s_name", "s_nationkey"))))
+def t_row_cells(spark: SparkSession, d: str) -> DataFrame:
+    """Rows as cells of text."""
+    return row_cells(table(spark, d, "supplier").select("s_suppkey", "s_name", "s_nationkey"), "s_suppkey")

@@ -42,6 +42,11 @@ def fill(template: str, rows: DataFrame, mapping: dict[str, str]) -> DataFrame:
     return rows.withColumn("letter", F.concat(*parts, F.lit(template[at:])))
 
 
+def write_letters(letters: DataFrame, key: str, path: str) -> None:
+    """Writes letters (column letter) as text, one folder a value of key."""
+    letters.select("letter", key).repartition(key).write.partitionBy(key).text(path)
+
+
 def propose_mapping(fields: list[str], columns: list[str]) -> list[tuple[str, str | None, str]]:
     """For each field its column and how sure: exact (equal letters and digits), proposed (the only column that
     starts with it; never filled in unasked), or unresolved."""
