@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.functions.numbers import MONTHS
 from lectern.functions.spoken import digits_one_by_one, spoken_form
 from lectern.functions.text import words_of
 from lectern.operators import knowledge, pipeline, profiles, search
@@ -146,3 +147,16 @@ def e_repairs(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "file_profile_entities")
     words = lambda df: df.select(F.explode(words_of(F.col("surface"))).alias("w")).where(F.length("w") >= 4).distinct()
     return profiles.sound_alikes(words(e.where("entity_id is null")), words(e.where("entity_id is not null")), "w")
+
+
+_MONTHS = ", ".join(f"('{name}', '{n:02d}')" for n, names in MONTHS.items() for name in dict.fromkeys(names.split()))
+_WRITTEN = rf"\b(\d{{1,2}})(?:er|\.)?\s+({'|'.join(' '.join(MONTHS.values()).split())})\s+(\d{{4}})\b"
+SQL["f_dates_in_text"] = rf"""WITH m AS (SELECT * FROM (VALUES {_MONTHS}) AS t(name, nn)), f AS (SELECT doc_id, unnest(regexp_extract_all(text, '\b\d{{1,2}}[/.]\d{{1,2}}[/.]\d{{4}}\b')) AS x FROM documents), w AS (SELECT doc_id, unnest(regexp_extract_all(lower(strip_accents(text)), '{_WRITTEN}')) AS x FROM documents)
+    SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '\b(\d{{4}}-\d{{2}}-\d{{2}})\b', 1)) AS date FROM documents UNION SELECT doc_id, strftime({_date('x')}, '%Y-%m-%d') FROM f WHERE {_date('x')} IS NOT NULL
+    UNION SELECT doc_id, regexp_extract(x, '{_WRITTEN}', 3) || '-' || nn || '-' || lpad(regexp_extract(x, '{_WRITTEN}', 1), 2, '0') FROM w JOIN m ON m.name = regexp_extract(x, '{_WRITTEN}', 2)"""
+_REPEATED = SQL["c_repeated_lines"]
+SQL["c_cleaned"] = (
+    _REPEATED[: _REPEATED.rindex("SELECT relative_path, key, pages")]
+    + r""", r AS (SELECT relative_path, list(key) AS keys FROM k JOIN o USING (relative_path) WHERE n >= 4 AND pages * 2 >= n GROUP BY 1), x AS (SELECT row_id, text, coalesce(keys, []) AS keys FROM ocr_page_cache LEFT JOIN r USING (relative_path))
+    SELECT row_id, regexp_replace(array_to_string(list_filter(string_split(text, chr(10)), lambda l: (trim(l) = '' OR regexp_matches(l, '[\p{L}\p{N}]')) AND NOT list_contains(keys, trim(lower(regexp_replace(l, '\d+', '#', 'g'))))), chr(10)), '(\p{L})[-¬­]\n(\p{Ll})', '\1\2', 'g') AS text FROM x"""
+)
