@@ -171,7 +171,7 @@ _ENDS = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("joined", pa.
 _EDGES = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("at", pa.int32()), ("depth", pa.int32()), ("is_page", pa.bool_()), ("tail", pa.int32()), ("bare", pa.string()), ("shape", pa.string()), ("explicit", pa.bool_())]))
 _ODD = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("v", pa.string())]))
 #: What reading a batch of pages gives: of every page its parts (tag page), and of the batch counts of words (tag word: x, n),
-#: of neighbours (tag pair: x, y, n) and of the shapes of inner lines (tag inner: x, n).
+#: of neighbours, either one also as the other's context has it (tag pair: x, y, n), and of the shapes of inner lines (tag inner: x, n).
 _PARTS = pa.schema([("tag", pa.string()), ("row_id", pa.int64()), ("page", pa.int64()), ("path", pa.string()), ("w", pa.list_(pa.string())), ("a", pa.list_(pa.int32())), ("b", pa.list_(pa.int32())), ("odd", _ODD), ("ends", _ENDS), ("edges", _EDGES), ("x", pa.string()), ("y", pa.string()), ("n", pa.int64())])
 _EDGE_DDL = "array<struct<a int, b int, at int, depth int, is_page boolean, tail int, bare string, shape string, explicit boolean>>"
 _PARTS_DDL = (
@@ -205,7 +205,11 @@ def pages(df: DataFrame, key: str, text: str, path: str, page: str, confidence:
                 inner.update(shapes(t)[EDGE:-EDGE])
                 rows.append({"tag": "page", "row_id": k, "page": -k if number is None else number, "path": where, "w": ws, "a": [a for _, a, _ in found], "b": [b for _, _, b in found], "odd": [{"a": a, "b": b, "v": v} for a, b, v in odd_numbers(t)], "ends": line_ends(t), "edges": edge_lines(t, number, 0, EDGE + 1)})
             rows.extend({"tag": "word", "x": w, "n": n} for w, n in one.items())
-            rows.extend({"tag": "pair", "x": p, "y": w, "n": n} for (p, w), n in two.items())
+            beside_too: Counter[tuple[str, str]] = Counter()
+            for (p, w), n in two.items():
+                for pair in {(beside(p), w), (p, beside(w))}:
+                    beside_too[pair] += n
+            rows.extend({"tag": "pair", "x": p, "y": w, "n": n} for (p, w), n in beside_too.items())
             rows.extend({"tag": "inner", "x": s, "n": n} for s, n in inner.items())
             yield pa.RecordBatch.from_pylist(rows, _PARTS)
 
@@ -222,10 +226,7 @@ def lexicon(parts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Weights (w, n) of words and hyphenated compounds, and frequencies (p, w, n) of neighbouring words, either one also
     as its neighbour's context has it (see beside)."""
     one = parts.where("tag = 'word'").groupBy(F.col("x").alias("w")).agg(F.sum("n").alias("n"))
-    both = parts.where("tag = 'pair'").groupBy("x", "y").agg(F.sum("n").alias("n"))
-    x, y = F.col("x"), F.col("y")
-    forms = F.array_distinct(F.array(F.struct(_beside(x).alias("p"), y.alias("w")), F.struct(x.alias("p"), _beside(y).alias("w"))))
-    two = both.select(F.explode(forms).alias("f"), "n").groupBy("f.p", "f.w").agg(F.sum("n").alias("n"))
+    two = parts.where("tag = 'pair'").groupBy(F.col("x").alias("p"), F.col("y").alias("w")).agg(F.sum("n").alias("n"))
     return one, two
 
 
@@ -349,7 +350,7 @@ def misread_words(parts: DataFrame, counts: DataFrame, bigrams: DataFrame, fixes
     places = tokens.select(
         "row_id", F.element_at("a", F.col("i") + 1).alias("a"), F.element_at("b", F.col("i") + 1).alias("b"), F.when(F.col("i") > 0, _beside(neighbour(F.greatest("i", F.lit(1))))).otherwise("").alias("p"), F.col("t").alias("w"), _beside(neighbour(F.col("i") + 2)).alias("q")
     )
-    places = checkpointed(places.join(fixes.select("w").distinct(), "w", "left_semi").select("row_id", "a", "b", "p", "w", "q"))
+    places = written(places.join(fixes.select("w").distinct(), "w", "left_semi").select("row_id", "a", "b", "p", "w", "q"), "places")
     # a word is judged once for each pair of neighbours
     near = places.select("p", "w", "q").distinct().join(fixes, "w")
     # context: how often the candidate, and the word as it stands, follow and precede the neighbours
@@ -474,31 +475,38 @@ def deeper(df: DataFrame, edges: DataFrame, key: str, text: str, page: str, firs
 
 def furniture(df: DataFrame, parts: DataFrame, key: str, text: str, page: str) -> DataFrame:
     """Running headers and page numbers: row_id, a, b, defect."""
-    own = parts.where("tag = 'page'").select("row_id", "page", "path", F.inline("edges"))
-    inner = parts.where("tag = 'inner'").groupBy(F.xxhash64("x").alias("s")).agg(F.sum("n").alias("inner"))
     where = parts.where("tag = 'page'").select("row_id", "page", "path")
-    own = checkpointed(own)
-    lines, depth = own.where(F.col("depth") < EDGE), EDGE
+
+    def keyed(lines: DataFrame) -> DataFrame:
+        """Lines with what they are compared by as numbers: file, own (file and skeleton, by two hashes), s (shape)."""
+        return lines.select(
+            "row_id", "page", "a", "b", "at", "depth", "is_page", "tail", "explicit", (F.length("bare") >= 8).alias("long"), F.xxhash64("path").alias("file"), F.struct(F.xxhash64("path", "bare").alias("x"), F.hash("bare").alias("y")).alias("own"), F.xxhash64("shape").alias("s")
+        )
+
+    every = written(keyed(parts.where("tag = 'page'").select("row_id", "page", "path", F.inline("edges"))), "edges")
+    inner = parts.where("tag = 'inner'").groupBy(F.xxhash64("x").alias("s")).agg(F.sum("n").alias("inner"))
+    lines, depth = every.where(F.col("depth") < EDGE), EDGE
 
     def flagged(some: DataFrame) -> DataFrame:
         """Running headers among lines: row_id, a, b, tail, at, depth."""
-        body = some.where("not is_page and length(bare) >= 8").withColumn("s", F.xxhash64("shape"))
+        body = some.where("not is_page and long")
         # a line repeated by different pages of its file; a page read twice doesn't count
-        again = body.groupBy("path", "bare").agg(F.countDistinct("page").alias("pages")).where("pages > 1").select("path", "bare")
-        repeated = body.join(again, ["path", "bare"], "left_semi")
+        again = body.groupBy("own").agg(F.min("page").alias("lo"), F.max("page").alias("hi")).where("lo < hi").select("own")
+        repeated = body.join(again, "own", "left_semi").select("row_id", "a", "b", "tail", "at", "depth", "file", "s")
         # shapes of such lines; a running header's stands at edges and hardly anywhere else
         at_edge = body.groupBy("s").agg(F.count("*").alias("outer"), F.count_if(F.col("depth") >= EDGE).alias("deep"))
         kinds = (
             repeated.groupBy("s")
-            .agg(F.countDistinct("path").alias("files"))
+            .agg(F.countDistinct("file").alias("files"))
             .join(at_edge, "s")
             .join(inner, "s", "left")
             .where((F.coalesce("inner", F.lit(0)) - F.col("deep")) * 9 <= F.col("outer"))  # lines deeper than EDGE were counted as inner ones
             .select("s", "files")
         )
         kinds = checkpointed(kinds)
-        both = repeated.join(kinds.select("s"), "s", "left_semi").unionByName(body.join(kinds.where("files >= 3").select("s"), "s", "left_semi"))
-        return checkpointed(both.select("row_id", "a", "b", "tail", "at", "depth").distinct())
+        found = ["row_id", "a", "b", "tail", "at", "depth"]
+        both = repeated.join(kinds.select("s"), "s", "left_semi").select(found).unionByName(body.join(kinds.where("files >= 3").select("s"), "s", "left_semi").select(found))
+        return checkpointed(both.distinct())
 
     headers = flagged(lines)
     while True:
@@ -510,20 +518,20 @@ def furniture(df: DataFrame, parts: DataFrame, key: str, text: str, page: str) -
             open_ = checkpointed(open_)
             if open_.isEmpty():
                 break
-        next_ = own.where(F.col("depth") == depth).join(open_, ["row_id", "at"], "left_semi") if depth == EDGE else deeper(df, open_, key, text, page, depth).join(where, "row_id")
+        next_ = every.where(F.col("depth") == depth).join(open_, ["row_id", "at"], "left_semi") if depth == EDGE else keyed(deeper(df, open_, key, text, page, depth).join(where, "row_id"))
         more = checkpointed(next_.select(lines.columns))
         if more.isEmpty():
             break
         lines = lines.unionByName(more)
         # only lines like the new ones bear on them
-        alike = lines.join(more.select("shape").distinct(), "shape", "left_semi").unionByName(lines.join(more.select("path", "bare").distinct(), ["path", "bare"], "left_semi")).distinct()
-        new = flagged(alike.select(lines.columns)).where(F.col("depth") == depth)
+        alike = lines.join(more.select("s").distinct(), "s", "left_semi").select(lines.columns)
+        same = lines.join(more.select("own").distinct(), "own", "left_semi").join(more.select("s").distinct(), "s", "left_anti").select(lines.columns)
+        new = flagged(checkpointed(alike.unionByName(same))).where(F.col("depth") == depth)
         headers, depth = headers.unionByName(new), depth + 1
         if new.isEmpty() and more.where("is_page").isEmpty():
             break
     numbers = lines.where("is_page").select("row_id", "a", "b", F.lit("page_number").alias("defect"))
-    body = lines.where("not is_page and length(bare) >= 8")
-    tails = headers.where("tail < b").select("row_id", "a", "b").unionAll(body.where("tail < b and explicit").select("row_id", "a", "b")).withColumn("defect", F.lit("page_number"))
+    tails = headers.where("tail < b").select("row_id", "a", "b").unionAll(lines.where("not is_page and long and tail < b and explicit").select("row_id", "a", "b")).withColumn("defect", F.lit("page_number"))
     return numbers.unionAll(headers.select("row_id", "a", "b", F.lit("running_header").alias("defect"))).unionAll(tails).distinct()
 
 
@@ -537,17 +545,18 @@ def defects(df: DataFrame, key: str = "row_id", text: str = "text", path: str =
     """
     parts = pages(df, key, text, path, page, confidence if confidence in df.columns else None)
     one, two = lexicon(parts)
-    counts, bigrams = checkpointed(one), checkpointed(two)
+    counts, bigrams = written(one, "words"), written(two, "neighbours")
     fixes = checkpointed(repairs(counts))
     wrong = misread_words(parts, counts, bigrams, fixes).select("row_id", "a", "b", F.lit("misread").alias("defect"), F.col("v").alias("repair"))
-    digits = parts.where("tag = 'page'").select("row_id", F.inline("odd")).select("row_id", "a", "b", F.lit("misread").alias("defect"), F.col("v").alias("repair"))
-    # what context reads as a word is no number
-    digits = digits.join(wrong.select("row_id", "a", "b"), ["row_id", "a", "b"], "left_anti")
     halves = checkpointed(split_words(parts, counts))
     # neither half of a frequent word, one that is no misreading itself, is a misread one
     sure = halves.where("known").join(fixes.select(F.col("w").alias("joined")), "joined", "left_anti")
     for end, at in (("b", "a"), ("a", "b")):
         wrong = wrong.join(sure.select("row_id", F.col(at).alias(end)), ["row_id", end], "left_anti").select("row_id", "a", "b", "defect", "repair")
+    wrong = checkpointed(wrong)
+    digits = parts.where("tag = 'page'").select("row_id", F.inline("odd")).select("row_id", "a", "b", F.lit("misread").alias("defect"), F.col("v").alias("repair"))
+    # what context reads as a word is no number
+    digits = digits.join(wrong.select("row_id", "a", "b"), ["row_id", "a", "b"], "left_anti")
     split = halves.select("row_id", "a", "b", F.lit("hyphenation").alias("defect"), F.lit("").alias("repair"))
     gone = furniture(df, parts, key, text, page).withColumn("repair", F.lit(None).cast("string"))
     return wrong.unionAll(digits).unionAll(split).unionByName(gone)
