@@ -21,6 +21,7 @@ def local_session(cpus: int | str = 8, shuffle_partitions: int = 8, app: str = "
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.host", "127.0.0.1")
+        .config("spark.sql.warehouse.dir", os.path.join(tempfile.gettempdir(), "lectern-warehouse"))
         .getOrCreate()
     )
 
