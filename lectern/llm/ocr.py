@@ -394,6 +394,7 @@ def split_words(parts: DataFrame, counts: DataFrame) -> DataFrame:
 _EXPLICIT = re.compile(r"[A-Za-z\[\]–—-]")
 _PN = r"[\dOolISB]{1,4}"
 PAGE = re.compile(rf"(?:[PpF][aoe]g[ec]|[S5][ec][il1]t[ec]|[Pp]\.|[S5]\.)?\s*[-–—\[(]?\s*({_PN})\s*(?:(?:/|sur|von|of|de|sui|5ur|v0n|vou)\s*{_PN})?\s*[-–—\])]?\s*\Z")
+_APART = re.compile(r"\s[\s|]|\t")  # what must stand before a number at a line's end
 _TAIL = re.compile(rf"(?:\s{{2,}}|\t|\s\|\s)((?:[PpF][aoe]g[ec]|[S5][ec][il1]t[ec]|[Pp]\.|[S5]\.)?\s*[-–—\[(]?\s*{_PN}\s*(?:(?:/|sur|von|of|de|sui|5ur|v0n|vou)\s*{_PN})?\s*[-–—\])]?)\s*\Z")
 
 
@@ -455,7 +456,7 @@ def edge_lines(text: str, page: int | None, first: int, last: int) -> list[dict]
         for depth, (a, b) in enumerate(own, first):
             line = text[a:b]
             alone = _is_page(line, page)
-            m = None if alone else _TAIL.search(line)
+            m = None if alone or not _APART.search(line) else _TAIL.search(line)
             tail = a + m.start() if m and _is_page(m.group(1), page) else b
             bare = text[a:tail].strip()
             out.append({"a": a, "b": b, "at": end, "depth": depth, "is_page": alone, "tail": tail, "bare": skeleton(bare), "shape": shape(bare), "explicit": bool(m) and _EXPLICIT.search(m.group(1)) is not None})
