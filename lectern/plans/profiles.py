@@ -160,3 +160,9 @@ SQL["c_cleaned"] = (
     + r""", r AS (SELECT relative_path, list(key) AS keys FROM k JOIN o USING (relative_path) WHERE n >= 4 AND pages * 2 >= n GROUP BY 1), x AS (SELECT row_id, text, coalesce(keys, []) AS keys FROM ocr_page_cache LEFT JOIN r USING (relative_path))
     SELECT row_id, regexp_replace(array_to_string(list_filter(string_split(text, chr(10)), lambda l: (trim(l) = '' OR regexp_matches(l, '[\p{L}\p{N}]')) AND NOT list_contains(keys, trim(lower(regexp_replace(l, '\d+', '#', 'g'))))), chr(10)), '(\p{L})[-¬­]\n(\p{Ll})', '\1\2', 'g') AS text FROM x"""
 )
+
+
+@query("SELECT name, id FROM (" + SQL["e_cascade"] + ") WHERE outcome = 'possible'")
+def b_possible_partners(spark: SparkSession, d: str) -> DataFrame:
+    """Open matches: names that only possibly are an entity, with it."""
+    return e_cascade(spark, d).where("outcome = 'possible'").select("name", "id")
