@@ -7,11 +7,12 @@ so a search is one scan of the postings or vectors it needs and a top-k per part
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.text import fold, words_of
@@ -71,6 +72,41 @@ def bm25(df: DataFrame, key: str, text: str, terms: list[str], scope: DataFrame
     return kept.join(F.broadcast(whole)).select(key, score.alias("score"))
 
 
+#: Buckets of a stored index; a search reads those of its terms.
+BUCKETS = 64
+
+
+class PostingsIndex:
+    """An inverted index in the shared folder: postings (term, key, tf, len) in buckets by term, sorted within, and one row of
+    statistics. A search reads the buckets of its terms, and of them the parts its terms lie in."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    @staticmethod
+    def build(df: DataFrame, key: str, text: str, path: str) -> PostingsIndex:
+        """Writes the index of texts; null texts have no postings."""
+        rows = postings(spread(df.select(key, text)), key, text).withColumn("bucket", F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(BUCKETS)).cast("int"))
+        # a frequent term's postings go to several tasks, by key
+        rows.repartition("bucket", F.pmod(F.xxhash64(key), F.lit(4))).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/postings")
+        lengths = df.sparkSession.read.parquet(f"{path}/postings").groupBy(key).agg(F.first("len").alias("len"))
+        lengths.agg(F.count("*").alias("N"), F.avg("len").alias("mean")).write.parquet(f"{path}/statistics")
+        return PostingsIndex(df.sparkSession, path)
+
+    def bm25(self, key: str, terms: list[str], scope: DataFrame | None = None) -> DataFrame:
+        """Scores (key, score) of texts with any of the terms, as bm25 gives them; scope only keeps some rows."""
+        if len(terms) > MOST_TERMS:
+            raise ValueError(f"more than {MOST_TERMS} terms")
+        buckets = sorted({zlib.crc32(t.encode()) % BUCKETS for t in terms})
+        hits = self.spark.read.parquet(f"{self.path}/postings").where(F.col("bucket").isin(buckets) & F.col("term").isin(terms))
+        whole = self.spark.read.parquet(f"{self.path}/statistics")  # one row
+        found = hits.groupBy("term").agg(F.count("*").alias("d"))  # at most MOST_TERMS rows
+        kept = hits if scope is None else hits.join(scope.select(key), key, "left_semi")
+        idf = F.log((F.col("N") - F.col("d") + 0.5) / (F.col("d") + 0.5))
+        score = F.when(idf <= 0, 1e-6).otherwise(idf) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
+        return kept.join(F.broadcast(found), "term").join(F.broadcast(whole)).groupBy(key).agg(F.sum(score).alias("score"))
+
+
 def phrase(text: Column, words: str) -> Column:
     """Whether a text holds words in this order, folded, at word borders."""
     folded = F.concat(F.lit(" "), F.concat_ws(" ", words_of(text)), F.lit(" "))

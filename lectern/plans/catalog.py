@@ -660,3 +660,19 @@ def m_written(spark: SparkSession, d: str) -> DataFrame:
     path = f"{shared_dir(spark)}/lectern_letters_{uuid.uuid4().hex}"
     sinks.write_letters(sinks.fill("Dear {{name}}.", c, {"name": "c_name"}), "n_name", path)
     return spark.read.text(path).groupBy(F.col("n_name").alias("key")).agg(F.count("*").alias("lines"))
+
+
+@query(SQL["q_bm25"])
+def q_indexed(spark: SparkSession, d: str) -> DataFrame:
+    """The best texts for two words, from a stored index."""
+    path = f"{shared_dir(spark)}/lectern_index_{uuid.uuid4().hex}"
+    index = search.PostingsIndex.build(table(spark, d, "documents"), "doc_id", "text", path)
+    return index.bm25("doc_id", ["scanner", "genou"]).withColumn("score", F.round("score", 4)).orderBy(F.desc("score"), "doc_id").limit(20)
+
+
+@query(SQL["q_bm25"].replace("WHERE a > 0 OR b > 0)", "WHERE (a > 0 OR b > 0) AND doc_id IN (SELECT doc_id FROM documents WHERE lang = 'fr'))"))
+def q_scoped(spark: SparkSession, d: str) -> DataFrame:
+    """The best texts of a scope for two words; statistics stay the whole corpus's."""
+    docs = table(spark, d, "documents")
+    found = search.bm25(docs, "doc_id", "text", ["scanner", "genou"], docs.where("lang = 'fr'"))
+    return found.withColumn("score", F.round("score", 4)).orderBy(F.desc("score"), "doc_id").limit(20)

@@ -229,6 +229,14 @@ def test_routes():
     assert routing.read_typed("pdf 03/2024 Été") == routing.Typed(["pdf"], "2024-03", ["ete"])
 
 
+def test_stored_index(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "un scanner du genou"), (2, "scanner scanner"), (3, None), (4, ""), (5, "autre chose"), (6, "encore autre"), (7, "rien")], "k bigint, t string").withColumn("term", F.lit(0))
+    index = search.PostingsIndex.build(docs, "k", "t", str(tmp_path / "index"))
+    both = [{r["k"]: round(r["score"], 9) for r in found.collect()} for found in (index.bm25("k", ["scanner", "genou"]), search.bm25(docs, "k", "t", ["scanner", "genou"]))]
+    assert both[0] == both[1] and set(both[0]) == {1, 2}
+    assert {r["k"] for r in index.bm25("k", ["scanner"], docs.where("k > 1")).collect()} == {2} and index.bm25("k", ["nichts"]).count() == 0
+
+
 def test_spoken():
     from lectern.functions import spoken
 
