@@ -129,3 +129,14 @@ def facets_leave_one_out(df: DataFrame, tests: dict[str, Column]) -> DataFrame:
         kept = reduce(lambda a, b: a.where(b), others, df)
         parts.append(kept.where(F.col(name).isNotNull()).groupBy(F.lit(name).alias("facet"), F.col(name).cast("string").alias("value")).agg(F.count("*").alias("n")))
     return reduce(DataFrame.unionByName, parts)
+
+
+def overlap_join(left: DataFrame, right: DataFrame, l_from: str, l_to: str, r_from: str, r_to: str, days: int = 31) -> DataFrame:
+    """Rows of left and right whose closed spans of dates share a day, as an equi-join of the stretches of so many days each
+    span touches; a pair comes once, at the first stretch both touch. Spans with a null end, or that end before they begin,
+    meet none. Column names of the two sides must differ."""
+    stretch = lambda c: F.floor(F.unix_date(F.col(c)) / days)
+    own = lambda df, f, t, n: df.where(F.col(f) <= F.col(t)).withColumn(n, stretch(f)).withColumn("_stretch", F.explode(F.sequence(stretch(f), stretch(t))))
+    met = own(left, l_from, l_to, "_l").join(own(right, r_from, r_to, "_r"), "_stretch")
+    first = F.col("_stretch") == F.greatest("_l", "_r")
+    return met.where(first & (F.col(l_from) <= F.col(r_to)) & (F.col(r_from) <= F.col(l_to))).drop("_stretch", "_l", "_r")

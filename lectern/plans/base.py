@@ -172,3 +172,11 @@ def b_files(spark: SparkSession, d: str) -> DataFrame:
 def b_duplicate_names(spark: SparkSession, d: str) -> DataFrame:
     """Titles that several files of a domain have."""
     return table(spark, d, "file_profiles").where("title is not null").groupBy("domain", F.col("title").alias("name")).agg(F.count("*").alias("n")).where("n > 1")
+
+
+@query(_KB + ", e AS (SELECT DISTINCT domain, relative_path, entity_id, role FROM em) SELECT DISTINCT a.entity_id AS subject, b.entity_id AS issuer FROM e a JOIN e b ON a.domain = b.domain AND a.relative_path = b.relative_path WHERE a.role = 'subject' AND b.role = 'issuer' AND a.entity_id <> b.entity_id")
+def b_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Surviving entities a file names as its subject and as its issuer."""
+    e = base.effective_mentions(_entities(spark, d)).select("domain", "relative_path", "entity_id", "role").distinct()
+    end = lambda role, name: e.where(F.col("role") == role).select("domain", "relative_path", F.col("entity_id").alias(name))
+    return end("subject", "subject").join(end("issuer", "issuer"), ["domain", "relative_path"]).where("subject <> issuer").select("subject", "issuer").distinct()

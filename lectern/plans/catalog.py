@@ -676,3 +676,13 @@ def q_scoped(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     found = search.bm25(docs, "doc_id", "text", ["scanner", "genou"], docs.where("lang = 'fr'"))
     return found.withColumn("score", F.round("score", 4)).orderBy(F.desc("score"), "doc_id").limit(20)
+
+
+@query("WITH s AS (SELECT o_custkey, min(CAST(o_orderdate AS DATE)) AS f, max(CAST(o_orderdate AS DATE)) AS t FROM orders GROUP BY 1), q AS (SELECT DISTINCT CAST(date_trunc('quarter', o_orderdate) AS DATE) AS a FROM orders) SELECT strftime(a, '%Y-%m-%d') AS quarter, count(*) AS customers FROM s JOIN q ON f <= CAST(a + INTERVAL 3 MONTH - INTERVAL 1 DAY AS DATE) AND t >= a GROUP BY 1")
+def j_overlap(spark: SparkSession, d: str) -> DataFrame:
+    """Customers whose span of orders touches each quarter, by a join of spans."""
+    o = table(spark, d, "orders")
+    spans = o.groupBy("o_custkey").agg(F.min(F.to_date("o_orderdate")).alias("f"), F.max(F.to_date("o_orderdate")).alias("t"))
+    quarters = o.select(F.to_date(F.date_trunc("quarter", "o_orderdate")).alias("a")).distinct().withColumn("b", F.date_sub(F.add_months("a", 3), 1))
+    met = relational.overlap_join(spans, quarters, "f", "t", "a", "b")
+    return met.groupBy(F.date_format("a", "yyyy-MM-dd").alias("quarter")).agg(F.count("*").alias("customers"))

@@ -237,6 +237,19 @@ def test_stored_index(spark, tmp_path):
     assert {r["k"] for r in index.bm25("k", ["scanner"], docs.where("k > 1")).collect()} == {2} and index.bm25("k", ["nichts"]).count() == 0
 
 
+def test_overlap_join(spark):
+    import random
+    from datetime import date, timedelta
+
+    rng = random.Random(2)
+    day = lambda: date(2024, 1, 1) + timedelta(rng.randint(0, 400))
+    a, b = [(i, day(), day()) for i in range(60)] + [(99, None, day())], [(i, day(), day()) for i in range(60)] + [(98, day(), None)]
+    left, right = spark.createDataFrame(a, "i int, f date, t date"), spark.createDataFrame(b, "j int, u date, v date")
+    want = {(i, j) for i, f, t in a for j, u, v in b if None not in (f, t, u, v) and f <= t and u <= v and f <= v and u <= t}
+    got = [(r["i"], r["j"]) for r in relational.overlap_join(left, right, "f", "t", "u", "v", 9).collect()]
+    assert want and len(got) == len(set(got)) and set(got) == want
+
+
 def test_spoken():
     from lectern.functions import spoken
 
