@@ -8,8 +8,11 @@ from __future__ import annotations
 
 import bisect
 import json
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,8 +39,6 @@ class Pack:
 
 def load_pack(text: str) -> Pack:
     """A pack from JSON; unknown keys, patterns that don't compile and layouts without a scheme are refused."""
-    import re
-
     raw = json.loads(text)
     if set(raw) - {"schemes", "layouts", "headers", "relations"}:
         raise ValueError(f"unknown keys {sorted(set(raw) - {'schemes', 'layouts', 'headers', 'relations'})}")
@@ -237,11 +238,6 @@ def document_names(df: DataFrame, key: str, text: str, entries: DataFrame, schem
     at and size count words from 1. Where two overlap the surer source has it, then the longer, then the earlier one. A
     text keeps its most surest names. Null texts have none; key is unique.
     """
-    import re
-    from collections.abc import Iterator
-
-    import pandas as pd
-
     rules = [(s, re.compile(p)) for s, p in _RULES] + [("identifier", re.compile(f"({p})")) for p in schemes.values()]
     kind = dict(df.dtypes)[key]
     word = re.compile(r"[^\W_]+")

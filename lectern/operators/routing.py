@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import json
 import re
+import unicodedata
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -26,8 +27,6 @@ _EACH = r"\b(chaque|pour chacun|each|every|par document|per document)\b"
 
 
 def _plain(text: str) -> str:
-    import unicodedata
-
     return "".join(c for c in unicodedata.normalize("NFD", text) if not unicodedata.combining(c)).lower()
 
 

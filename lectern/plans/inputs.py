@@ -6,6 +6,7 @@ Files are made within the query, as there are none beside the tables; each holds
 from __future__ import annotations
 
 import io
+import uuid
 import zipfile
 import zlib
 from collections.abc import Callable
@@ -192,8 +193,6 @@ _ONE_LINE = "raw_line IS NOT NULL AND NOT contains(raw_line, chr(10)) AND NOT co
 @query(f"SELECT count(*) AS lines, sum({_MARKS.format('raw_line')} + 1) AS cells, ';' AS delimiter FROM rendez_vous_lilas WHERE (len(raw_line) - len(replace(raw_line, '\"', ''))) % 2 = 0 AND {_ONE_LINE}")
 def in_csv(spark: SparkSession, d: str) -> DataFrame:
     """Lines and cells of all exports, written as files and read in splits, and the delimiter chosen for them."""
-    import uuid
-
     path = f"{shared_dir(spark)}/lectern_csv_{uuid.uuid4().hex}"
     one_line = F.col("raw_line").isNotNull() & ~F.col("raw_line").rlike("[\n\r]") & (F.trim("raw_line") != "")
     table(spark, d, "rendez_vous_lilas").where(one_line).select("raw_line", "file_name").write.partitionBy("file_name").text(path)
@@ -204,8 +203,6 @@ def in_csv(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT count(DISTINCT file_name) AS files, 'csv' AS extension FROM rendez_vous_lilas")
 def in_listing(spark: SparkSession, d: str) -> DataFrame:
     """Files under a folder, by extension, without reading them."""
-    import uuid
-
     path = f"{shared_dir(spark)}/lectern_list_{uuid.uuid4().hex}"
     names = table(spark, d, "rendez_vous_lilas").select("file_name").distinct().select(F.col("file_name").alias("value"), "file_name")
     names.write.partitionBy("file_name").csv(path)
