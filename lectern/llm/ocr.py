@@ -25,6 +25,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import pandas as pd
 import pyarrow as pa
@@ -50,6 +51,8 @@ COMMON = 5000
 SEGMENTED = 64
 #: Words that are left out before any shuffle: the most frequent that need no repair. A bound, not a limit on the corpus.
 SKIP = 5000
+#: Pages whose parts a worker holds at once.
+HELD = 500
 #: Outermost lines of an edge that are looked at in any case.
 EDGE = 2
 
@@ -181,6 +184,17 @@ _PARTS_DDL = (
 )
 
 
+def _counts(one: Counter[str], two: Counter[tuple[str, str]], inner: Counter[str]) -> Iterator[dict]:
+    """Counts of a batch as rows; of neighbours either one also as the other's context has it."""
+    yield from ({"tag": "word", "x": w, "n": n} for w, n in one.items())
+    forms: Counter[tuple[str, str]] = Counter()
+    for (p, w), n in two.items():
+        for pair in {(beside(p), w), (p, beside(w))}:
+            forms[pair] += n
+    yield from ({"tag": "pair", "x": p, "y": w, "n": n} for (p, w), n in forms.items())
+    yield from ({"tag": "inner", "x": s, "n": n} for s, n in inner.items())
+
+
 def pages(df: DataFrame, key: str, text: str, path: str, page: str, confidence: str | None) -> DataFrame:
     """The parts of all pages and the counts of the corpus, as rows of _PARTS."""
 
@@ -204,14 +218,13 @@ def pages(df: DataFrame, key: str, text: str, path: str, page: str, confidence:
                 two.update(zip(ws, ws[1:], strict=False))
                 inner.update(shapes(t)[EDGE:-EDGE])
                 rows.append({"tag": "page", "row_id": k, "page": -k if number is None else number, "path": where, "w": ws, "a": [a for _, a, _ in found], "b": [b for _, _, b in found], "odd": [{"a": a, "b": b, "v": v} for a, b, v in odd_numbers(t)], "ends": line_ends(t), "edges": edge_lines(t, number, 0, EDGE + 1)})
-            rows.extend({"tag": "word", "x": w, "n": n} for w, n in one.items())
-            beside_too: Counter[tuple[str, str]] = Counter()
-            for (p, w), n in two.items():
-                for pair in {(beside(p), w), (p, beside(w))}:
-                    beside_too[pair] += n
-            rows.extend({"tag": "pair", "x": p, "y": w, "n": n} for (p, w), n in beside_too.items())
-            rows.extend({"tag": "inner", "x": s, "n": n} for s, n in inner.items())
+                if len(rows) == HELD:
+                    yield pa.RecordBatch.from_pylist(rows, _PARTS)
+                    rows = []
             yield pa.RecordBatch.from_pylist(rows, _PARTS)
+            counts = _counts(one, two, inner)
+            while some := list(islice(counts, 50_000)):
+                yield pa.RecordBatch.from_pylist(some, _PARTS)
 
     sure = F.col(confidence).cast("double") if confidence else F.lit(None).cast("double")
     rows = spread(df.select(F.col(key).cast("bigint"), F.col(text), F.col(path).cast("string"), F.col(page).cast("double"), sure))

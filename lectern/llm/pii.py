@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.names import GIVEN, edits, fold, is_given, near_given
-from lectern.session import checkpointed
+from lectern.session import checkpointed, spread
 
 #: Bits a candidate must disclose to be removed: at 0 a person is as likely there as anywhere.
 BITS = 0.0
@@ -314,7 +314,7 @@ def given_names(terms: DataFrame, listed: bool = True, least: int = LEAST_SEEN,
 
 def read(df: DataFrame, key: str = "row_id", text: str = "text", listed: bool = True) -> DataFrame:
     """Candidates of every text: row_id, kind, a, b, found, context, term, form, offsets in code points."""
-    rows = df.select(F.col(key).cast("bigint").alias("row_id"), F.col(text).alias("text"))
+    rows = spread(df.select(F.col(key).cast("bigint").alias("row_id"), F.col(text).alias("text")))
     terms = checkpointed(_terms(rows))
     learned = given_names(terms, listed)
     # words of a text are as many as it has, so the list is bounded by the text it joins
