@@ -5,7 +5,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from lectern.llm import chunking, mixing, survivor
+from lectern.llm import chunking, mixing, queries, survivor
 
 
 def test_align():
@@ -50,6 +50,25 @@ def test_survivors(spark):
     assert survivor.survivors(rows.where("row_id < 0"), key, "value", order, "row_id").count() == 0
 
 
+def test_order_needs_no_alignment(spark, tmp_path, monkeypatch):
+    def unused(*_):
+        raise AssertionError("aligned, though the order alone decides")
+
+    rng = random.Random(11)
+    rows = [(i, rng.choice(["a", "b", "c", None]), rng.choice([None, "", "x", "x  y", "y x", "x y z"]), rng.randint(0, 3)) for i in range(400)]
+    df = spark.createDataFrame(rows, "id bigint, k string, v string, o int")
+    best = {k: max((r for r in rows if r[1] == k), key=lambda r: (r[3], -r[0])) for k in ("a", "b", "c", None)}
+    fields(spark).drop("fact").write.parquet(f"{tmp_path}/file_profile_fields.parquet")
+    spark.createDataFrame([("docx_core", 1), ("pdf_info", 2), ("exif", 3)], "source string, trust_rank bigint").write.parquet(f"{tmp_path}/source_trust.parquet")
+    for stage in ("_merged", "_consensus", "checkpointed"):
+        monkeypatch.setattr(survivor, stage, unused)
+    got = {r["k"]: r for r in survivor.survivors(df, ["k"], "v", [F.col("o")], "id").collect()}
+    assert {k: (r["id"], r["v"], r["n"], r["consensus"]) for k, r in got.items()} == {
+        k: (r[0], r[2], sum(x[1] == k for x in rows), " ".join((r[2] or "").split())) for k, r in best.items()
+    }
+    assert sorted(r["row_id"] for r in queries.p6_found(spark, str(tmp_path)).collect()) == [3, 5, 8]
+
+
 def test_votes_outweigh_the_best(spark):
     df = spark.createDataFrame([(i, "k", v) for i, v in enumerate(["rue Haute 3", "rue Haute 5", "rue Haute 5 bis", "rue Haute 5"], 1)], "id bigint, k string, v string")
     r = survivor.survivors(df, ["k"], "v", [F.lit(1)], "id", F.lit(1.0), vote="weight").first()
