@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.plans.catalog import query
-from lectern.session import shared_dir, table
+from lectern.session import shared_dir, spread, table
 from lectern.sources import delimited, documents, office, ports
 
 
@@ -86,7 +86,7 @@ def make_pdf(a: str, b: str) -> bytes:
 def make_mail(a: str, b: str) -> bytes:
     from email.message import EmailMessage
 
-    m = EmailMessage()
+    m = EmailMessage(documents.MAIL)
     m["Subject"], m["From"] = a, "x@poste.example"
     m.set_content(b)
     return m.as_bytes()
@@ -171,7 +171,7 @@ def in_mail(spark: SparkSession, d: str) -> DataFrame:
     """Whether the text read from a mail holds its subject and its body."""
     found = _again(make_mail, documents.read_mail, "p_name", "p_type")
     text = F.array_join(found, "\n")
-    return table(spark, d, "part").select("p_partkey", text.contains(F.col("p_name")).alias("subject"), text.contains(F.col("p_type")).alias("body"))
+    return spread(table(spark, d, "part").select("p_partkey", "p_name", "p_type")).select("p_partkey", text.contains(F.col("p_name")).alias("subject"), text.contains(F.col("p_type")).alias("body"))
 
 
 @query("SELECT p_partkey, p_name || chr(10) || chr(10) || p_type || ' & ' || p_name AS text FROM part")
