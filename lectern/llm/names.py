@@ -14,13 +14,14 @@ as any other.
 
 from __future__ import annotations
 
+import heapq
 import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.session import checkpointed
@@ -68,6 +69,8 @@ LEAST = 0.84
 SHORTEST = 3
 #: Surfaces of a block that one task compares with all others of it.
 COMPARED = 500
+#: Links of the largest component that one task settles; larger ones are settled in rounds over all tasks.
+LARGEST = 200_000
 
 
 def fold(text: str) -> str:
@@ -370,7 +373,7 @@ def surfaces(df: DataFrame, surface: str = "surface", type_id: str = "type_id",
     )
 
 
-_PAIR = "a string, b string, score double, part_a boolean, part_b boolean, n_a bigint, n_b bigint, exact boolean"
+_PAIR = "a string, b string, score double, part_a boolean, part_b boolean, n_a bigint, n_b bigint, exact boolean, common string"
 
 
 def _compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -386,8 +389,53 @@ def _compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if not other:
                 continue
             part_a, part_b = fa in ("short", "alone"), fb in ("short", "alone")
-            out.append((a, b, score * other, part_a, part_b, na, nb, ma == mb))
-        yield pd.DataFrame(out, columns=["a", "b", "score", "part_a", "part_b", "n_a", "n_b", "exact"])
+            out.append((a, b, score * other, part_a, part_b, na, nb, ma == mb, f"{kind} {ma}" if ma == mb else None))
+        yield pd.DataFrame(out, columns=["a", "b", "score", "part_a", "part_b", "n_a", "n_b", "exact", "common"])
+
+
+def _find(parents: dict[str, str], node: str) -> str:
+    """The least node joined to node so far."""
+    while (up := parents.setdefault(node, node)) != node:
+        parents[node] = node = parents[up]
+    return node
+
+
+def _join(parents: dict[str, str], a: str, b: str) -> None:
+    a, b = _find(parents, a), _find(parents, b)
+    parents[max(a, b)] = min(a, b)
+
+
+def _roots(parents: dict[str, str]) -> pd.DataFrame:
+    return pd.DataFrame([(node, _find(parents, node)) for node in list(parents)], columns=["node", "root"], dtype=object)
+
+
+def _alike(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Components of links (common, a, b) that come sorted by what both ends have in common; only its nodes are held."""
+    at, parents, done = None, {}, {}
+    for f in frames:
+        for common, a, b in f.itertuples(index=False, name=None):
+            if common != at:
+                done |= parents
+                at, parents = common, {}
+            _join(parents, a, b)
+        yield _roots(done)
+        done = {}
+    yield _roots(done | parents)
+
+
+def alike_components(edges: DataFrame) -> DataFrame:
+    """components() of edges (common, a, b) where linked nodes always have common alike: a component then lies in one
+    task, and no rounds are needed."""
+    return edges.select("common", "a", "b").repartition("common").sortWithinPartitions("common").mapInPandas(_alike, "node string, root string")
+
+
+def _may_be_alike() -> Column:
+    """Whether alike() can be above 0: a swap of neighbours, one edit there, is two here. Spares the workers the other pairs."""
+    shorter = F.least(F.length("main1"), F.length("main2"))
+    apart = F.levenshtein("main1", "main2", 4)
+    differ = (shorter >= SHORTEST) & (apart >= 0) & (apart <= F.when(shorter < 10, 2).otherwise(4))
+    same_id = F.col("id1").isNull() | F.col("id2").isNull() | (F.col("id1") == F.col("id2"))
+    return same_id & ((F.col("main1") == F.col("main2")) | differ)
 
 
 def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
@@ -437,6 +485,89 @@ def held_apart(links: DataFrame, known: DataFrame) -> DataFrame:
     return checkpointed(links.join(side("a"), "a", "left").join(side("b"), "b", "left").where("label_a is null or label_b is null or label_a = label_b").select("a", "b", "score"))
 
 
+def _apart(links: list[tuple[str, str, float]], known: dict[str, str]) -> list[tuple[str, str, float]]:
+    """What held_apart() does, over the links of one component or several."""
+    if len(set(known.values())) < 2:
+        return links
+    parents: dict[str, str] = {}
+    for a, b, _ in links:
+        _join(parents, a, b)
+    told: dict[str, set[str]] = {}
+    for node, label in known.items():
+        if node in parents:
+            told.setdefault(_find(parents, node), set()).add(label)
+    mixed = {root for root, labels in told.items() if len(labels) > 1}
+    near: dict[str, list[tuple[str, float]]] = {}
+    for a, b, score in links:
+        if _find(parents, a) in mixed:
+            near.setdefault(a, []).append((b, score))
+            near.setdefault(b, []).append((a, score))
+    # as a chain only grows worse, the likest open one is final
+    found: dict[str, str] = {}
+    chains = [(-1e9, 0, known[node], node) for node in near if node in known]
+    heapq.heapify(chains)
+    while chains:
+        least, far, label, node = heapq.heappop(chains)
+        if node in found:
+            continue
+        found[node] = label
+        for other, score in near[node]:
+            if other not in found and other not in known:
+                heapq.heappush(chains, (max(least, -score), far + 1, label, other))
+    return [(a, b, score) for a, b, score in links if a not in found or b not in found or found[a] == found[b]]
+
+
+def _settle(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Components of links once what identities and given names tell apart is held apart. Rows come sorted by root: links
+    (a, b, score), and what is known of a node a (identity or given name)."""
+
+    def settled() -> dict[str, str]:
+        parents: dict[str, str] = {}
+        for a, b, _ in _apart(_apart(links, ids), called):
+            _join(parents, a, b)
+        return parents
+
+    at, links, ids, called, done = None, [], {}, {}, {}
+    for f in frames:
+        for root, a, b, score, ident, given in f.itertuples(index=False, name=None):
+            if root != at:
+                done |= settled()
+                at, links, ids, called = root, [], {}, {}
+            if b is not None:
+                links.append((a, b, score))
+            elif ident is not None:
+                ids[a] = ident
+            else:
+                called[a] = given
+        yield _roots(done)
+        done = {}
+    yield _roots(settled())
+
+
+def settled(links: DataFrame, ids: DataFrame, called: DataFrame) -> DataFrame:
+    """components() of links (a, b, score) after held_apart() by ids and then by called, both of (node, label).
+
+    Either only takes links away, so each component is settled by one task; those of over LARGEST links go through
+    held_apart() and components() themselves.
+    """
+    roots = components(links)
+    none = F.lit(None).cast("string")
+    known = ids.select("node", F.col("label").alias("ident"), none.alias("given")).unionAll(called.select("node", none, "label"))
+    rows = checkpointed(
+        links.join(roots.toDF("a", "root"), "a").select("root", "a", "b", "score", none.alias("ident"), none.alias("given"))
+        .unionAll(roots.join(known, "node").select("root", "node", none, F.lit(None).cast("double"), "ident", "given"))
+        .repartition("root").sortWithinPartitions("root")
+    )
+    large = rows.where("b is not null").groupBy("root").count().where(F.col("count") > LARGEST).select("root")
+    if not large.isEmpty():
+        large = checkpointed(large)
+        kept = rows.where("b is not null").join(large, "root", "left_semi").select("a", "b", "score")
+        kept = held_apart(held_apart(checkpointed(kept), ids), called)
+        rows = rows.join(large, "root", "left_anti").repartition("root").sortWithinPartitions("root")
+        return rows.mapInPandas(_settle, "node string, root string").unionAll(components(kept))
+    return rows.mapInPandas(_settle, "node string, root string")
+
+
 def met(left: DataFrame, right: DataFrame, by: str) -> DataFrame:
     """Pairs of a row of left and one of right, of one kind, that share a key in the array column by, each pair once: at
     the least key they share. Columns of left end in 1, those of right in 2.
@@ -465,10 +596,10 @@ def clusters(df: DataFrame, surface: str = "surface", type_id: str = "type_id",
     near = met(read, read, "blocks").where("surface1 < surface2").select(order)
     # a surname alone fits any given name, so it meets the others by its code only
     lone = met(read.where("kind = 'p' and form = 'alone'"), read.where("kind = 'p' and form <> 'alone'"), "codes").select(order)
-    scored = checkpointed(near.unionByName(lone).mapInPandas(_compare, _PAIR))
+    scored = checkpointed(near.unionByName(lone).where(_may_be_alike()).mapInPandas(_compare, _PAIR))
     full = scored.where("not part_a and not part_b")
     # equal parts link at once; the groups they make then meet as a whole
-    same = components(full.where("exact").select("a", "b"))
+    same = alike_components(full.where("exact"))
     groups = checkpointed(
         read.where("form not in ('short', 'alone')")
         .select(F.col("surface").alias("node"), "n", "id")
@@ -491,12 +622,11 @@ def clusters(df: DataFrame, surface: str = "surface", type_id: str = "type_id",
     )
     # every accepted link counts; only what links made earlier or known given names tell apart stays so
     links = checkpointed(near.select(F.col("ga").alias("a"), F.col("gb").alias("b"), "score"))
-    links = held_apart(links, totals.where("id is not null").select(F.col("g").alias("node"), F.col("id").cast("string").alias("label")))
+    ids = totals.where("id is not null").select(F.col("g").alias("node"), F.col("id").cast("string").alias("label"))
     bare = F.regexp_replace("other", "-", "")
     given = read.where((F.col("kind") == "p") & (F.col("form") == "full") & bare.isin(list(_BARE_GIVEN))).select(F.col("surface").alias("node"), bare.alias("label")).distinct()
     called = given.join(of, "node").groupBy("g").agg(F.min("label").alias("label"), F.max("label").alias("other")).where("label = other")
-    links = held_apart(links, called.select(F.col("g").alias("node"), "label"))
-    whole = components(links)
+    whole = settled(links, ids, called.select(F.col("g").alias("node"), "label"))
     whole = of.join(whole.toDF("g", "root"), "g", "left").select("node", F.coalesce("root", "g").alias("root"))
     named = checkpointed(whole)
     # names in part: the clusters each fits, equal surnames before like ones
@@ -509,8 +639,8 @@ def clusters(df: DataFrame, surface: str = "surface", type_id: str = "type_id",
     only = fitted.groupBy("part").agg(F.count("*").alias("k"), F.min("root").alias("root"))
     joined = only.where("k = 1").select("part", "root")
     # names in part that fit no full name link among themselves
-    stray = scored.where("part_a and part_b and exact").select("a", "b").join(only.select(F.col("part").alias("a")), "a", "left_anti").join(only.select(F.col("part").alias("b")), "b", "left_anti")
-    alone = components(stray)
+    stray = scored.where("part_a and part_b and exact").select("common", "a", "b").join(only.select(F.col("part").alias("a")), "a", "left_anti").join(only.select(F.col("part").alias("b")), "b", "left_anti")
+    alone = alike_components(stray)
     return named.where("node <> root").unionAll(named.select("root", "root").distinct()).toDF("surface", "root").unionAll(joined).unionAll(alone).distinct()
 
 
